@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantloom.llm import mixing, quality
+from grantloom.llm import mixing, packing, quality
 from grantloom.llm.common import table
 
 
@@ -23,6 +23,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(docs, MIX_WEIGHTS)
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary lies; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary(), capacity=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
