@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantloom.llm import mixing, packing, quality
+from grantloom.llm import mixing, packing, quality, token_ids
 from grantloom.llm.common import table
 
 
@@ -30,6 +30,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_ids.read_ids(token_ids.write_ids(docs, vocabulary(), end_id=2))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary(), capacity=2048, end_id=0)
