@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -66,11 +67,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def drop_saved(*frames: DataFrame) -> None:
     """Deletes tables written by saved() that nothing reads any more."""
     for df in frames:
+        root = _plain(shared_root(df.sparkSession))
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.startswith(shared_root(df.sparkSession).removeprefix("file://")) or path.replace("file:///", "file:/").startswith(shared_root(df.sparkSession).replace("file:///", "file:/")):
+            if _plain(path).startswith(root):
                 remove(df.sparkSession, path)
 
 
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "/", uri)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: it does so once the driver has collected their plans."""
     gc.collect()
