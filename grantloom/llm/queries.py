@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantloom.llm import mixing, near_dup, packing, quality, token_ids
+from grantloom.llm import mixing, near_dup, packing, quality, substring, token_ids
 from grantloom.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link_components(docs, shingle=4, percent=80)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.repeated_passages(docs)
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary lies; every executor has the same package."""
     import public_tokenizers
