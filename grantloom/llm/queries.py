@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grantloom.llm import mixing, near_dup, packing, quality, substring, token_ids
-from grantloom.llm.common import table
+from grantloom.llm import mixing, near_dup, packing, quality, substring, token_ids, toxicity
+from grantloom.llm.common import id_remainder, table
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary(), capacity=2048, end_id=0)
 
 
+TOXICITY_FOLDS = 5
+
+
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = id_remainder(F.col("doc_id"), TOXICITY_FOLDS) != 0
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), learnt))
+    held_out = id_remainder(F.col("doc_id"), TOXICITY_FOLDS) == 0
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

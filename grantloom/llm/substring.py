@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, release, rows_of, run_hashes, saved, texts_of, word_hashes
+from grantloom.llm.common import drop_saved, release, rows_of, run_hashes, saved, texts_of, word_hashes, words_of
 
 WINDOW, GRAM = 50, 25
 _GRAM_BASE, _WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -146,7 +146,7 @@ def cut(texts: DataFrame, window: int, with_text: bool = False) -> DataFrame:
                 np.add.at(edge, hit + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                rows.append((sha256(b" ".join(words)).hexdigest(), int(gone.sum()), sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
+                rows.append((sha256(b" ".join(words)).hexdigest(), int(gone.sum()), sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else [])))
             names = ["whole_sha256", "n_removed", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in zip(*rows, strict=True)]], names=["doc_id", *names[: 3 + with_text]])
 
@@ -182,3 +182,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
     changed = saved(cut(texts.join(repeated, "doc_id"), window, with_text), "cut").dropDuplicates(["doc_id", "whole_sha256"])
     kept = base.select("doc_id", "n_words", "whole_sha256").join(changed, ["doc_id", "whole_sha256"], "left")
     return kept.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *(["kept_text"] if with_text else []), *(["whole_sha256"] if with_text else []))
+
+
+def without_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
+    """The documents with repeated words taken out of their texts, and n_chars, if there, brought up to date. A text that
+    changes has its remaining words joined by one space; other texts stay as they are. Documents of which nothing remains go."""
+    result = repeated_passages(docs.select("doc_id", "text"), window, gram, batches, with_text=True)
+    changed = saved(result.filter(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("whole_sha256").alias("_sha"), F.col("kept_text").alias("_kept")), "changed").dropDuplicates(["_id", "_sha"])
+    sha = F.sha2(F.array_join(words_of(docs["text"]), " "), 256)
+    both = docs.join(changed, (docs["doc_id"].cast("long") == F.col("_id")) & (sha == F.col("_sha")), "left").filter(F.col("_kept").isNull() | (F.col("_kept") != ""))
+    text = F.coalesce("_kept", docs["text"])
+    values = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast("long") if "n_chars" in docs.columns else None}
+    return both.select(*[values[c].alias(c) if c in values else docs[c] for c in docs.columns])
