@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm import mixing, near_dup, packing, quality, substring, token_ids, toxicity
+from grantloom.llm import ann, mixing, near_dup, packing, quality, substring, token_ids, toxicity
 from grantloom.llm.common import id_remainder, table
 
 
@@ -46,6 +46,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(docs, vocabulary(), end_id=2))
 
 
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary(), capacity=2048, end_id=0)
