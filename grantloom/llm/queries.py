@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm import ann, mixing, near_dup, packing, quality, substring, token_ids, toxicity
+from grantloom.llm import ann, mixing, near_dup, packing, quality, substring, token_ids, toxicity, warc
 from grantloom.llm.common import id_remainder, table
 
 
@@ -19,6 +19,11 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = [3, 1, 2]
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), with_payload=False)
+    return read.filter(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.taken_words(docs, MIX_WEIGHTS)
@@ -71,6 +76,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLES: dict[str, str] = {
+    "op1_warc_salvage": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op3_quality_cascade": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
