@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm import ann, mixing, near_dup, packing, quality, substring, token_ids, toxicity, warc
+from grantloom.llm import ann, mixing, near_dup, ngram, packing, quality, substring, token_ids, toxicity, warc
 from grantloom.llm.common import id_remainder, table
 
 
@@ -29,6 +29,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(docs, MIX_WEIGHTS)
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram.train(docs, id_remainder(F.col("doc_id"), 7) != 2)
+    scores = ngram.scored(docs, model)
+    return scores.select("doc_id", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.link_components(docs, shingle=4, percent=80)
