@@ -3,10 +3,10 @@
 A document's set is its distinct shingles, as 64-bit hashes. Two permutations of 32-bit numbers make all coordinates of
 its signature: the first scatters the set, the second, circularly shifted by k, gives the k-th minimum. Documents with
 equal sets are one class from the start, so copies are never compared. Classes that agree in a band of the signature are
-candidates. A bucket of candidates is never expanded into all pairs: all are first compared with one of them; what is
-not yet in one component is compared, a few pivots at a time, with the members of other components, until every bucket's
-members are in one component or all of their pairs have been compared. Every pair that could join two components is thus
-compared on the full sets, and no partner, bucket or group is capped.
+candidates, and never expanded into all pairs: each bucket's most copied class leads it, and the others are compared
+with it first. Those that meet a leader are its family. Where a family is still in several components, each member
+outside the largest one is compared with all of the family, in blocks of bounded size that give links and no pairs. Every
+pair of candidates that could join two components is thus compared on the full sets; no partner, bucket or group is capped.
 
 With 20 bands of 4 rows, a pair at a Jaccard similarity of 0.8 misses all bands with probability 3e-5 (1e-8 at 0.9).
 
@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from grantloom.llm.common import drop_saved, mix, release, rows_of, saved, word_hashes
 
 BANDS, ROWS = 20, 4
-PIVOTS = 16
+#: Members outside a family's largest component are compared in blocks of about BLOCK, with about CHUNK members at a time.
+BLOCK, CHUNK = 64, 4000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 
 
@@ -131,19 +131,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least so similar."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _pairs(pivots: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs from different components, smaller node first, once each, whose sizes allow the similarity."""
-    both = pivots.select("bucket", F.col("node").alias("u"), F.col("n").alias("un"), F.col("root").alias("uroot")).join(members.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vroot")), "bucket")
-    both = both.filter((F.col("uroot") != F.col("vroot")) & (100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")))
-    return both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+def _similar(common, x, y, percent: int):
+    return 100 * common >= percent * (x + y - common)
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """leader, node and whether their full sets are at least so similar."""
+    left = pairs.join(sets.select(F.col("node").alias("leader"), F.col("items").alias("x")), "leader")
+    both = left.join(sets.select("node", F.col("items").alias("y")), "node")
+    return both.select("leader", "node", _similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent).alias("linked"))
+
+
+def _cross_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a leader's family that are in different components (leader, node, root).
+
+    Every such pair has a member outside the family's largest component. Those members are dealt into blocks and all
+    members into chunks; each block meets each chunk in a task of its own, which compares sets and keeps links only."""
+    sizes = family.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter(F.col("roots") > 1)
+    open_ = family.join(sizes, "leader").withColumn("outer", F.col("root") != F.col("main"))
+    counts = open_.groupBy("leader").agg(F.ceil(F.count_if("outer") / BLOCK).alias("blocks"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    placed = saved(open_.join(counts, "leader").select("leader", "node", "root", "outer", "blocks", "chunks", F.xxhash64("node").alias("h")), "open")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = placed.select("leader", "node", "root", F.pmod("h", "chunks").alias("chunk"), every("blocks").alias("block"), F.lit(False).alias("outer"))
+    outer = placed.filter("outer").select("leader", "node", "root", every("chunks").alias("chunk"), F.pmod("h", "blocks").alias("block"), F.lit(True).alias("outer"))
+    rows = members.unionByName(outer).join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        outer, nodes, roots = table.column("outer").to_numpy(), table.column("node").to_pylist(), table.column("root").to_pylist()
+        items = table.column("items").combine_chunks()
+        ends, values = items.offsets.to_numpy(), items.values.to_numpy()
+        own = np.flatnonzero(outer)
+        found: list[tuple[bytes, bytes]] = []
+        if len(own):
+            sizes = ends[own + 1] - ends[own]
+            flat = np.concatenate([values[ends[k] : ends[k + 1]] for k in own])
+            of = np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            for k in np.flatnonzero(~outer).tolist():
+                mine = values[ends[k] : ends[k + 1]]
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(of[at], minlength=len(own))
+                for j in np.flatnonzero(_similar(common, sizes, len(mine), percent)).tolist():
+                    if roots[own[j]] != roots[k]:
+                        found.append((nodes[own[j]], nodes[k]))
+        return pa.table([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    return rows.groupBy("leader", "block", "chunk").applyInArrow(compare, "a binary, b binary")
 
 
 def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -151,40 +187,25 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     kept (doc_id = component_id)."""
     spark = docs.sparkSession
     sketched = saved(sketches(docs, shingle), "sketches")
-    classes = sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    bucketed = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).filter(F.col("members") > 1)
-    members = saved(bucketed.join(shared.select("bucket", "first"), "bucket"), "members")
-    first = members.select("bucket", "node", "n", F.col("first.node").alias("u"), F.col("first.n").alias("un"))
-    fits = (F.col("u") != F.col("node")) & (100 * F.least("un", "n") >= percent * F.greatest("un", "n"))
-    tested = saved(first.filter(fits).select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct(), "tested")
-    members = members.select("bucket", "node", "n")
+    classes = sketched.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    bucketed = classes.select("node", "n", "copies", F.explode("bands").alias("bucket"))
+    # The most copied class of a bucket leads it: what other members were changed from, more often than not.
+    shared = bucketed.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("top"), F.count("*").alias("members")).filter(F.col("members") > 1)
+    pairs = saved(bucketed.join(shared.select("bucket", F.col("top.node").alias("leader")), "bucket").filter(F.col("leader") != F.col("node")).select("leader", "node").distinct(), "pairs")
+    release(spark)
     # The sets of candidates only; a text for each class.
-    wanted = tested.select(F.col("a").alias("node")).unionByName(tested.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    ids = sketched.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    wanted_ids = ids.select(F.col("doc_id").alias("wanted"))
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+    wanted_ids = sketched.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(wanted_ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = saved(shingle_sets(texts, shingle).dropDuplicates(["node"]), "sets")
     release(spark)
-    links = saved(_links(tested, sets, percent), "links")
-    while True:
-        roots = components(links)
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Only buckets whose members are still in different components.
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("bucket")
-        placed = saved(placed.join(open_, "bucket", "left_semi"), "open")
-        drop_saved(members, roots)
-        pivots = placed.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).filter(F.col("k") <= PIVOTS).drop("k")
-        pairs = _pairs(pivots, placed, percent).join(tested, ["a", "b"], "left_anti")
-        new = saved(pairs, "tested")
-        # A pivot has now met all of its bucket.
-        members = saved(placed.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "members")
-        drop_saved(placed)
-        if not new.limit(1).count() and not members.limit(1).count():
-            break
-        found = saved(_links(new, sets, percent), "links")
-        tested, links = tested.unionByName(new), links.unionByName(found)
-    roots = saved(components(links), "roots")
+    tested = saved(_tested(pairs, sets, percent), "tested")
+    links = tested.filter("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    roots = components(links)
+    family = pairs.unionByName(pairs.select("leader", F.col("leader").alias("node")).distinct()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crossed = saved(_cross_links(family, sets, percent).distinct(), "crossed")
+    release(spark)
+    roots = components(links.unionByName(crossed))
     grouped = sketched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
