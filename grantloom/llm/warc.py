@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records, and a reader that salvages what damage has left.
 
 The reader checks every record: the member's gzip checksum, the version line, the headers, the length, the end of the
-record, and the digests that it names. After a failed check it searches for the next gzip member or version line, byte by
+record, and the digests that it names (nothing covers the values of headers outside gzip). After a failed check it searches for the next gzip member or version line, byte by
 byte, until a record there passes all checks; the bytes between are reported as a gap with the first failed check. Damage
 therefore costs the records that it touches and no others. A file is read as a stream; memory is bounded by the largest
 record (members that inflate beyond MAX_MEMBER are quarantined), whatever the size of the file.
