@@ -169,9 +169,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
         found = index.add(part if high is None else part.filter(F.col("doc_id") <= F.lit(int(high))))
         shared = found if shared is None else shared.unionByName(found)
     index.drop()
+    release(spark)
     of = saved(grams.join(shared.distinct(), "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("shared")), "shared-of")
     release(spark)
     texts = saved(docs.join(of, "doc_id"), "texts")
+    drop_saved(of)
+    release(spark)  # the join's shuffle files, before windows are written
     every = saved(windows(texts, window, gram), "windows")
     release(spark)
     first = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter(F.col("first_doc") < F.col("last_doc"))
