@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from grantloom.llm.common import drop_saved, release, rows_of, run_hashes, saved, texts_of, word_hashes, words_of
 
 WINDOW, GRAM = 50, 25
+#: Windows are decided in so many slices of their hashes, one after the other, so that scratch space holds one slice's rows.
+SLICES = 2
 _GRAM_BASE, _WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -102,8 +104,9 @@ class FingerprintIndex:
         self.runs = []
 
 
-def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """From doc_id, text, shared: the distinct windows (w1, w2: two independent hashes) of each document whose gram is shared."""
+def windows(texts: DataFrame, window: int, gram: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """From doc_id, text, shared: the distinct windows (w1, w2: two independent hashes) of each document whose gram is shared,
+    of those whose w1 modulo parts is part."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +121,8 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 hashes, chosen = selected(words, window, gram)
                 hit = np.isin(hashes.view(np.int64)[chosen], values[ends[k] : ends[k + 1]])
                 one, two = (run_hashes(words, window, base)[hit] for base in _WINDOW_BASES)
+                mine = one % np.uint64(parts) == part
+                one, two = one[mine], two[mine]
                 one, first = np.unique(one, return_index=True)
                 found.append((np.full(len(one), ids[k]), one.view(np.int64), two[first].view(np.int64)))
                 size += len(one)
@@ -175,13 +180,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
     texts = saved(docs.join(of, "doc_id"), "texts")
     drop_saved(of)
     release(spark)  # the join's shuffle files, before windows are written
-    every = saved(windows(texts, window, gram), "windows")
-    release(spark)
-    first = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter(F.col("first_doc") < F.col("last_doc"))
-    later = every.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first_doc"))
-    repeated = saved(later.groupBy("doc_id").agg(F.collect_set("w1").alias("repeated")), "repeated")
-    drop_saved(every)
-    release(spark)
+    repeated, decided = None, []
+    for part in range(SLICES):
+        every = saved(windows(texts, window, gram, part, SLICES), "windows")
+        release(spark)
+        first = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter(F.col("first_doc") < F.col("last_doc"))
+        later = every.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first_doc"))
+        decided.append(saved(later.groupBy("doc_id").agg(F.collect_set("w1").alias("repeated")), "repeated"))
+        repeated = decided[-1] if repeated is None else repeated.unionByName(decided[-1])
+        drop_saved(every)
+        release(spark)
+    repeated = repeated.groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("repeated"))
     changed = saved(cut(texts.join(repeated, "doc_id"), window, with_text), "cut").dropDuplicates(["doc_id", "whole_sha256"])
     kept = base.select("doc_id", "n_words", "whole_sha256").join(changed, ["doc_id", "whole_sha256"], "left")
     return kept.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *(["kept_text"] if with_text else []), *(["whole_sha256"] if with_text else []))
