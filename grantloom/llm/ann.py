@@ -36,6 +36,8 @@ TREES, DIGITS, SHARE = 48, 4, 20_000
 MIN_CANDIDATES = 100_000
 #: Candidates over all trees at the first digit, below which a query ascends to the root.
 FEW = 2_000
+#: More than two ways to compute the same cosine differ by.
+ROUNDING = 1e-9
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -118,6 +120,19 @@ def _grouped(rows: DataFrame, shares: DataFrame) -> DataFrame:
     return own.unionByName(asked).drop("shares", "salt", "query")
 
 
+def _reaching(near: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of all cosines not below the k-th largest one of distinct ids, by more than rounding: ties are never cut."""
+    size = 2 * k + 20
+    while size < len(near):
+        top = np.argpartition(-near, size)[:size]
+        top = top[np.argsort(-near[top], kind="stable")]
+        first = np.sort(np.unique(ids[top], return_index=True)[1])
+        if len(first) >= k:
+            return np.flatnonzero(near >= near[top[first[k - 1]]] - ROUNDING)
+        size *= 4
+    return np.arange(len(near))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, min_candidates: int = MIN_CANDIDATES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine). is_query: over vec_id."""
     usable = saved(valid(vectors).withColumns({"query": F.coalesce(is_query, F.lit(False)), "salt": F.xxhash64("vec_id", "vector")}), "vectors")
@@ -161,11 +176,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
             some = np.flatnonzero(own[low:high] != ids[q]) + low
             if not len(some):
                 continue
-            near = units[some] @ _units(every[q : q + 1])[0]
-            if len(some) > 2 * k + 20:  # a margin for ties in the last place of a product
-                some = some[np.argpartition(-near, 2 * k + 20)[: 2 * k + 20]]
+            some = some[_reaching(units[some] @ _units(every[q : q + 1])[0], own[some], k)]
             exact = (x[some] * every[q]).sum(axis=1) / (np.sqrt((x[some] * x[some]).sum(axis=1)) * math.sqrt(float((every[q] * every[q]).sum())))
-            best = np.lexsort((own[some], -exact))[:k]
+            best = np.lexsort((own[some], -exact))
+            best = best[np.sort(np.unique(own[some][best], return_index=True)[1])[:k]]  # an id counts once, by its best row
             found += [(int(ids[q]), int(own[some[b]]), float(exact[b])) for b in best]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])

@@ -340,6 +340,22 @@ def test_nearest_recall_through_the_forest(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("few", [0, 2000])
+def test_nearest_of_copies_and_repeated_ids(spark, monkeypatch, few):
+    """Of 200 copies the smallest ids are the neighbours, and an id's many rows take one place."""
+    monkeypatch.setattr(ann, "FEW", few)
+    rng = np.random.default_rng(6)
+    one, two = rng.standard_normal((2, 16))
+    rows = [(int(k), one.tolist()) for k in rng.permutation(200) + 1] + [(1000, two.tolist())]
+    rows += [(1001, (two + 0.001 * rng.standard_normal(16)).tolist()) for _ in range(60)] + [(1010 + k, (two + 0.1 * rng.standard_normal(16)).tolist()) for k in range(8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id").isin(200, 1000)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[200] == [1, 2, 3, 4, 5]
+    assert len(set(got[1000])) == 5 and got[1000][0] == 1001 and min(got[1000]) > 1000
+
+
 # ---------------------------------------------------------------- WARC
 
 PAGES = "page_id long, url string, html string, path string"
