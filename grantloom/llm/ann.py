@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives every vector a long string of digits: the vector is rotated at random, and the digits are its largest
-coordinates, by place and sign, largest first (cross-polytope hashing). A tree is its strings, sorted. A query descends
-to the strings that share its longest prefix; if all trees together hold too few candidates there, it ascends, one digit
-at a time and in all trees at once, until there are enough or the first digit is reached. Candidates are scored exactly.
+Each tree gives every vector a long string of digits: the vector is rotated at random; the first digit is its largest
+coordinate, by place and sign (cross-polytope hashing), and BITS binary digits follow, the signs of the coordinates after
+that place. A tree is its strings, sorted. A query descends to the strings that share its longest prefix; if all trees
+together hold too few candidates there, it ascends, one digit at a time and in all trees at once, until there are enough
+or the first digit is reached. A binary digit halves the candidates, so their number stays within about twice
+MIN_CANDIDATES whatever the size of the table, without a jump at any size. Candidates are scored exactly.
 
 A tree is spread over tasks by the first digit, and a digit that many vectors share is dealt over as many shares as its
 count asks for, each a sorted array of its own, so no task holds more than SHARE vectors at once; a query visits all
 shares of its digit. Counts by prefix are added up over trees and shares before any candidate is scored, so that the
-ascent is the same for all. Queries that have too few candidates even at the first digit ascend to the root, where all
-vectors are, in blocks.
+ascent is the same for all. A prefix is long enough only if one task holds more than k distinct ids there, so copies of
+a few ids never leave a query short. Queries that have too few candidates even at the first digit ascend to the root,
+where all vectors are, in blocks; their neighbours are exact.
 
-MIN_CANDIDATES bounds the work for a query at any size of the table: with vectors as unstructured as a normal
-distribution's, recall falls slowly as the table grows past what it allows; TREES and it are the parameters to raise.
+MIN_CANDIDATES, over all trees, bounds the work for a query: with vectors as unstructured as a normal distribution's,
+recall falls as the table grows past what it allows (the README has figures); TREES and it are the parameters to raise.
 
 Vectors that are null, zero or hold null or non-finite components take no part; rows that repeat an id are separate
 candidates, and none of them is a candidate for its own id. Ties go to the smaller id. An empty table or one without
@@ -32,8 +35,8 @@ from pyspark.sql import Window as W
 
 from grantloom.llm.common import saved
 
-TREES, DIGITS, SHARE = 48, 4, 20_000
-MIN_CANDIDATES = 100_000
+TREES, BITS, SHARE = 48, 24, 20_000
+MIN_CANDIDATES = 20_000
 #: Candidates over all trees at the first digit, below which a query ascends to the root.
 FEW = 2_000
 #: More than two ways to compute the same cosine differ by.
@@ -64,16 +67,14 @@ def rotation(dim: int, tree: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def strings(x: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """Each vector's digits in a tree, as columns: 2 * place + sign of the largest coordinates."""
+def strings(x: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's first digit in a tree, 2 * place + sign of the largest coordinate, and its binary digits as one number."""
     y = x @ turned
-    size = np.abs(y)
-    n = min(DIGITS, y.shape[1])
-    top = np.argpartition(-size, n - 1, axis=1)[:, :n] if n < y.shape[1] else np.tile(np.arange(n), (len(y), 1))
-    rows = np.arange(len(y))[:, None]
-    top = top[rows, np.lexsort((top, -size[rows, top]), axis=1)]
-    digits = 2 * top + (y[rows, top] > 0)
-    return np.hstack([digits, np.zeros((len(y), DIGITS - n), np.int64)]).astype(np.int64)
+    rows, top = np.arange(len(y)), np.abs(y).argmax(axis=1)
+    bits = np.zeros(len(y), np.int64)
+    for k in range(1, BITS + 1):  # a vector of few coordinates has the rest as zeros
+        bits = 2 * bits + (y[rows, (top + k) % y.shape[1]] > 0 if k < y.shape[1] else 0)
+    return 2 * top + (y[rows, top] > 0), bits
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame, trees: int, with_vector: bool) -> DataFrame:
-    """A row per vector and tree: tree, d1 (first digit), rest (the others, in one number), dim, vec_id, salt, query (and vector)."""
+    """A row per vector and tree: tree, d1 (first digit), rest (the binary ones), dim, vec_id, salt, query (and vector)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[tuple[int, int], np.ndarray] = {}
@@ -97,19 +98,16 @@ def hashed(vectors: DataFrame, trees: int, with_vector: bool) -> DataFrame:
                 for tree in range(trees):
                     if (dim, tree) not in turned:
                         turned[dim, tree] = rotation(dim, tree)
-                    digits = strings(x, turned[dim, tree])
-                    rest = np.zeros(len(x), np.int64)
-                    for k in range(1, DIGITS):
-                        rest = rest * (2 * dim) + digits[:, k]
-                    columns = [pa.array(np.full(len(x), tree, np.int32)), pa.array(digits[:, 0]), pa.array(rest), part.column("dim"), part.column("vec_id"), part.column("salt"), part.column("query")]
+                    first, rest = strings(x, turned[dim, tree])
+                    columns = [pa.array(np.full(len(x), tree, np.int32)), pa.array(first), pa.array(rest), part.column("dim"), part.column("vec_id"), part.column("salt"), part.column("query")]
                     yield pa.RecordBatch.from_arrays(columns + ([part.column("vector")] if with_vector else []), names=["tree", "d1", "rest", "dim", "vec_id", "salt", "query", "vector"][: 7 + with_vector])
 
     return vectors.mapInArrow(make, "tree int, d1 long, rest long, dim int, vec_id long, salt long, query boolean" + ", vector binary" * with_vector)
 
 
-def _prefixes(rest: np.ndarray, dim: int, length: int) -> np.ndarray:
-    """The first digits of a string, length of them in all."""
-    return rest // (2 * dim) ** (DIGITS - length)
+def _prefixes(rest: np.ndarray, length: int) -> np.ndarray:
+    """The first digits of a string, length of them in all (the one before the binary ones counts)."""
+    return rest >> (BITS + 1 - length)
 
 
 def _grouped(rows: DataFrame, shares: DataFrame) -> DataFrame:
@@ -120,6 +118,42 @@ def _grouped(rows: DataFrame, shares: DataFrame) -> DataFrame:
     return own.unionByName(asked).drop("shares", "salt", "query")
 
 
+def depths(keys: DataFrame, shares: DataFrame, k: int, min_candidates: int) -> DataFrame:
+    """vec_id of each query, length of the prefix where it stops (0: the root), n1 and candidates: candidates over all trees
+    at the first digit and at the length that the ascent reaches."""
+    lengths = range(1, BITS + 2)
+
+    def count(rows: pa.Table) -> pa.Table:
+        asks, rest, ids = (rows.column(c).to_numpy() for c in ("asks", "rest", "vec_id"))
+        order = np.flatnonzero(~asks)
+        order = order[np.argsort(rest[order], kind="stable")]
+        tree, own, ask = rest[order], ids[order], rest[asks]
+        repeated = len(np.unique(own)) < len(own)
+        known: dict[tuple[int, int], int] = {}
+
+        def distinct(low: int, high: int) -> int:
+            if (low, high) not in known:
+                known[low, high] = len(np.unique(own[low:high]))
+            return known[low, high]
+
+        counts, ample = [], np.zeros(len(ask), np.int64)
+        for length in lengths:
+            array, wanted = _prefixes(tree, length), _prefixes(ask, length)
+            low, high = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
+            counts.append(high - low)
+            several = np.array([distinct(*x) for x in zip(low.tolist(), high.tolist(), strict=True)], np.int64) if repeated else high - low
+            ample[several > k] = length  # the longest so far: shorter prefixes hold no less
+        return pa.table([pa.array(ids[asks]), pa.array(ample), *[pa.array(c.astype(np.int64)) for c in counts]], names=["query_id", "ample", *[f"n{j}" for j in lengths]])
+
+    dealt = _grouped(keys, shares)
+    counted = dealt.groupBy("tree", "dim", "d1", "share").applyInArrow(count, "query_id long, ample long, " + ", ".join(f"n{j} long" for j in lengths))
+    totals = counted.groupBy("query_id").agg(F.max("ample").alias("ample"), *[F.sum(f"n{j}").alias(f"n{j}") for j in lengths])
+    # Counts fall with the length, so the number of lengths with enough is the longest of them.
+    enough = F.greatest(F.lit(1), sum((F.col(f"n{j}") >= min_candidates).cast("int") for j in lengths))
+    # Where the first digits hold too few, the root (length 0) has all.
+    return totals.select(F.col("query_id").alias("vec_id"), F.when(F.col("n1") < FEW, 0).otherwise(F.least(enough, "ample")).cast("int").alias("length"), "n1", F.coalesce(*[F.when(F.least(enough, "ample") == j, F.col(f"n{j}")) for j in lengths], F.lit(0).cast("long")).alias("candidates"))
+
+
 def _reaching(near: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of all cosines not below the k-th largest one of distinct ids, by more than rounding: ties are never cut."""
     size = 2 * k + 20
@@ -140,29 +174,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     # A row per tree, dimension and first digit: trees * 2 * dimension rows for each dimension, whatever the number of vectors.
     shares = saved(keys.groupBy("tree", "dim", "d1").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares")), "shares")
 
-    def count(rows: pa.Table) -> pa.Table:
-        dim, asks = rows.column("dim")[0].as_py(), rows.column("asks").to_numpy()
-        rest, ids = rows.column("rest").to_numpy(), rows.column("vec_id").to_numpy()
-        tree, ask = np.sort(rest[~asks]), rest[asks]
-        counts = []
-        for length in range(1, DIGITS + 1):
-            array, wanted = _prefixes(tree, dim, length), _prefixes(ask, dim, length)
-            counts.append(np.searchsorted(array, wanted, "right") - np.searchsorted(array, wanted, "left"))
-        return pa.table([pa.array(ids[asks]), *[pa.array(c.astype(np.int64)) for c in counts]], names=["query_id", *[f"n{j}" for j in range(1, DIGITS + 1)]])
-
-    dealt = _grouped(keys, shares)
-    counted = dealt.groupBy("tree", "dim", "d1", "share").applyInArrow(count, "query_id long, " + ", ".join(f"n{j} long" for j in range(1, DIGITS + 1)))
-    totals = counted.groupBy("query_id").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(1, DIGITS + 1)])
-    length = F.lit(1)
-    for j in range(2, DIGITS + 1):
-        length = F.when(F.col(f"n{j}") >= min_candidates, j).otherwise(length)
-    # Where the first digits hold too few, the root (length 0) has all.
-    levels = saved(totals.select(F.col("query_id").alias("vec_id"), F.when(F.col("n1") < FEW, 0).otherwise(length).alias("length")), "levels")
+    levels = saved(depths(keys, shares, k, min_candidates).select("vec_id", "length"), "levels")
 
     def score(rows: pa.Table) -> pa.Table:
         dim, asks = rows.column("dim")[0].as_py(), rows.column("asks").to_numpy()
         every = _matrix(rows.column("vector"), dim)
-        ids, rest, lengths = (rows.column(c).to_numpy() for c in ("vec_id", "rest", "length"))
+        ids, rest, depth = (rows.column(c).to_numpy() for c in ("vec_id", "rest", "length"))
         order = np.flatnonzero(~asks)
         order = order[np.argsort(rest[order], kind="stable")]
         array, own, x = rest[order], ids[order], every[order]
@@ -170,8 +187,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
         found: list[tuple] = []
         for q in np.flatnonzero(asks).tolist():
             low, high = 0, len(array)
-            if lengths[q] > 1:
-                prefix, wanted = _prefixes(array, dim, int(lengths[q])), _prefixes(rest[q : q + 1], dim, int(lengths[q]))[0]
+            if depth[q] > 1:
+                prefix, wanted = _prefixes(array, int(depth[q])), _prefixes(rest[q : q + 1], int(depth[q]))[0]
                 low, high = int(np.searchsorted(prefix, wanted, "left")), int(np.searchsorted(prefix, wanted, "right"))
             some = np.flatnonzero(own[low:high] != ids[q]) + low
             if not len(some):

@@ -356,6 +356,18 @@ def test_nearest_of_copies_and_repeated_ids(spark, monkeypatch, few):
     assert len(set(got[1000])) == 5 and got[1000][0] == 1001 and min(got[1000]) > 1000
 
 
+@pytest.mark.parametrize("n, wanted", [(3000, 300), (3000, 1000), (12000, 1000)])
+def test_descent_stops_near_the_wanted_number(spark, monkeypatch, n, wanted):
+    monkeypatch.setattr(ann, "FEW", 0)
+    x = np.random.default_rng(8).standard_normal((n, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    usable = ann.valid(table).withColumns({"query": F.col("vec_id") % 200 == 0, "salt": F.col("vec_id")})
+    keys = ann.hashed(usable, 48, False)
+    found = ann.depths(keys, keys.groupBy("tree", "dim", "d1").agg(F.lit(1).cast("long").alias("shares")), 5, wanted).collect()
+    assert len(found) == n // 200
+    assert all(r["length"] > 1 and wanted <= r["candidates"] <= 3 * wanted for r in found)
+
+
 # ---------------------------------------------------------------- WARC
 
 PAGES = "page_id long, url string, html string, path string"
