@@ -4,7 +4,11 @@ The reader checks every record: the member's gzip checksum, the version line, th
 record, and the digests that it names (nothing covers the values of headers outside gzip). After a failed check it searches for the next gzip member or version line, byte by
 byte, until a record there passes all checks; the bytes between are reported as a gap with the first failed check. Damage
 therefore costs the records that it touches and no others. A file is read as a stream; memory is bounded by the largest
-record (members that inflate beyond MAX_MEMBER are quarantined), whatever the size of the file.
+record, whatever the size of the file or of a member.
+
+A member's content is searched in the same way as it inflates, so one bad record, or damage behind some records, costs
+no others of the member; what is lost of it is one gap over the member. Where the gzip checks fail, only records whose
+block digest holds are trusted, their headers as little as those outside gzip; others wait for the member's end.
 
 The writer puts equal payloads next to each other, in a member of its own for each record. Among records with equal
 payloads of at least min_bytes, the smallest id is a response, and others revisit it; shorter ones are all responses.
@@ -16,9 +20,11 @@ Extra columns are not looked at. A payload that a third of all rows share is spr
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from tempfile import SpooledTemporaryFile
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,9 +34,12 @@ from pyspark.sql import functions as F
 from grantloom.llm import files
 from grantloom.llm.common import saved, scratch
 
-MAX_MEMBER = 1 << 28
-MAX_HEADER = 1 << 20
+#: No row can hold more, so a record that claims to be longer is damaged.
+MAX_RECORD = 1 << 31
+#: Bytes of a member kept behind the place that is being inflated, for the search after damage.
+BEHIND = 1 << 24
 END = b"\r\n\r\n"
+GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _URN = "urn:grantloom:page:"
 
 
@@ -119,10 +128,12 @@ class _Stream:
             del self.held[: before - self.base]
             self.base = before
 
-    def find(self, at: int) -> int | None:
-        """The next place, from at on, where a member or a version line may begin."""
+    def find(self, at: int, plain_from: int = 0, marks: tuple[bytes, ...] = (GZIP, VERSION)) -> int | None:
+        """The next place, from at on, where a member or, from plain_from on, a version line may begin."""
+        at = max(at, self.base)
         while True:
-            places = [k for k in (self.held.find(mark, at - self.base) for mark in (b"\x1f\x8b\x08", b"WARC/1.")) if k >= 0]
+            starts = [max(at, plain_from) if mark == VERSION else at for mark in marks]
+            places = [k for k in (self.held.find(mark, start - self.base) for mark, start in zip(marks, starts, strict=True)) if k >= 0]
             if places:
                 return self.base + min(places)
             at = max(at, self.base + len(self.held) - 6)
@@ -132,12 +143,14 @@ class _Stream:
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of some bytes, checked."""
-    if not raw.startswith(b"WARC/1."):
+    """Headers, block and length of the record at the start of some bytes, checked. EOFError: how many bytes it needs at least."""
+    if not raw.startswith(VERSION):
         raise Damaged("no version line")
-    cut = raw.find(END, 0, MAX_HEADER)
+    cut = raw.find(END)
     if cut < 0:
-        raise Damaged("headers without end")
+        if not all(b":" in line for line in raw.split(b"\r\n")[1:-1]):
+            raise Damaged("a header without colon")
+        raise EOFError(4 * len(raw))
     head: dict[str, str] = {}
     for line in raw[:cut].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -149,8 +162,10 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no length or type")
     begin = cut + len(END)
     end = begin + int(size)
+    if end > MAX_RECORD:
+        raise Damaged("the record is longer than any row")
     if len(raw) < end + len(END):
-        raise EOFError
+        raise EOFError(end + len(END))
     if raw[end : end + len(END)] != END:
         raise Damaged("the record doesn't end where its length says")
     block = raw[begin:end]
@@ -170,69 +185,142 @@ def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
     return block[cut + len(END) :] if cut >= 0 else b""
 
 
-def _inflated(stream: _Stream, at: int) -> tuple[bytes, int]:
-    """A gzip member's content, its checksum checked, and its length in the file."""
-    inflate, content, begin, step = zlib.decompressobj(31), bytearray(), at, 1 << 16
-    while not inflate.eof:
-        raw = stream.bytes(at, step)
-        if not raw:
-            raise Damaged("the file ends within a member")
-        try:
-            content += inflate.decompress(raw)
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
-        at += len(raw)
-        if len(content) > MAX_MEMBER:
-            raise Damaged("the member is too long")
-    return bytes(content), at - len(inflate.unused_data) - begin
-
-
-def _at(stream: _Stream, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records at a place of the file, all checked, and how many bytes they take."""
-    if stream.bytes(at, 3) == b"\x1f\x8b\x08":
-        content, taken = _inflated(stream, at)
-        found, place = [], 0
-        while place < len(content):
+class _Member:
+    """A gzip member's content as a source of bytes. error: the gzip check that failed, if one did, once all has been read."""
+
+    def __init__(self, stream: _Stream, at: int):
+        self.stream, self.at, self.inflate, self.error = stream, at, zlib.decompressobj(31), ""
+
+    def place(self) -> int:
+        """How far the file has been read for this."""
+        left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        return self.at - len(left)
+
+    def read(self, n: int) -> bytes:
+        while not self.inflate.eof and not self.error:
+            raw = self.inflate.unconsumed_tail
+            if not raw:
+                raw = self.stream.bytes(self.at, 1 << 16)
+                self.at += len(raw)
+                self.stream.forget(self.at - BEHIND)
+            if not raw:
+                self.error = "the file ends within a member"
+                break
+            before = self.inflate.copy()
             try:
-                head, block, size = parsed(content[place:] if place else content)
-            except EOFError:
-                raise Damaged("the member ends within a record") from None
-            found.append((head, block))
-            place += size
-        return found, taken
+                content = self.inflate.decompress(raw, n)
+            except zlib.error as e:
+                self.error = f"gzip: {e}"
+                self.at -= len(raw)
+                return self._up_to_damage(before, raw)
+            if content:
+                return content
+        return b""
+
+    def _up_to_damage(self, inflate, raw: bytes) -> bytes:
+        """What the bytes before the failed check hold: zlib gives nothing of a call that fails."""
+        content = bytearray()
+        try:
+            for k in range(len(raw)):
+                self.at += 1
+                content += inflate.decompress(raw[k : k + 1])
+        except zlib.error:
+            pass
+        self.inflate = zlib.decompressobj(31)  # nothing is left over
+        return bytes(content)
+
+
+def _plain(stream: _Stream, at: int) -> tuple[dict[str, str], bytes, int]:
+    """The record outside gzip at a place, checked, and its length."""
     want = 1 << 16
     while True:
         raw = stream.bytes(at, want)
         try:
-            head, block, size = parsed(raw)
-            return [(head, block)], size
-        except (EOFError, Damaged) as e:
-            short = isinstance(e, EOFError) or str(e) == "headers without end"
-            if not short or len(raw) < want or want > MAX_MEMBER:
-                raise Damaged("the file ends within a record" if isinstance(e, EOFError) else str(e)) from None
-            want *= 4
+            return parsed(raw)
+        except EOFError as e:
+            if len(raw) < want or want > MAX_RECORD:
+                raise Damaged("the file ends within a record") from None
+            want = max(e.args[0], want + 1)
+
+
+def _within(member: _Member, lost: list[str]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a member that can be trusted; lost: gets the reason for each stretch of its content that can't."""
+    stream, at, broken = _Stream(member), 0, False
+    with SpooledTemporaryFile(BEHIND) as waiting:
+        while stream.bytes(at, 1):
+            try:
+                head, block, size = _plain(stream, at)
+            except Damaged as e:
+                if not broken:
+                    lost.append(str(e).replace("the file", "the member"))
+                broken = True
+                following = stream.find(at + 1, marks=(VERSION,))
+                if following is None:
+                    break
+                at = following
+                continue
+            broken = False
+            if head.get("warc-block-digest", "").startswith("sha256:"):
+                yield head, block
+            else:
+                pickle.dump((head, block), waiting)
+            at += size
+            stream.forget(at)
+        while not member.error and not member.inflate.eof:
+            member.read(1 << 20)
+        held = waiting.tell()
+        if held and member.error:
+            lost.append(member.error)
+        waiting.seek(0)
+        while not member.error and waiting.tell() < held:
+            yield pickle.load(waiting)
 
 
 def salvage(source) -> Iterator[tuple]:
-    """("record", begin, end, head, block) for each record that passes all checks, and ("gap", begin, end, reason) for the bytes between."""
+    """("record", begin, end, head, block) for each record that passes all checks, and ("gap", begin, end, reason) for the bytes between.
+
+    A member's records begin where it does and end where the file had been read to; so do its gaps."""
     stream, at, gap, reason = _Stream(source), 0, None, ""
     while stream.bytes(at, 1):
-        try:
-            found, size = _at(stream, at)
-        except Damaged as e:
+        plain_from, failed, lost, end = 0, "", [], at
+        if stream.bytes(at, 3) == GZIP:
+            member, last = _Member(stream, at), None
+            for head, block in _within(member, lost):
+                if gap is not None:
+                    yield "gap", gap, at, reason
+                    gap = None
+                if last is not None:
+                    yield "record", at, member.place(), *last
+                last = head, block
+            end, failed = member.place(), member.error
+            if last is not None:
+                yield "record", at, end, *last
+                plain_from = end  # a version line within a member is no second record
+            if not failed and lost and last is not None:
+                yield "gap", at, end, lost[0]
+            elif not failed and lost:
+                failed = lost[0]
+                plain_from = end
+        else:
+            try:
+                head, block, size = _plain(stream, at)
+            except Damaged as e:
+                failed = str(e)
+            else:
+                if gap is not None:
+                    yield "gap", gap, at, reason
+                    gap = None
+                end = at + size
+                yield "record", at, end, head, block
+        if failed:
             if gap is None:
-                gap, reason = at, str(e)
-            following = stream.find(at + 1)
+                gap, reason = at, failed
+            following = stream.find(at + 1, plain_from)
             if following is None:
                 break
             at = following
             continue
-        if gap is not None:
-            yield "gap", gap, at, reason
-            gap = None
-        for head, block in found:
-            yield "record", at, at + size, head, block
-        at += size
+        at = end
         stream.forget(at)
     if gap is not None:
         yield "gap", gap, stream.base + len(stream.held), reason

@@ -414,6 +414,45 @@ def test_salvage_of_garbage():
     assert list(warc.salvage(io.BytesIO(b""))) == []
 
 
+def found_in(data):
+    import io
+
+    found = list(warc.salvage(io.BytesIO(data)))
+    return [int(x[3]["warc-record-id"].strip("<>").rpartition(":")[2]) for x in found if x[0] == "record"], [x[1:] for x in found if x[0] == "gap"]
+
+
+def test_salvage_within_a_member():
+    """One bad record of a member, a failed checksum or a cut costs no other record."""
+    import random
+
+    parts = [warc.record("response", k, "u", text, hashlib.sha256(text).hexdigest(), None, "2000-01-01T00:00:00Z") for k, text in enumerate(random.Random(k).randbytes(30_000) for k in range(8))]
+    whole = warc.member(b"".join(parts))
+    after = warc.member(raw(9))
+    assert found_in(whole + after) == ([*range(8), 9], [])
+    bad = list(parts)
+    bad[3] = bad[3][:-40] + b"?" * 20 + bad[3][-20:]
+    got, gaps = found_in(warc.member(b"".join(bad)) + after)
+    assert got == [0, 1, 2, 4, 5, 6, 7, 9] and len(gaps) == 1 and "digest" in gaps[0][2]
+    broken = bytearray(whole)
+    broken[-6] ^= 1  # the checksum
+    got, gaps = found_in(bytes(broken) + after)
+    assert got == [*range(8), 9] and len(gaps) == 1 and gaps[0][:2] == (0, len(whole))
+    got, gaps = found_in(whole[: len(whole) * 6 // 8] + after)
+    assert got[:5] == [0, 1, 2, 3, 4] and got[-1] == 9 and len(got) == len(set(got)) and len(gaps) == 1
+    plain = [p.replace(b"WARC-Block-Digest", b"X-Block").replace(b"WARC-Payload-Digest", b"X-Payload") for p in parts]
+    whole = bytearray(warc.member(b"".join(plain)))
+    assert found_in(bytes(whole)) == (list(range(8)), [])
+    whole[-6] ^= 1
+    assert found_in(bytes(whole))[0] == []  # nothing vouches for these
+
+
+def test_salvage_of_long_records():
+    """Neither a member, a record nor a header has a bound of its own."""
+    text = b"x" * (300 << 20)
+    long = warc.record("response", 0, "u" * (3 << 20), text, hashlib.sha256(text).hexdigest(), None, "2000-01-01T00:00:00Z")
+    assert found_in(warc.member(long) + warc.member(raw(1))) == ([0, 1], [])
+
+
 # ---------------------------------------------------------------- toxicity
 
 
