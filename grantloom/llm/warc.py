@@ -10,12 +10,13 @@ A member's content is searched in the same way as it inflates, so one bad record
 no others of the member; what is lost of it is one gap over the member. Where the gzip checks fail, only records whose
 block digest holds are trusted, their headers as little as those outside gzip; others wait for the member's end.
 
-The writer puts equal payloads next to each other, in a member of its own for each record. Among records with equal
-payloads of at least min_bytes, the smallest id is a response, and others revisit it; shorter ones are all responses.
+The writer puts each record in a member of its own. Among records with equal payloads of at least min_bytes, the smallest
+id is a response, and others revisit it; shorter ones are all responses. Which id that is gets decided on digests and ids
+alone; payloads are shuffled once, by both, so that a payload that a third of all rows share is spread over its ids.
 
 A null html is an empty payload, a null url leaves its header out. Rows that repeat the smallest id of a payload revisit
 its first row. Rows without id refer to others but are never referred to. An empty table gives no archives and no rows.
-Extra columns are not looked at. A payload that a third of all rows share is spread by range partitioning over its ids.
+Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -71,15 +72,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """Writes page_id, url, html as .warc.gz files and returns the manifest, one row per file: path, n_records."""
     folder = folder or scratch(pages.sparkSession, "warc")
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    first = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    sorted_ = rows.join(first, "digest", "left").repartitionByRange("digest", "page_id").sortWithinPartitions("digest", "page_id", "url").select("page_id", "url", "html", "digest", "first")
+    page_id = pages["page_id"].cast("long")
+    # A null id is a key of its own, so that one equality join finds every row.
+    key = [F.unhex(F.sha2(html, 256)).alias("digest"), F.coalesce(page_id, F.lit(0).cast("long")).alias("id"), page_id.isNull().alias("no_id")]
+    narrow = saved(pages.select(*key, (F.octet_length(html) >= min_bytes).alias("long_enough")), "warc-digests")
+    first = narrow.filter("long_enough").groupBy("digest").agg(F.min(F.when(~F.col("no_id"), F.col("id"))).alias("first"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull())
+    known = narrow.filter("long_enough").join(first, "digest").select("digest", "id", "no_id", "first").distinct()
+    # html is shuffled once, by digest and id. That is dealt out here, not by the join, as rows of one digest and id must
+    # stay in one task, which Spark's splitting of skewed joins wouldn't keep to.
+    names = ["digest", "id", "no_id"]
+    rows = pages.select(*key, pages["url"].cast("string").alias("url"), html.alias("html")).repartition(*names).join(known.hint("merge"), names, "left")
+    sorted_ = rows.sortWithinPartitions(*names, "url").select(F.when(~F.col("no_id"), F.col("id")).alias("page_id"), "url", "html", "digest", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, n, size, done, last = None, "", 0, 0, [], None
         for batch in batches:
             for page_id, url, text, digest, original in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                payload = text.encode("utf-8", "surrogatepass")
+                payload, digest = text.encode("utf-8", "surrogatepass"), digest.hex()
                 # Rows of one digest and id are together in one partition, so the first of them is known here.
                 own = original is None or (page_id == original and last != (digest, page_id))
                 last = (digest, page_id)
