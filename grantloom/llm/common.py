@@ -7,10 +7,11 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ _run: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """This run's folder below the one the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """This run's folder below the one the cluster names in spark.checkpoint.dir; one of our own only where that is unset and
+    all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _run.setdefault("own", "file://" + tempfile.mkdtemp(prefix="grantloom-"))
     key = f"{spark.sparkContext.applicationId} {base}"
     if key not in _run:
@@ -50,11 +54,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def make_folder(spark: SparkSession, path: str) -> str:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    return path
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in there.listStatus(where)] if there.exists(where) else []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -101,35 +105,35 @@ def words_of(text: Column) -> Column:
 # ---------------------------------------------------------------- texts as bytes
 
 
-def rows_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all rows, offsets of each row); null counts as empty. Nothing is copied for ordinary batches."""
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    if array.null_count:
-        array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else "")
-    array = array.cast(pa.large_binary())
-    _, offsets, data = array.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+def texts_of(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """Each row's text in UTF-8; null counts as empty."""
+    return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
 
 
-def texts_of(array) -> list[bytes]:
-    return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: A text is split in pieces of about this many bytes, so that the lists of its words don't grow with it.
+PIECE = 1 << 20
+#: Hashes that a worker keeps, of words up to so many bytes.
+KEPT_WORDS, KEPT_BYTES = 300_000, 64
+
 
+class _Digests(dict):
+    """The first 8 bytes of each word's BLAKE2b digest; words repeat, so those met lately are kept."""
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BASE = np.uint64(int(_rng.integers(0, 2**64, dtype=np.uint64)) | 5)
+    def __missing__(self, word: bytes) -> bytes:
+        found = blake2b(word, digest_size=8).digest()
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_digests = _Digests()
 _powers = {}
-#: A text is hashed in pieces of about this many bytes, so that memory doesn't follow the longest text.
-PIECE = 1 << 18
 
 
-def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i up to n."""
     if base not in _powers or len(_powers[base][0]) < n:
         size = max(n, 1 << 16)
@@ -147,40 +151,26 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def spans(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text."""
-    inside = np.zeros(len(row) + 2, bool)
-    np.logical_not(_IS_SPACE[row], out=inside[1:-1])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
-
-def word_hashes(row: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash for each word of a text; fold: A-Z count as a-z."""
-    if len(row) > 2 * PIECE:
-        cuts, at = [], 0
-        while at < len(row):
-            to = min(len(row), at + PIECE)
-            while to < len(row) and not _IS_SPACE[row[to]]:  # up to the end of a word
-                ahead = np.flatnonzero(_IS_SPACE[row[to : to + PIECE]])
-                to = to + int(ahead[0]) if len(ahead) else min(len(row), to + PIECE)
-            cuts.append(word_hashes_piece(row[at:to], fold))
-            at = to
-        return np.concatenate(cuts)
-    return word_hashes_piece(row, fold)
-
-
-def word_hashes_piece(row: np.ndarray, fold: bool) -> np.ndarray:
-    starts, ends = spans(row)
-    up, down = powers(len(row))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(row) + 1, np.uint64)
-        np.cumsum((_FOLDED if fold else _BYTE)[row] * up[: len(row)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def pieces_of(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that end where a word does; most texts are one."""
+    at = 0
+    while len(text) - at > 2 * PIECE:
+        gap = _SPACE.search(text, at + PIECE)
+        to = gap.start() if gap else len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def word_hashes(text: bytes, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash for each word of a text; fold: A-Z count as a-z. Words that differ collide by chance only."""
+    found = [np.frombuffer(b"".join(map(_digests.__getitem__, (x.lower() if fold else x).split())), np.uint64) for x in pieces_of(text)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A hash of each run of n consecutive words; base: an odd number, one for each independent hash."""
+    """A hash of each run of n consecutive words. Equal runs agree; a power series modulo 2**64 can also make runs agree that
+    differ, so this finds candidates and settles nothing. base: an odd number."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     up, down = powers(len(words) + 1, np.uint64(base))

@@ -1,6 +1,7 @@
 """Near duplicates by circulant MinHash: candidates from bands of signatures, links only after exact Jaccard.
 
-A document's set is its distinct shingles, as 64-bit hashes. Two permutations of 32-bit numbers make all coordinates of
+A document's set is its distinct shingles, each a 64-bit mix of its words' BLAKE2b digests: shingles that differ agree by
+chance only (in two sets of a million, with probability 5e-8), not by any pattern of their letters or words. Two permutations of 32-bit numbers make all coordinates of
 its signature: the first scatters the set, the second, circularly shifted by k, gives the k-th minimum. Documents with
 equal sets are one class from the start, so copies are never compared. Classes that agree in a band of the signature are
 candidates, and never expanded into all pairs: each bucket's most copied class leads it, and the others are compared
@@ -18,6 +19,7 @@ without_near_duplicates(). Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -25,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, mix, release, rows_of, saved, word_hashes
+from grantloom.llm.common import drop_saved, mix, release, saved, texts_of, word_hashes
 
 BANDS, ROWS = 20, 4
 #: Members outside a family's largest component are compared in blocks of about BLOCK, with about CHUNK members at a time.
 BLOCK, CHUNK = 64, 4000
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+@cache
+def _factor(place: int) -> np.uint64:
+    """An odd number for each place of a shingle, without any relation between them."""
+    return np.uint64(int.from_bytes(blake2b(b"%d" % place, digest_size=8, person=b"shingle").digest(), "little") | 1)
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -41,7 +48,7 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.full(len(words) - k + 1, np.uint64(k), np.uint64)
         for j in range(k):
-            total += words[j : len(words) - k + 1 + j] * _FACTORS[j % 8] * np.uint64(2 * (j // 8) + 1)
+            total += words[j : len(words) - k + 1 + j] * _factor(j)
     return np.unique(mix(total))
 
 
@@ -81,10 +88,9 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = rows_of(batch.column(1))
             sizes, nodes, bands = [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                items = shingle_set(word_hashes(data[a:b], fold=True), shingle)
+            for text in texts_of(batch.column(1)):
+                items = shingle_set(word_hashes(text, fold=True), shingle)
                 sizes.append(len(items))
                 nodes.append(blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                 bands.append(band_values(items) if len(items) else None)
@@ -98,10 +104,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = rows_of(batch.column(0))
             nodes, sets = [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                items = shingle_set(word_hashes(data[a:b], fold=True), shingle)
+            for text in texts_of(batch.column(0)):
+                items = shingle_set(word_hashes(text, fold=True), shingle)
                 if len(items):
                     nodes.append(blake2b(items.tobytes(), digest_size=16).digest())
                     sets.append(items.view(np.int64))
@@ -216,5 +221,5 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     """The documents that stay: of each group the one with the smallest id; all columns. Rows that repeat that id stay
     if they are of the same group, as the id is all that tells documents apart."""
     verdict = link_components(docs.select("doc_id", "text"), shingle, percent)
-    gone = saved(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = saved(verdict.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

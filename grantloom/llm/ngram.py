@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.llm import files
-from grantloom.llm.common import mix, rows_of, saved, scratch, word_hashes
+from grantloom.llm.common import mix, saved, scratch, texts_of, word_hashes
 from grantloom.llm.elias_fano import EliasFano, read_arrays, write_arrays
+from grantloom.llm.tokens import in_groups
 
 MU = 100.0
 END = np.uint64(0x2545F4914F6CDD1D >> 1)
@@ -41,8 +42,8 @@ HELD = 2_000_000
 STEPS = 255
 
 
-def tokens(row: np.ndarray) -> np.ndarray:
-    return np.append(word_hashes(row, fold=True) >> np.uint64(1), END)
+def tokens(text: bytes) -> np.ndarray:
+    return np.append(word_hashes(text, fold=True) >> np.uint64(1), END)
 
 
 def counted(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +81,9 @@ class _Counter:
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     """Consecutive rows with about so many bytes: the batch, the first row and the tokens of each."""
     for batch in batches:
-        data, offsets = rows_of(batch.column(column))
-        begin = 0
-        while begin < len(batch):
-            to = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
-            yield batch, begin, [tokens(data[offsets[k] : offsets[k + 1]]) for k in range(begin, to)]
-            begin = to
+        texts = texts_of(batch.column(column))
+        for begin, to in in_groups(texts, most):
+            yield batch, begin, [tokens(x) for x in texts[begin:to]]
 
 
 # ---------------------------------------------------------------- the model

@@ -1,208 +1,292 @@
-"""Substring dedup with a log-structured index of fingerprints.
+"""Substring dedup with a log-structured index of window fingerprints.
 
-A window is a run of consecutive words. To know every window that also starts in an earlier document it isn't needed to
-keep them all: each window selects, among the shorter runs of words (grams) that it holds, the one with the smallest
-hash, and two equal windows select equal grams. The index keeps selected grams only, about one in fourteen.
+A window is a run of consecutive words. The index is a folder of sorted runs that are never changed, and a manifest that
+names them; it can be opened again and extended. Runs are of two kinds, both one row per hash with the smallest document
+that has it:
 
-The index is log-structured. A batch of documents becomes a run: gram hashes, sorted, with the smallest document that
-has each; runs are never changed. A new batch is merge-joined with the runs there are, which tells its grams that
-earlier documents have as well. Two runs of a level are merged into one of the next level (compaction), so there are
-only as many runs as the logarithm of the number of batches.
+- prints: a window's fingerprint is the smallest hash among the shorter runs of words (grams) that it holds. Equal windows
+  have equal fingerprints, and neighbouring windows mostly share theirs, so there is one for about fourteen words.
+- windows: 128-bit digests of the windows' own bytes, for fingerprints that more than one document has.
 
-Grams are candidates; windows decide. All windows whose gram occurs in more than one document are hashed as a whole,
-with hashes that don't depend on the gram's, and a window is taken out of a document if a smaller id has it.
+A batch of documents becomes a run of prints, which is merge-joined with those there are. That tells which fingerprints
+are shared, and which earlier documents held one that nobody shared until now; the windows of both are read from their
+texts. The batch's windows are then merge-joined with the runs of windows: a window goes out of a document if a smaller
+id has its digest, that is the same words. Two runs of a level are merged into one of the next level (compaction), so
+there are only as many runs as the logarithm of the number of batches.
 
+A batch is judged against the documents before it and itself; a document that came earlier keeps what it kept then.
 Windows are judged on the input, not on what is left. Null and empty texts have no words and come back as the digest of
 nothing. A row without id is neither removed from nor a reason to remove. Rows that repeat an id are one document for
 the others and don't remove each other's words. Nothing is sampled, and no window, document or group is left out. Hot
-passages meet in partial aggregates (one row per window and task); joins on them are split by Spark's skew handling.
+passages meet in partial aggregates (one row per hash and task); joins on them are split by Spark's skew handling. Extra
+columns are kept by without_repeated_passages(), whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, release, rows_of, run_hashes, saved, texts_of, word_hashes, words_of
+from grantloom.llm.common import drop_saved, list_folder, release, remove, run_hashes, saved, scratch, texts_of, word_hashes, words_of
 
 WINDOW, GRAM = 50, 25
-#: Windows are decided in so many slices of their hashes, one after the other, so that scratch space holds one slice's rows.
-SLICES = 2
-_GRAM_BASE, _WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_GRAM_BASE = 0x9E3779B97F4A7C15
+_HASHES = {"prints": ["print"], "windows": ["w1", "w2"]}
 
 
-def selected(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that each window selects: hashes of all grams, and for each window the number of its gram."""
-    grams = run_hashes(words, gram, _GRAM_BASE)
-    inside = window - gram + 1
-    if len(grams) < inside:
-        return grams, np.zeros(0, np.int64)
-    chosen = np.empty(len(grams) - inside + 1, np.int64)
-    for at in range(0, len(chosen), 1 << 16):
-        part = grams[at : at + (1 << 16) + inside - 1]
-        view = np.lib.stride_tricks.sliding_window_view(part, inside)
-        chosen[at : at + len(view)] = view.argmin(axis=1) + np.arange(at, at + len(view))
-    return grams, chosen
+def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
+    """The minimum of each k neighbours: of what is left of the one block of k that they touch, and of what they have of the next."""
+    n = len(x) - k + 1
+    if n <= 0:
+        return np.zeros(0, x.dtype)
+    blocks = np.concatenate([x, np.full(-len(x) % k, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, k)
+    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    right = np.minimum.accumulate(blocks, axis=1).ravel()
+    return np.minimum(left[:n], right[k - 1 : k - 1 + n])
 
 
-def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row per document: doc_id, n_words, whole_sha256 (of the words joined by a space), grams (selected, distinct)."""
+def prints(text: bytes, window: int, gram: int) -> tuple[int, np.ndarray]:
+    """The number of a text's words, and the fingerprint of each window."""
+    words = word_hashes(text)
+    return len(words), sliding_min(run_hashes(words, gram, _GRAM_BASE), window - gram + 1).view(np.int64)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = rows_of(batch.column(1))
-            counts, shas, grams = [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                row = data[a:b]
-                words = word_hashes(row)
-                counts.append(len(words))
-                shas.append(sha256(b" ".join(row.tobytes().split())).hexdigest())
-                hashes, chosen = selected(words, window, gram)
-                grams.append(np.unique(hashes[np.unique(chosen)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "n_words", "whole_sha256", "grams"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(scan, "doc_id long, n_words long, whole_sha256 string, grams array<long>")
+class Windows:
+    """A text's windows: their fingerprints, and the digests of those that are asked for."""
 
+    def __init__(self, text: bytes, window: int, gram: int):
+        self.window = window
+        self.words = text.split()
+        self.prints = prints(text, window, gram)[1]
 
-class FingerprintIndex:
-    """Sorted immutable runs of gram hashes: gram, first_doc, again (more than one document has it)."""
+    def digests(self, places: np.ndarray) -> np.ndarray:
+        """128-bit digests of the windows that start at these words, as two numbers each."""
+        joined = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        starts = ends - np.fromiter(map(len, self.words), np.int64, len(self.words))
+        spans = zip(starts[places].tolist(), ends[places + self.window - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([blake2b(joined[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
 
-    def __init__(self) -> None:
-        self.runs: list[tuple[int, DataFrame]] = []  # (level, run), newest last
 
-    @staticmethod
-    def _run(rows: DataFrame) -> DataFrame:
-        return saved(rows.sortWithinPartitions("gram"), "run")
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
-    def add(self, grams: DataFrame) -> DataFrame:
-        """Adds a batch, rows (doc_id, gram), and returns the grams that it shares with earlier documents or within itself."""
-        least, most = F.min("doc_id"), F.max("doc_id")
-        batch = self._run(grams.groupBy("gram").agg(least.alias("first_doc"), (least < most).alias("again")))
-        shared = batch.filter("again").select("gram")
-        for _, run in self.runs:
-            shared = shared.unionByName(batch.join(run.select("gram"), "gram", "left_semi").select("gram"))
-        shared = saved(shared.distinct(), "shared")
-        self.runs.append((0, batch))
-        self.compact()
-        return shared
-
-    def compact(self) -> None:
-        """Merges the newest runs while two are of one level."""
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (level, new), (_, old) = self.runs.pop(), self.runs.pop()
-            both = old.unionByName(new).groupBy("gram").agg(F.min("first_doc").alias("first_doc"), ((F.count("*") > 1) | F.bool_or("again")).alias("again"))
-            self.runs.append((level + 1, self._run(both)))
-            drop_saved(old, new)
 
-    def drop(self) -> None:
-        drop_saved(*[run for _, run in self.runs])
-        self.runs = []
+def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """One row per document: doc_id, n_words, whole_sha256 (of the words joined by a space), prints (distinct)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, shas, found = [], [], []
+            for text in texts_of(batch.column(1)):
+                n, each = prints(text, window, gram)
+                counts.append(n)
+                shas.append(sha256(b" ".join(text.split())).hexdigest())
+                found.append(np.unique(each))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "whole_sha256", "prints"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, whole_sha256 string, prints array<long>")
 
 
-def windows(texts: DataFrame, window: int, gram: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """From doc_id, text, shared: the distinct windows (w1, w2: two independent hashes) of each document whose gram is shared,
-    of those whose w1 modulo parts is part."""
+def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """From doc_id, text, shared: the distinct digests (w1, w2) of each row's windows whose fingerprint is shared."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = rows_of(batch.column("text"))
-            lists = batch.column("shared")
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            ids = batch.column("doc_id").to_numpy()
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
-            for k in range(len(batch)):
-                words = word_hashes(data[offsets[k] : offsets[k + 1]])
-                hashes, chosen = selected(words, window, gram)
-                hit = np.isin(hashes.view(np.int64)[chosen], values[ends[k] : ends[k + 1]])
-                one, two = (run_hashes(words, window, base)[hit] for base in _WINDOW_BASES)
-                mine = one % np.uint64(parts) == part
-                one, two = one[mine], two[mine]
-                one, first = np.unique(one, return_index=True)
-                found.append((np.full(len(one), ids[k]), one.view(np.int64), two[first].view(np.int64)))
-                size += len(one)
-                if size > 100_000 or k == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["doc_id", "w1", "w2"])
+            for doc_id, text, shared in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), _lists(batch.column("shared")), strict=True):
+                one = Windows(text, window, gram)
+                digests = np.unique(one.digests(np.flatnonzero(np.isin(one.prints, shared))), axis=0)
+                found.append((np.full(len(digests), doc_id), digests))
+                size += len(digests)
+                if size > 100_000:
+                    yield out(found)
                     found, size = [], 0
+            if found:
+                yield out(found)
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        digests = np.concatenate([d for _, d in found])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in found])), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["doc_id", "w1", "w2"])
 
     return texts.select("doc_id", "text", "shared").mapInArrow(make, "doc_id long, w1 long, w2 long")
 
 
-def cut(texts: DataFrame, window: int, with_text: bool = False) -> DataFrame:
-    """From doc_id, text, repeated (w1 of windows to take out): doc_id, whole_sha256, n_removed, kept_sha256 (and kept_text)."""
+def cut(texts: DataFrame, window: int, gram: int, with_text: bool = False) -> DataFrame:
+    """From doc_id, text, shared, repeated (digests of windows to take out, w1 and w2 in turn): doc_id, whole_sha256,
+    n_removed, kept_sha256 (and kept_text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = texts_of(batch.column("text"))
-            data, offsets = rows_of(batch.column("text"))
-            lists = batch.column("repeated")
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             rows = []
-            for k, text in enumerate(texts_):
-                words = text.split()
-                hit = np.flatnonzero(np.isin(run_hashes(word_hashes(data[offsets[k] : offsets[k + 1]]), window, _WINDOW_BASES[0]).view(np.int64), values[ends[k] : ends[k + 1]]))
-                edge = np.zeros(len(words) + 1, np.int64)
+            for text, shared, repeated in zip(texts_of(batch.column("text")), _lists(batch.column("shared")), _lists(batch.column("repeated")), strict=True):
+                one = Windows(text, window, gram)
+                places = np.flatnonzero(np.isin(one.prints, shared))
+                gone_digests = set(repeated.reshape(-1, 2).copy().view("V16").ravel().tolist())
+                of = np.ascontiguousarray(one.digests(places)).view("V16").ravel().tolist()
+                hit = places[np.fromiter((d in gone_digests for d in of), bool, len(of))]
+                edge = np.zeros(len(one.words) + 1, np.int64)
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                rows.append((sha256(b" ".join(words)).hexdigest(), int(gone.sum()), sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else [])))
+                kept = b" ".join(w for w, g in zip(one.words, gone.tolist(), strict=True) if not g)
+                rows.append((sha256(b" ".join(one.words)).hexdigest(), int(gone.sum()), sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if with_text else [])))
             names = ["whole_sha256", "n_removed", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in zip(*rows, strict=True)]], names=["doc_id", *names[: 3 + with_text]])
 
-    return texts.select("doc_id", "text", "repeated").mapInArrow(make, "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return texts.select("doc_id", "text", "shared", "repeated").mapInArrow(make, "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+class FingerprintIndex:
+    """A folder of runs. FingerprintIndex(spark, folder) opens what is there, or begins a new index."""
+
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.folder, self.window, self.gram = spark, folder, window, gram
+        self.version = 0
+        self.runs: dict[str, list[tuple[int, str]]] = {"prints": [], "windows": []}  # (level, path), newest last
+        written = sorted(x for x in list_folder(spark, folder) if x.startswith("manifest-") and "_SUCCESS" in list_folder(spark, f"{folder}/{x}"))
+        if written:
+            rows = spark.read.parquet(f"{folder}/{written[-1]}").orderBy("place").collect()  # a row per run
+            self.version = int(written[-1].rpartition("-")[2])
+            shape = {(r["window"], r["gram"]) for r in rows}
+            if shape - {(window, gram)}:
+                raise ValueError(f"the index has windows and grams of {shape}")
+            for r in rows:
+                self.runs[r["kind"]].append((r["level"], r["path"]))
+
+    def _run(self, kind: str, rows: DataFrame) -> str:
+        path = f"{self.folder}/{scratch(self.spark, kind).rpartition('/')[2]}"
+        rows.sortWithinPartitions(*_HASHES[kind]).write.parquet(path)
+        return path
+
+    def _rows(self, kind: str) -> Iterator[DataFrame]:
+        return (self.spark.read.parquet(path) for _, path in self.runs[kind])
+
+    def _compact(self) -> list[str]:
+        """Merges the newest runs while two are of one level; gives the runs that are no longer needed."""
+        old = []
+        for kind, runs in self.runs.items():
+            while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
+                pair = [runs.pop(), runs.pop()]
+                both = self.spark.read.parquet(pair[0][1]).unionByName(self.spark.read.parquet(pair[1][1]))
+                least = [F.min("first_doc").alias("first_doc")]
+                again = [((F.count("*") > 1) | F.bool_or("again")).alias("again")] if kind == "prints" else []
+                runs.append((pair[0][0] + 1, self._run(kind, both.groupBy(*_HASHES[kind]).agg(*least, *again))))
+                old += [path for _, path in pair]
+        return old
+
+    def _commit(self) -> None:
+        """Runs count once a manifest names them, so that a failed batch leaves the index as it was."""
+        old = self._compact()
+        self.version += 1
+        rows = [(kind, place, level, path, self.window, self.gram) for kind, runs in self.runs.items() for place, (level, path) in enumerate(runs)]
+        self.spark.createDataFrame(rows, "kind string, place int, level int, path string, window int, gram int").coalesce(1).write.parquet(f"{self.folder}/manifest-{self.version:08d}")
+        for path in old:
+            remove(self.spark, path)
+
+    def add(self, batch: DataFrame, earlier: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+        """Adds documents (doc_id, text) and returns a row for each: doc_id, n_words, n_removed, kept_sha256, whole_sha256;
+        with_text: kept_text too (null if nothing was removed).
+
+        earlier: the documents that the index already has, from which the windows of newly shared fingerprints are read."""
+        spark, temporary = self.spark, []
+        plain = lambda d: d.select(d["doc_id"].cast("long").alias("doc_id"), d["text"].cast("string").alias("text"))
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            temporary.append(saved(df, name))
+            return temporary[-1]
+
+        if any(self.runs.values()) and earlier is None:
+            raise ValueError("the index has documents already; earlier must give them")
+        batch = plain(batch)
+        base = saved(scanned(batch, self.window, self.gram), "scanned")
+        each = base.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode("prints").alias("print"))
+        least, most = F.min("doc_id"), F.max("doc_id")
+        new = self._run("prints", each.groupBy("print").agg(least.alias("first_doc"), (least < most).alias("again")))
+        run = spark.read.parquet(new)
+        shared, found = run.filter("again").select("print"), None
+        for old in self._rows("prints"):
+            hits = old.join(run.select("print"), "print", "left_semi")
+            found = hits if found is None else found.unionByName(hits)
+        opened = None
+        if found is not None:
+            met = kept(found.groupBy("print").agg(F.count("*").alias("runs"), F.bool_or("again").alias("again"), F.min("first_doc").alias("doc_id")), "met")
+            shared = shared.unionByName(met.select("print"))
+            # What one earlier document had alone: its windows haven't been read yet.
+            opened = met.filter((F.col("runs") == 1) & ~F.col("again")).groupBy("doc_id").agg(F.collect_set("print").alias("shared"))
+        of = kept(each.join(shared.distinct(), "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("shared")), "shared-of")
+        release(spark)
+        texts = kept(batch.join(of, "doc_id"), "texts")
+        release(spark)  # the join's shuffle files, before windows are written
+        every = kept(windows(texts, self.window, self.gram), "windows")
+        first = F.min("doc_id").alias("first_doc")
+        added = every.select("w1", "w2", "doc_id")
+        if opened is not None:
+            added = added.unionByName(windows(plain(earlier).join(opened, "doc_id"), self.window, self.gram).select("w1", "w2", "doc_id"))
+        of_windows = self._run("windows", added.groupBy("w1", "w2").agg(first))
+        release(spark)
+        decided = []
+        for old in [spark.read.parquet(of_windows), *self._rows("windows")]:
+            # A window that only its own document has is in the new run alone, with that document's id.
+            later = every.join(old, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first_doc"))
+            decided.append(kept(later.select("doc_id", "w1", "w2"), "repeated"))
+            release(spark)
+        repeated = decided[0]
+        for more in decided[1:]:
+            repeated = repeated.unionByName(more)
+        repeated = repeated.groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("w1", "w2"))).alias("repeated"))
+        changed = saved(cut(texts.join(repeated, "doc_id"), self.window, self.gram, with_text), "cut").dropDuplicates(["doc_id", "whole_sha256"])
+        drop_saved(*temporary)
+        self.runs["prints"].append((0, new))
+        self.runs["windows"].append((0, of_windows))
+        self._commit()
+        release(spark)
+        result = base.select("doc_id", "n_words", "whole_sha256").join(changed, ["doc_id", "whole_sha256"], "left")
+        return result.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "whole_sha256", *(["kept_text"] if with_text else []))
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256; with_text: kept_text too (null if nothing was removed).
+    """One row per document, as FingerprintIndex.add() gives them.
 
     The documents are indexed in so many batches, by ranges of their ids, as they would be if they came one after the other."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    base = saved(scanned(docs, window, gram), "scanned")
-    grams = base.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode("grams").alias("gram"))
-    cuts = base.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
+    cuts = [int(x) for x in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02)] if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
-    index, shared = FingerprintIndex(), None
+    index, results = FingerprintIndex(spark, scratch(spark, "fingerprints"), window, gram), []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = grams if low is None else grams.filter(F.col("doc_id") > F.lit(int(low)))
-        found = index.add(part if high is None else part.filter(F.col("doc_id") <= F.lit(int(high))))
-        shared = found if shared is None else shared.unionByName(found)
+        # Rows without id come with the first batch.
+        part = docs if high is None else docs.filter((F.col("doc_id") <= high) | F.col("doc_id").isNull())
+        part = part if low is None else part.filter(F.col("doc_id") > low)
+        results.append(index.add(part, None if low is None else docs.filter(F.col("doc_id") <= low), with_text))
     index.drop()
-    release(spark)
-    of = saved(grams.join(shared.distinct(), "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("shared")), "shared-of")
-    release(spark)
-    texts = saved(docs.join(of, "doc_id"), "texts")
-    drop_saved(of)
-    release(spark)  # the join's shuffle files, before windows are written
-    repeated, decided = None, []
-    for part in range(SLICES):
-        every = saved(windows(texts, window, gram, part, SLICES), "windows")
-        release(spark)
-        first = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter(F.col("first_doc") < F.col("last_doc"))
-        later = every.join(first, ["w1", "w2"]).filter(F.col("doc_id") > F.col("first_doc"))
-        decided.append(saved(later.groupBy("doc_id").agg(F.collect_set("w1").alias("repeated")), "repeated"))
-        repeated = decided[-1] if repeated is None else repeated.unionByName(decided[-1])
-        drop_saved(every)
-        release(spark)
-    repeated = repeated.groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("repeated"))
-    changed = saved(cut(texts.join(repeated, "doc_id"), window, with_text), "cut").dropDuplicates(["doc_id", "whole_sha256"])
-    kept = base.select("doc_id", "n_words", "whole_sha256").join(changed, ["doc_id", "whole_sha256"], "left")
-    return kept.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), *(["kept_text"] if with_text else []), *(["whole_sha256"] if with_text else []))
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def without_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
     """The documents with repeated words taken out of their texts, and n_chars, if there, brought up to date. A text that
     changes has its remaining words joined by one space; other texts stay as they are. Documents of which nothing remains go."""
     result = repeated_passages(docs.select("doc_id", "text"), window, gram, batches, with_text=True)
-    changed = saved(result.filter(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("whole_sha256").alias("_sha"), F.col("kept_text").alias("_kept")), "changed").dropDuplicates(["_id", "_sha"])
-    sha = F.sha2(F.array_join(words_of(docs["text"]), " "), 256)
-    both = docs.join(changed, (docs["doc_id"].cast("long") == F.col("_id")) & (sha == F.col("_sha")), "left").filter(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    text = F.coalesce("_kept", docs["text"])
-    values = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), docs["n_chars"]).otherwise(F.length("_kept")).cast("long") if "n_chars" in docs.columns else None}
-    return both.select(*[values[c].alias(c) if c in values else docs[c] for c in docs.columns])
+    changed = saved(result.filter(F.col("n_removed") > 0).select("doc_id", "whole_sha256", "kept_text"), "changed").dropDuplicates(["doc_id", "whole_sha256"])
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    column = dict(zip(docs.columns, inner.columns, strict=True))
+    text, kept = F.col(column["text"]), F.col("kept_text")
+    sha = F.sha2(F.array_join(words_of(text), " "), 256)
+    both = inner.join(changed, (F.col(column["doc_id"]).cast("long") == F.col("doc_id")) & (sha == F.col("whole_sha256")), "left").filter(kept.isNull() | (kept != ""))
+    values = {"text": F.coalesce(kept, text)}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(kept.isNull(), F.col(column["n_chars"])).otherwise(F.length(kept)).cast("long")
+    return both.select(*[values.get(c, F.col(column[c])).alias(c) for c in docs.columns])

@@ -153,6 +153,58 @@ def test_substrings(docs, nothing):
     assert 2 not in texts and texts[1] == BASE and len(words(texts[4])) == 120
 
 
+def thue_morse(length, one, two):
+    found = one
+    other = two
+    while len(found) < length:
+        found, other = found + other, other + found
+    return found
+
+
+def test_words_without_chance_to_collide_do_not(spark):
+    """Power series modulo 2**64 take Thue-Morse words for equal, whatever their base; the operators must not."""
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rest = [f"w{k}" for k in range(60)]
+    texts = [(1, " ".join([a, *rest[:60]])), (2, " ".join([w for r in rest for w in (b, r)])), (3, " ".join([w for r in rest for w in (a, r)]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(tuple(r)[:4] for r in substring.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == sorted(cut(texts))
+    assert sorted(map(tuple, near_dup.link_components(docs, 4).select("doc_id", "n_shingles", "component_id").collect())) == sorted(components(texts, 4))
+    # The same of sequences of two words.
+    one, two = (thue_morse(1024, ["x"], ["y"]), thue_morse(1024, ["y"], ["x"]))
+    texts = [(1, " ".join(one)), (2, " ".join(two))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substring.repeated_passages(docs, window=1024, gram=512).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(cut(texts, 1024))
+
+
+def test_index_is_saved_opened_and_extended(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    passage = " ".join(f"p{k}" for k in range(70))
+    filler = lambda seed: " ".join(f"f{seed}x{k}" for k in range(80))
+    texts = [(k, f"{filler(k)} {passage if k in (2, 5, 9) else filler(100 + k)} {filler(200 + (k % 7))}") for k in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = []
+    for low, high in ((-1, 2), (2, 4), (4, 7), (7, 12)):
+        index = substring.FingerprintIndex(spark, folder)  # opened anew each time
+        part = docs.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high))
+        earlier = docs.filter(F.col("doc_id") <= low) if low >= 0 else None
+        got += [tuple(r) for r in index.add(part, earlier).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got) == sorted(cut(texts))
+    assert sum(r[2] > 0 for r in got) > 4
+    index = substring.FingerprintIndex(spark, folder)
+    assert index.version == 4 and [level for level, _ in index.runs["prints"]] == [2]
+    with pytest.raises(ValueError):
+        index.add(docs)
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, folder, window=40)
+
+
+def test_sliding_min():
+    x = np.random.default_rng(0).integers(0, 2**63, 97, dtype=np.uint64)
+    for k in (1, 2, 7, 96, 97, 98):
+        assert substring.sliding_min(x, k).tolist() == [int(x[a : a + k].min()) for a in range(len(x) - k + 1)]
+
+
 # ---------------------------------------------------------------- mixing
 
 
