@@ -1,14 +1,17 @@
-"""Column functions for proposal text: cells, months, ids, dates, labels. All run in the JVM but nfkc()."""
+"""Column functions for proposal text: cells, months, ids, dates, labels. All run in the JVM but compatible()."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType
+
+from grantloom.functions.patterns import DASH, NUMBER, begins, either, loose
 
 #: Fixed values of the domain.
 EVERYONE = ("ALL", "ALL PARTNERS")
@@ -18,14 +21,34 @@ DASHES = "–—"
 _MISSING = ""
 
 
-@pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility form; the one thing here that Spark has no function for. Call it on rows that aren't ASCII."""
-    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+_NOT_ASCII = "[^\\x00-\\x7F]"
+
+
+@arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKC")
+
+
+@arrow_udf(ArrayType(ArrayType(StringType())))
+def _nfkc_rows(rows: pa.Array) -> pa.Array:
+    one = lambda cell: cell if cell is None else unicodedata.normalize("NFKC", cell)
+    return pa.array([x if x is None else [r if r is None else list(map(one, r)) for r in x] for x in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility form, the one thing here that Spark has no function for; only text beyond ASCII leaves the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_NOT_ASCII), text)), text)
+
+
+def compatible_rows(rows: Column) -> Column:
+    """The same of a table's cells."""
+    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")).rlike(_NOT_ASCII)))
+    return F.coalesce(_nfkc_rows(F.when(beyond, rows)), rows)
 
 
 def clean(text: Column) -> Column:
-    """White space runs become one space, ends are trimmed, null is empty. Text beyond ASCII goes through nfkc() first."""
+    """White space runs become one space, ends are trimmed, null is empty. Text beyond ASCII must have been through
+    compatible() before: column functions can't normalise it, and array functions can't call what can."""
     return F.btrim(F.regexp_replace(F.coalesce(text, F.lit(_MISSING)), r"(?U)\s+", " "))
 
 
@@ -148,16 +171,35 @@ def progress_percent(done: Column, total: Column) -> Column:
 # ---------------------------------------------------------------- pages and ragged tables
 
 
+def leads_to_page(line: Column) -> Column:
+    """Dots, four or more, lead to a number."""
+    return line.rlike(r"\.{4,}\s*" + NUMBER)
+
+
 def is_toc_page(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"\.{4,}\s*[0-9]+"))) >= 5
+    """Five lines that lead to a page."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), leads_to_page)) >= 5
+
+
+#: What the headings of sections 3 and 4 are about.
+THEMES = {3: ("QUALITY", "IMPLEMENTATION", "WORK PLAN", "EFFICIENCY"), 4: ("ETHICS", "BUDGET", "ANNEX", "FINANCIAL")}
+
+
+def names_section(text: Column, number: int, mark: str, at_start: bool = False, between: str = "") -> Column:
+    """A section's number and mark, then one of its themes: text is taken apart at each such number, and one of the parts
+    begins with a theme. at_start: nothing but white space may precede the number."""
+    parts = F.split(F.coalesce(text, F.lit("")), rf"\b{number}{mark}\s*{between}")
+    themed = lambda part: begins(part, either(map(loose, THEMES[number])))
+    if at_start:
+        return (F.btrim(F.get(parts, F.lit(0)), F.lit(" \t\r\n")) == "") & F.coalesce(themed(F.get(parts, F.lit(1))), F.lit(False))
+    return F.exists(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), themed)
 
 
 def is_section3_page(text: Column) -> Column:
-    """A heading of section 3, three long lines, and no dotted leaders."""
-    body = F.coalesce(text, F.lit(""))
-    header = body.rlike(r"Section\s+3\s*[–-]") | body.rlike(r"(?im)(?:^|\n)\s*3[.\s]\s*(?:QUALITY|IMPLEMENTATION|WORK\s*PLAN|EFFICIENCY)")
-    prose = F.size(F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x)) > 80)) >= 3
-    return header & prose & ~body.rlike(r"\.{4,}\s*[0-9]+")
+    """Prose under a heading of section 3: three lines of more than 80 characters, and none that leads to a page number."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x))
+    titled = F.exists(lines, lambda x: x.rlike(rf"Section\s+3\s*{DASH}") | names_section(x, 3, r"[.\s]", at_start=True))
+    return titled & (F.size(F.filter(lines, lambda x: F.length(x) > 80)) >= 3) & ~F.exists(lines, leads_to_page)
 
 
 def populated(row: Column) -> Column:

@@ -39,7 +39,7 @@ def _whole(pattern: str):
 
 def cleaned(tables: DataFrame) -> DataFrame:
     """Rows without cells go, and all cells are cleaned."""
-    return tables.withColumn("rows", F.transform(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.size(r) > 0), lambda r: F.transform(r, S.clean)))
+    return tables.withColumn("rows", S.compatible_rows(F.col("rows"))).withColumn("rows", F.transform(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.size(r) > 0), lambda r: F.transform(r, S.clean)))
 
 
 # ---------------------------------------------------------------- classification
