@@ -214,6 +214,53 @@ def test_targets_are_filled_like_water():
     assert got["a"] == pytest.approx(1.5 * 1110 - 220)
 
 
+def queue_simulated(rows, goal, epochs, quantum, order):
+    """(source, document) -> words, by serving slices one by one until the budget is used up."""
+    queue = []
+    for source, target in goal.items():
+        done = 0
+        for copy in range(epochs):
+            for n, (k, size) in enumerate(order[source]):
+                for at in range(0, size, quantum):
+                    end = min(size, at + quantum)
+                    queue.append(((done + end) / target, source is not None, source or "", n, copy, at, k, end - at))
+                done += size
+    left, got = round(sum(goal.values())), Counter()
+    for *_, k, n in sorted(queue):
+        got[k] += min(n, left)
+        left -= min(n, left)
+    return got
+
+
+def test_mix_serves_the_queue(spark, nothing):
+    rng = np.random.default_rng(3)
+    rows = [(k, "w " * int(rng.integers(0, 700)), [None, "a", "b", "c"][int(rng.integers(0, 4))], "x", "y", 7) for k in range(120)]
+    rows += [rows[5], rows[5], (200, None, "a", "x", "y", 7), (201, "", "d", "x", "y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, taken string, x1 int")
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(words(r[1]))
+    goal = {s: t for s, t in mixing.targets(list(sizes.items()), [3, 1, 2], 1.5, 2).items() if t > 0}
+    # The shuffled order is the operator's own; everything after it is simulated.
+    order = defaultdict(list)
+    for r in mixing.placed(docs, [3, 1, 2], 1.5, 2, 11).orderBy("_group", "_chunk", "_turn").collect():
+        order[r["_group"][1:] if r["_group"] != "-" else None].append(((r["doc_id"]), r["_size"]))
+    want = queue_simulated(rows, goal, 2, 100, {s: order[s] for s in goal})
+    got = Counter()
+    for r in mixing.taken_words(docs, [3, 1, 2], quantum=100).collect():
+        got[r["doc_id"]] += r["taken"]
+    assert +got == +want and sum(got.values()) == round(sum(goal.values()))
+    mixed = mixing.mixed_documents(docs, [3, 1, 2], quantum=100)
+    assert mixed.columns == docs.columns
+    # Of each copy at least half: no document comes more often than its words allow, nor less.
+    often = Counter(r["doc_id"] for r in mixed.collect())
+    for k, text, *_ in rows[:120]:
+        n = len(words(text)) * sum(r[0] == k for r in rows)
+        assert (often[k] >= 1) if n and want[k] >= n else (often[k] <= 3 * 2)
+        assert n == 0 or abs(often[k] * len(words(text)) - want[k]) <= n
+    assert mixing.mixed_documents(nothing, [1]).count() == 0
+
+
 def test_mix(docs, nothing):
     rows = mixing.taken_words(docs, [3, 1, 2]).collect()
     assert sorted(r["size"] for r in rows) == sorted(len(words(t)) for _, t in TEXTS)
@@ -221,7 +268,7 @@ def test_mix(docs, nothing):
     by = Counter()
     for r in rows:
         by[r["source_size"], r["target"]] += r["taken"]
-    assert all(abs(taken - target) <= 1 for (_, target), taken in by.items())
+    assert all(abs(taken - target) <= 2 * mixing.QUANTUM for (_, target), taken in by.items())
     assert sorted(map(tuple, rows), key=key) == sorted(map(tuple, mixing.taken_words(docs, [3, 1, 2]).collect()), key=key)
     assert mixing.taken_words(nothing, [1]).count() == 0
     mixed = mixing.mixed_documents(docs, [3, 1, 2])
