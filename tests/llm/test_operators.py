@@ -427,22 +427,22 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
-def test_nearest_recall_through_the_forest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "FEW", 0)
-    monkeypatch.setattr(ann, "SHARE", 300)
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((3000, 32))
-    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % 100 == 0).collect()}
+def recall(spark, x, every):
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % every == 0).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(q, int(v)) for q in range(0, 3000, 100) for v in np.argsort(-np.where(np.arange(3000) == q, -9, u @ u[q]))[:5]}
-    assert len(got & want) >= 0.9 * len(want)
+    want = {(q, int(v)) for q in range(0, len(x), every) for v in np.argsort(-np.where(np.arange(len(x)) == q, -9, u @ u[q]))[:5]}
+    return len(got & want) / len(want)
 
 
-@pytest.mark.parametrize("few", [0, 2000])
-def test_nearest_of_copies_and_repeated_ids(spark, monkeypatch, few):
+@pytest.mark.parametrize("n, dim", [(300, 64), (2000, 64), (3000, 32)])
+def test_nearest_recall(spark, monkeypatch, n, dim):
+    monkeypatch.setattr(ann, "SHARE", 300)
+    assert recall(spark, np.random.default_rng(4).standard_normal((n, dim)).astype(np.float32), max(1, n // 50)) >= 0.95
+
+
+def test_nearest_of_copies_and_repeated_ids(spark):
     """Of 200 copies the smallest ids are the neighbours, and an id's many rows take one place."""
-    monkeypatch.setattr(ann, "FEW", few)
     rng = np.random.default_rng(6)
     one, two = rng.standard_normal((2, 16))
     rows = [(int(k), one.tolist()) for k in rng.permutation(200) + 1] + [(1000, two.tolist())]
@@ -455,16 +455,32 @@ def test_nearest_of_copies_and_repeated_ids(spark, monkeypatch, few):
     assert len(set(got[1000])) == 5 and got[1000][0] == 1001 and min(got[1000]) > 1000
 
 
-@pytest.mark.parametrize("n, wanted", [(3000, 300), (3000, 1000), (12000, 1000)])
-def test_descent_stops_near_the_wanted_number(spark, monkeypatch, n, wanted):
-    monkeypatch.setattr(ann, "FEW", 0)
+def test_nearest_of_vectors_of_any_size(spark):
+    """Components whose squares overflow or vanish; vectors of several lengths, which don't meet."""
+    rows = [(0, [1e200, 0.0, 1e190]), (1, [1e-200, 0.0, 0.0]), (2, [0.0, 1e300, 1e300]), (3, [1.0, 1.0, 0.0]), (4, [5e-324, 0.0, 5e-324]), (5, [1.0, 2.0]), (6, [2.0, 4.0])]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()}
+    assert all(math.isfinite(x) for x in got.values()) and len(got) == 5 * 4 + 2
+    assert got[0, 1] == pytest.approx(1.0) and got[1, 3] == pytest.approx(2**-0.5) and got[0, 2] == pytest.approx(1e-10 * 2**-0.5) and got[1, 4] == pytest.approx(2**-0.5) and got[5, 6] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("n, wanted, longest", [(3000, 400, 4), (3000, 30_000, 1), (12000, 1000, 5)])
+def test_descent_stops_near_the_wanted_number(spark, n, wanted, longest):
+    """Neither the root nor whole digits: the prefix is as long as the wanted number of candidates allows."""
     x = np.random.default_rng(8).standard_normal((n, 32))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     usable = ann.valid(table).withColumns({"query": F.col("vec_id") % 200 == 0, "salt": F.col("vec_id")})
-    keys = ann.hashed(usable, 48, False)
-    found = ann.depths(keys, keys.groupBy("tree", "dim", "d1").agg(F.lit(1).cast("long").alias("shares")), 5, wanted).collect()
+    keys = ann.hashed(usable, 16, False)
+    by = keys.groupBy("tree", "dim", "d1").count().collect()
+    counts = {(32, t): np.zeros(64, np.int64) for t in range(16)}
+    for r in by:
+        counts[32, r["tree"]][r["d1"]] = r["count"]
+    asks = ann.asked(usable.filter("query"), counts, 16).drop("vector")
+    found = ann.depths(keys, asks, keys.groupBy("tree", "dim", "d1").agg(F.lit(1).cast("long").alias("shares")), 5, wanted).collect()
     assert len(found) == n // 200
-    assert all(r["length"] > 1 and wanted <= r["candidates"] <= 3 * wanted for r in found)
+    assert all(r["length"] >= longest and (r["length"] == 1 or wanted <= r["candidates"] <= 3 * wanted) for r in found)
+    # Few candidates at the first digits: more of them are entered, not the root.
+    few = {key: (c > 0).astype(np.int64) for key, c in counts.items()}
+    assert ann.asked(usable.filter("vec_id = 0"), few, 16).groupBy("tree").count().agg(F.min("count")).first()[0] > ann.ENTRIES
 
 
 # ---------------------------------------------------------------- WARC
