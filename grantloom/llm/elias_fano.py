@@ -16,6 +16,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, universe: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.universe, self.lows, self.highs, self.zeros = n, low_bits, universe, lows, highs, zeros
+        self.ones: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -37,46 +38,62 @@ class EliasFano:
         n, low_bits, universe = found[f"{name}.head"].tolist()
         return cls(n, low_bits, universe, *[found[f"{name}.{x}"] for x in ("lows", "highs", "zeros")])
 
-    def _upto(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have high bits up to these: the place of a zero, less its rank."""
-        word = np.searchsorted(self.zeros, high.astype(self.zeros.dtype), side="right") - 1
-        rank = (high - self.zeros[word].astype(np.int64)).astype(np.uint64)
-        left, place = ~self.highs[word], np.zeros(len(high), np.uint64)
+    @staticmethod
+    def _place(left: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Where the rank-th one (from 0) of each 64-bit word is: halves are counted and skipped."""
+        rank, place = rank.astype(np.uint64), np.zeros(len(left), np.uint64)
         for width in (32, 16, 8, 4, 2, 1):
             here = np.bitwise_count(left & np.uint64(2**width - 1)).astype(np.uint64)
             on = rank >= here
             rank = np.where(on, rank - here, rank)
             left = np.where(on, left >> np.uint64(width), left)
             place += np.where(on, np.uint64(width), np.uint64(0))
-        return word * 64 + place.astype(np.int64) - high
+        return place.astype(np.int64)
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each number, -1 if it isn't there; any number may be asked for."""
-        if not self.n or not len(wanted):
-            return np.full(len(wanted), -1, np.int64)
-        inside = wanted.astype(np.uint64) < np.uint64(self.universe)
-        if not inside.all():
-            found = np.full(len(wanted), -1, np.int64)
-            found[inside] = self.find(wanted[inside])
+    def _upto(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have high bits up to these: the place of a zero, less its rank."""
+        word = np.searchsorted(self.zeros, high.astype(self.zeros.dtype), side="right") - 1
+        return word * 64 + self._place(~self.highs[word], high - self.zeros[word].astype(np.int64)) - high
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The numbers at these places: of a one, its place less its rank is the high bits."""
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        places = np.asarray(places, np.int64)
+        word = np.searchsorted(self.ones, places, side="right") - 1
+        high = word * 64 + self._place(self.highs[word], places - self.ones[word]) - places
+        low = unpack(self.lows, places, self.low_bits).astype(np.int64) if self.low_bits else 0
+        return (high << self.low_bits) + low
+
+    def below(self, wanted: np.ndarray) -> np.ndarray:
+        """How many numbers are smaller than each of these, which is where its successor is; any number may be asked for."""
+        wanted = np.asarray(wanted).astype(np.uint64)
+        found = np.full(len(wanted), self.n, np.int64)
+        inside = np.flatnonzero(wanted < np.uint64(self.universe))
+        if not self.n or not len(inside):
             return found
-        wanted = wanted.astype(np.uint64)
+        wanted = wanted[inside]
         high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
-        end = self._upto(high)
         begin = np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0)
-        if not self.low_bits:
-            return np.where(begin < end, begin, -1)
-        low, last = wanted & np.uint64(2**self.low_bits - 1), end.copy()
-        open_ = np.flatnonzero(begin < end)
-        while len(open_):  # successor search: the first place whose low bits are not below the wanted ones
-            middle = (begin[open_] + end[open_]) >> 1
-            less = unpack(self.lows, middle, self.low_bits) < low[open_]
-            begin[open_[less]] = middle[less] + 1
-            end[open_[~less]] = middle[~less]
-            open_ = open_[begin[open_] < end[open_]]
-        there = np.flatnonzero(begin < last)
-        found = np.full(len(wanted), -1, np.int64)
-        same = unpack(self.lows, begin[there], self.low_bits) == low[there]
-        found[there[same]] = begin[there[same]]
+        if self.low_bits:
+            low, end = wanted & np.uint64(2**self.low_bits - 1), self._upto(high)
+            open_ = np.flatnonzero(begin < end)
+            while len(open_):
+                middle = (begin[open_] + end[open_]) >> 1
+                less = unpack(self.lows, middle, self.low_bits) < low[open_]
+                begin[open_[less]] = middle[less] + 1
+                end[open_[~less]] = middle[~less]
+                open_ = open_[begin[open_] < end[open_]]
+        found[inside] = begin
+        return found
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 if it isn't there."""
+        place = self.below(wanted)
+        there = np.flatnonzero(place < self.n)
+        found = np.full(len(place), -1, np.int64)
+        same = self.at(place[there]).astype(np.uint64) == np.asarray(wanted)[there].astype(np.uint64)
+        found[there[same]] = place[there[same]]
         return found
 
 

@@ -1,21 +1,27 @@
-"""A bigram language model in an Elias-Fano trie, memory-mapped by the tasks that score with it.
+"""An n-gram language model in an Elias-Fano trie, memory-mapped by the tasks that score with it.
 
 Tokens are words with A-Z in lower case and, after each text, one end. The first level has every word of the training
-texts, by a 63-bit hash, with its count; a word's number is its rank. The second level has, for each context, the words
-that followed it. Successors are numbered relative to their context: context k of a file and word w make k * V + w, so
-the sequence ascends over all contexts and takes few bits, and a pair is found by searching the successor of that number.
-Pointers from contexts to their first successor ascend as well. All of these are Elias-Fano sequences. With each entry
-lies a smoothed log probability in 8 bits.
-
-Smoothing: p1(w) = (c(w) + 1) / (N + V + 1), and p(w | u) = (c(u w) + MU * p1(w)) / (c(u) + MU). A pair that the trie
-doesn't have gets MU / (c(u) + MU) * p1(w); after a word that training never saw, p1(w).
-
-Counting covers all training texts. Tasks count their own tokens first; pairs travel as compressed blocks of sorted
-numbers, dealt by a hash of the pair, so that a context that a third of all pairs share is spread over all files. The
-model is never gathered: every level is written and read in parts, whose list alone (a row each) passes the driver.
+texts, by a 63-bit hash, with its count; a word's number is its rank. Level n has, for each context, the words that
+followed it. A context is an entry of level n - 1 (a word's number on level 2, where a text's beginning is one more), and
+a context's successors lie side by side, their range given by pointers. A successor is told by its place among the
+successors of the shorter context, the one without its first word (its number on level 2): a few bits, however large the
+vocabulary. Pointers ascend, and successors do when each context's begin where the one before it ended, so both are
+Elias-Fano sequences. To find an n-gram, its context's pointers are read, then what the sequence stood at before its
+range, and the successor is searched from there, within the range. With each entry lies its count, and a smoothed log
+probability in 8 bits.
+
+Smoothing: p(w) = (c(w) + 1) / (N + V + 1), and p(w | context) = (c(context w) + MU * p(w | shorter context)) / (c(context)
++ MU), with an own MU for each level. An n-gram that the trie doesn't have gets MU / (c(context) + MU) times the shorter
+one's probability.
+
+Counting covers all training texts. Tasks count their own tokens first; n-grams travel as compressed blocks of sorted
+numbers, dealt by a hash of the context. A context that a third of all tokens share has as many rows as it has successors
+that differ, for each task that met them. The model is never gathered: every level is written and read in parts, whose
+list alone (a row each) passes the driver. A task opens a part when it first looks for something there.
 
 Null and empty texts have the end alone. Rows that repeat an id count as often as they come. If there is nothing to
-learn from, N and V are 0 and every token has probability 1. Extra columns are not looked at.
+learn from, N and V are 0 and every token has probability 1. Extra columns are not looked at. The number of entries of a
+level times the largest number of successors must be below 2**64; training stops with an error otherwise.
 """
 
 from __future__ import annotations
@@ -31,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.llm import files
-from grantloom.llm.common import mix, saved, scratch, texts_of, word_hashes
+from grantloom.llm.common import mix, release, saved, scratch, texts_of, word_hashes
 from grantloom.llm.elias_fano import EliasFano, read_arrays, write_arrays
 from grantloom.llm.tokens import in_groups
 
-MU = 100.0
+#: How much the shorter context counts on each level from the second one on; there are as many levels.
+MU = (50.0, 5.0)
 END = np.uint64(0x2545F4914F6CDD1D >> 1)
-#: Tokens that a task gathers before it counts them, and about as many pairs in a file of the second level.
+#: Tokens that a task gathers before it counts them, and about as many in a part of a level.
 HELD = 2_000_000
 STEPS = 255
 
@@ -89,6 +96,15 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000
 # ---------------------------------------------------------------- the model
 
 
+@dataclass
+class Parts:
+    """Where the parts of a level are."""
+
+    paths: list[str]  # empty: a part without entries
+    first: list[int]  # the number of each part's first entry
+    degree: int  # the largest number of successors
+
+
 @dataclass
 class Model:
     """What every task needs to open the trie: the parts' places and the totals."""
@@ -97,7 +113,8 @@ class Model:
     v: int
     texts: int
     words: list[tuple[str, int, int]]  # path, first number, first hash
-    pairs: list[str]  # by the hash of the pair
+    mu: tuple[float, ...]
+    levels: list[Parts]  # from the second one on
 
     @property
     def step(self) -> float:
@@ -150,42 +167,167 @@ class Words:
         return -found * self.model.step
 
 
-class Pairs:
-    """One file of the second level."""
+def part_of(contexts: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix(contexts.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _each(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The parts that come, and where."""
+    if not len(parts):
+        return
+    order = np.argsort(parts, kind="stable")
+    cuts = np.flatnonzero(np.diff(parts[order], prepend=-1))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(parts)).tolist(), strict=True):
+        yield int(parts[order[a]]), order[a:b]
 
-    def __init__(self, path: str, v: int):
-        found = read_arrays(path)
-        self.v, self.logs = v, found["logs"]
+
+class Part:
+    """A part of a level: contexts, pointers to their successors, the successors, counts and logs."""
+
+    def __init__(self, found: dict[str, np.ndarray]):
+        self.counts, self.logs = found["counts"], found["logs"]
         self.contexts, self.pointers, self.successors = (EliasFano.from_arrays(found, x) for x in ("contexts", "pointers", "successors"))
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The quantised log probability's number of steps for each pair, -1 where the trie doesn't have it."""
+    @staticmethod
+    def arrays(context: np.ndarray, successor: np.ndarray, universe: int, counts: np.ndarray, logs: np.ndarray) -> dict[str, np.ndarray]:
+        """From entries sorted by context and successor. universe: contexts are below it."""
+        starts = np.flatnonzero(np.diff(context, prepend=-1))
+        ends = np.append(starts[1:], len(context))
+        # Each context's successors begin one above the last of the context before.
+        base = np.concatenate([[0], np.cumsum(successor[ends - 1] + 1)])
+        ascending = successor + np.repeat(base[:-1], ends - starts)
+        sequences = {"contexts": (context[starts], universe), "pointers": (np.append(starts, len(context)), len(context) + 1), "successors": (ascending, int(base[-1]))}
+        found = {"counts": counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), "logs": logs}
+        for name, (values, top) in sequences.items():
+            found |= EliasFano.of(values, top).arrays(name)
+        return found
+
+    def ranges(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts by their place here: where successors begin and end, and what the sequence counts from there."""
+        begin, end = self.pointers.at(k), self.pointers.at(k + 1)
+        base = np.zeros(len(k), np.int64)
+        later = np.flatnonzero(begin > 0)
+        base[later] = self.successors.at(begin[later] - 1) + 1
+        return begin, end, base
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' places here, -1 where there is none, and their places among their context's."""
+        found, among = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
         k = self.contexts.find(context)
-        found = np.full(len(k), -1, np.int64)
         at = np.flatnonzero(k >= 0)
-        here = self.successors.find(k[at] * self.v + word[at])
-        found[at[here >= 0]] = self.logs[here[here >= 0]]
+        begin, end, base = self.ranges(k[at])
+        place = self.successors.find(base + successor[at])
+        there = (place >= begin) & (place < end)
+        found[at[there]], among[at[there]] = place[there], (place - begin)[there]
+        return found, among
+
+    def entry(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and successor of entries."""
+        k = self.pointers.below(places + 1) - 1
+        return self.contexts.at(k), self.successors.at(places) - self.ranges(k)[2]
+
+
+class Level:
+    """A level from the second one on; its parts are opened when they are first asked for."""
+
+    def __init__(self, parts: Parts):
+        self.parts, self.first, self.open = parts, np.array([*parts.first, 1 << 62], np.int64), {}
+
+    def part(self, k: int) -> Part:
+        if k not in self.open:
+            self.open[k] = Part(read_arrays(self.parts.paths[k]))
+        return self.open[k]
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' numbers, -1 where the trie has none, and their places among their context's successors."""
+        found, among = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        for k, at in _each(part_of(context, len(self.parts.paths))):
+            if self.parts.paths[k]:
+                here, among[at] = self.part(k).find(context[at], successor[at])
+                found[at] = np.where(here >= 0, here + self.first[k], -1)
+        return found, among
+
+    def begins(self, context: np.ndarray) -> np.ndarray:
+        """The number of the first successor of contexts that are there."""
+        found = np.zeros(len(context), np.int64)
+        for k, at in _each(part_of(context, len(self.parts.paths))):
+            part = self.part(k)
+            found[at] = part.pointers.at(part.contexts.find(context[at])) + self.first[k]
+        return found
+
+    def _of(self, numbers: np.ndarray) -> Iterator[tuple[Part, np.ndarray, np.ndarray]]:
+        for k, at in _each(np.searchsorted(self.first, numbers, side="right") - 1):
+            yield self.part(k), at, numbers[at] - self.first[k]
+
+    def entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        context, successor = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for part, at, places in self._of(numbers):
+            context[at], successor[at] = part.entry(places)
+        return context, successor
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(numbers), np.int64)
+        for part, at, places in self._of(numbers):
+            found[at] = part.counts[places]
         return found
 
+    def steps(self, numbers: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(numbers), np.int64)
+        for part, at, places in self._of(numbers):
+            found[at] = part.logs[places]
+        return found
 
-def pair_file(pairs: np.ndarray, n_files: int) -> np.ndarray:
-    return (mix(pairs) % np.uint64(n_files)).astype(np.int64)
 
+class Trie:
+    """All levels that a model has so far. Level 1 is words, by number."""
 
-def _blocks(pairs: np.ndarray, counts: np.ndarray, n_files: int) -> Iterator[tuple[int, bytes]]:
-    """Ascending pairs and their counts, by file: differences and counts by byte place, compressed."""
+    def __init__(self, model: Model):
+        self.model, self.words = model, Words(model)
+        self.levels = {n: Level(parts) for n, parts in enumerate(model.levels, 2)}
+
+    def shorter(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        """The numbers, on level n - 1, of the same entries without their first word."""
+        context, successor = self.levels[n].entries(numbers)
+        return successor if n == 2 else self.levels[n - 1].begins(self.shorter(n - 1, context)) + successor
+
+    def counts(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        return self.words.counts(numbers) if n == 1 else self.levels[n].counts(numbers)
+
+    def logs(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        return self.words.logs(numbers) if n == 1 else -self.levels[n].steps(numbers) * self.model.step
+
+    def walk(self, rows: list[np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For n from 1: (n, context, successor, number) of the n-gram that each token of some texts ends; -1 where there is
+        none. The last n is depth; there, numbers are -1 if the trie doesn't have that level."""
+        flat = np.concatenate(rows)
+        keys, back = np.unique(flat, return_inverse=True)
+        starts = np.cumsum([0, *[len(x) for x in rows[:-1]]])
+        number = self.words.numbers(keys)[back]
+        among = number
+        yield 1, np.zeros(len(flat), np.int64), among, number
+        for n in range(2, depth + 1):
+            context = np.concatenate([[-1], number[:-1]])
+            context[starts] = self.model.v if n == 2 else -1
+            successor = among
+            number, among = np.full(len(flat), -1, np.int64), np.full(len(flat), -1, np.int64)
+            if n in self.levels:
+                at = np.flatnonzero((context >= 0) & (successor >= 0))
+                span = np.uint64(max(1, int(successor.max(initial=0)) + 1))
+                both, back = np.unique(context[at].astype(np.uint64) * span + successor[at].astype(np.uint64), return_inverse=True)
+                found = self.levels[n].find((both // span).astype(np.int64), (both % span).astype(np.int64))
+                number[at], among[at] = found[0][back], found[1][back]
+            yield n, context, successor, number
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, span: int, n_parts: int) -> Iterator[tuple[int, bytes]]:
+    """Ascending keys (context * span + successor) and their counts, by part: differences and counts by byte place, compressed."""
     import zstandard as zs
 
     press = zs.ZstdCompressor(level=1)
-    file = pair_file(pairs, n_files)
-    order = np.argsort(file, kind="stable")
-    cuts = np.searchsorted(file[order], np.arange(n_files + 1))
-    for k in range(n_files):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at):
-            steps = np.diff(pairs[at], prepend=np.uint64(0)).astype("<u8")
-            raw = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), counts[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
-            yield k, press.compress(raw.tobytes())
+    for k, at in _each(part_of(keys // np.uint64(span), n_parts)):
+        steps = np.diff(keys[at], prepend=np.uint64(0)).astype("<u8")
+        raw = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), counts[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+        yield k, press.compress(raw.tobytes())
 
 
 def _unblocked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +339,8 @@ def _unblocked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
 
 
-def train(docs: DataFrame, learn: Column) -> Model:
-    """The model of the documents that learn (over doc_id) picks."""
+def train(docs: DataFrame, learn: Column, mu: tuple[float, ...] = MU) -> Model:
+    """The model of the documents that learn (over doc_id) picks. mu: one for each level from the second one on."""
     spark = docs.sparkSession
     texts = docs.filter(learn).select(docs["text"].cast("string"))
     folder = scratch(spark, "ngram")
@@ -214,7 +356,7 @@ def train(docs: DataFrame, learn: Column) -> Model:
 
     words = saved(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == int(END), F.col("n"))).alias("texts")).first()
-    model = Model(total["n"] or 0, total["v"], total["texts"] or 0, [], [])
+    model = Model(total["n"] or 0, total["v"], total["texts"] or 0, [], mu, [])
     if not model.n:
         return model
 
@@ -232,98 +374,100 @@ def train(docs: DataFrame, learn: Column) -> Model:
     for row in parts.orderBy("part").collect():  # a row per part
         model.words.append((row["path"], first, row["low"]))
         first += row["n"]
-    n_files = max(1, math.ceil(model.n / HELD))
+    for n in range(2, len(mu) + 2):
+        model.levels.append(_level(texts, model, n, folder))
+    return model
+
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counter = Words(model), _Counter()
+def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
+    """Counts the n-grams of the texts and writes them; the model has the levels before."""
+    n_parts = max(1, math.ceil(model.n / HELD))
+    mu = model.mu[n - 2]
+    span = model.v if n == 2 else model.levels[-1].degree
+    contexts = model.v + 1 if n == 2 else model.levels[-1].first[-1]
+    if span * contexts >= 2**64:
+        raise ValueError(f"level {n} has too many contexts and successors")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, counter = Trie(model), _Counter()
 
         def out() -> pa.RecordBatch:
             counter.settle()
-            blocks = list(_blocks(*counter.done, n_files))
+            blocks = list(_blocks(*counter.done, span, n_parts))
             counter.done = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["file", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
 
         for _, _, rows in _texts(batches, 0):
-            context, word = numbered(words, rows)
-            counter.add(context.astype(np.uint64) * np.uint64(model.v) + word.astype(np.uint64))
+            for _, context, successor, _ in trie.walk(rows, n):
+                pass
+            at = np.flatnonzero((context >= 0) & (successor >= 0))
+            counter.add(context[at].astype(np.uint64) * np.uint64(span) + successor[at].astype(np.uint64))
             if len(counter.done[0]) > 2 * HELD:
                 yield out()
         yield out()
 
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, file, held = None, None, []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, part, held = None, None, []
 
         def done() -> pa.RecordBatch:
-            pairs, n = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            v = np.uint64(model.v)
-            context, word = (pairs // v).astype(np.int64), (pairs % v).astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            k = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
-            p1 = (words.counts(word) + 1) / (model.n + model.v + 1)
-            logs = np.log10((n + MU * p1) / (words.counts(context) + MU))
-            path = files.fresh_name(folder, f"pairs-{file:06d}", ".ef")
-            write_arrays(path, EliasFano.of(context[starts], model.v + 1).arrays("contexts") | EliasFano.of(np.append(starts, len(pairs)), len(pairs) + 1).arrays("pointers") | EliasFano.of(k * model.v + word, len(starts) * model.v).arrays("successors") | {"logs": model.quantised(logs)})
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([path])], names=["file", "path"])
+            keys, counts = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            context, successor = (keys // np.uint64(span)).astype(np.int64), (keys % np.uint64(span)).astype(np.int64)
+            each, back = np.unique(context, return_inverse=True)
+            shorter = successor if n == 2 else trie.levels[n - 1].begins(trie.shorter(n - 1, each))[back] + successor
+            logs = np.log10((counts + mu * 10 ** trie.logs(n - 1, shorter)) / (trie.counts(n - 1, each)[back] + mu))
+            path = files.fresh_name(folder, f"level{n}-{part:06d}", ".ef")
+            write_arrays(path, Part.arrays(context, successor, contexts, counts, model.quantised(logs)))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([int(np.bincount(back).max())], pa.int64())], names=["part", "path", "n", "degree"])
 
         for batch in batches:
             for to, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words or Words(model)
-                if to != file and held:
+                trie = trie or Trie(model)
+                if to != part and held:
                     yield done()
                     held = []
-                file = to
+                part = to
                 held.append(_unblocked(block))
         if held:
             yield done()
 
-    blocks = texts.mapInArrow(count_pairs, "file int, block binary").repartition(n_files, "file").sortWithinPartitions("file")
-    written = {r["file"]: r["path"] for r in saved(blocks.mapInArrow(write_pairs, "file int, path string"), "pairs-manifest").collect()}  # a row per file
-    model.pairs = [written.get(k, "") for k in range(n_files)]
-    return model
-
-
-def numbered(words: Words, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Context and word of every token of some texts, by number; V is the context of a text's first token."""
-    flat = np.concatenate(rows)
-    keys, back = np.unique(flat, return_inverse=True)
-    word = words.numbers(keys)[back]
-    context = np.concatenate([[words.model.v], word[:-1]])
-    context[np.cumsum([0, *[len(x) for x in rows[:-1]]])] = words.model.v
-    return context, word
+    blocks = texts.mapInArrow(count, "part int, block binary").repartition(n_parts, "part").sortWithinPartitions("part")
+    written = {r["part"]: r for r in saved(blocks.mapInArrow(write, "part int, path string, n long, degree long"), f"level{n}-manifest").collect()}  # a row per part
+    release(texts.sparkSession)
+    first = np.cumsum([0, *[written[k]["n"] if k in written else 0 for k in range(n_parts)]]).tolist()
+    return Parts([written[k]["path"] if k in written else "" for k in range(n_parts)], first, max([1, *[r["degree"] for r in written.values()]]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model) if model.n else None
-        files_ = [Pairs(path, model.v) if path else None for path in model.pairs]
+        trie = Trie(model) if model.n else None
         for batch, begin, rows in _texts(batches, 1):
             sizes = np.array([len(x) for x in rows])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            if words is None:
+            if trie is None:
                 known, base, logs = (np.zeros(int(sizes.sum())) for _ in range(3))
             else:
-                context, word = numbered(words, rows)
-                counts = words.counts(word)
-                known = (counts > 0).astype(np.int64)
-                base = np.log10((counts + 1) / (model.n + model.v + 1))
-                # What the trie doesn't have backs off to the first level.
-                logs = words.logs(word) + np.where(context >= 0, np.log10(MU / (words.counts(context) + MU)), 0.0)
-                both = np.flatnonzero((context >= 0) & (word >= 0))
-                pairs, back = np.unique(context[both].astype(np.uint64) * np.uint64(model.v) + word[both].astype(np.uint64), return_inverse=True)
-                steps = np.full(len(pairs), -1, np.int64)
-                file = pair_file(pairs, len(files_))
-                order = np.argsort(file, kind="stable")
-                cuts = np.searchsorted(file[order], np.arange(len(files_) + 1))
-                for k, trie in enumerate(files_):
-                    at = order[cuts[k] : cuts[k + 1]]
-                    if trie is not None and len(at):
-                        steps[at] = trie.find((pairs[at] // np.uint64(model.v)).astype(np.int64), (pairs[at] % np.uint64(model.v)).astype(np.int64))
-                there = steps[back] >= 0
-                logs[both[there]] = -steps[back][there] * model.step
+                known, base, logs = _token_logs(trie, rows)
             ids = batch.column(0).slice(begin, len(rows))
             sums = [np.add.reduceat(x, starts) for x in (known, base, logs)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(rows), model.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _token_logs(trie: Trie, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token: whether it is known, its base and its log10 probability."""
+    model, logs = trie.model, None
+    for n, context, _, number in trie.walk(rows, len(model.levels) + 1):
+        if n == 1:
+            counts = trie.words.counts(number)
+            logs = trie.words.logs(number)
+            continue
+        # What the level doesn't have backs off; a context that it doesn't have says nothing.
+        seen = np.flatnonzero(context >= 0)
+        each, back = np.unique(context[seen], return_inverse=True)
+        logs[seen] += np.log10(model.mu[n - 2] / (trie.counts(n - 1, each) + model.mu[n - 2]))[back]
+        there = np.flatnonzero(number >= 0)
+        logs[there] = trie.logs(n, number[there])
+    return (counts > 0).astype(np.int64), np.log10((counts + 1) / (model.n + model.v + 1)), logs

@@ -305,30 +305,86 @@ def test_elias_fano(tmp_path):
         places = {int(v): k for k, v in enumerate(values)}
         asked = np.concatenate([values, rng.integers(0, universe + 3, 200, dtype=np.uint64)])
         assert there.find(asked).tolist() == [places.get(int(q), -1) for q in asked]
-
-
-def test_ngram(docs, nothing, spark):
-    model = ngram.train(docs, F.col("doc_id") % 2 == 0)
+        assert there.at(np.arange(len(values))).tolist() == values.tolist()
+        assert there.below(asked).tolist() == np.searchsorted(values, asked).tolist()
+    twice = np.array([0, 3, 3, 3, 90, 90, 400], np.uint64)  # equal numbers may follow each other
+    assert EliasFano.of(twice, 401).at(np.arange(7)).tolist() == twice.tolist() and EliasFano.of(twice, 401).below(np.array([3, 4, 90, 91, 500])).tolist() == [1, 4, 4, 6, 7]
+
+
+def ngram_counts(learnt, order):
+    counts = [Counter() for _ in range(order + 1)]
+    for x in learnt:
+        for n in range(1, order + 1):
+            grams = ["\1", *x] if n > 1 else x
+            counts[n].update(tuple(grams[k : k + n]) for k in range(len(grams) - n + 1))
+    counts[1]["\1",] = len(learnt)
+    return counts
+
+
+def ngram_score(x, counts, mu, total, distinct):
+    score = 0.0
+    history = ["\1"]
+    for w in x:
+        p = (counts[1][w,] + 1) / (total + distinct + 1)
+        for n in range(2, len(mu) + 2):
+            context = tuple(history[-(n - 1) :]) if len(history) >= n - 1 else None
+            if context:
+                p = (counts[n][(*context, w)] + mu[n - 2] * p) / (counts[n - 1][context] + mu[n - 2])
+        score += math.log10(p)
+        history.append(w)
+    return score
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngram(docs, nothing, spark, order, monkeypatch):
+    mu = (50.0, 5.0, 2.0)[: order - 1]
+    monkeypatch.setattr(ngram, "HELD", 3000)  # many parts
+    model = ngram.train(docs, F.col("doc_id") % 2 == 0, mu)
+    assert all(len(x.paths) > 5 for x in model.levels) and len(model.levels) == order - 1
     learnt = [words(lower(t)) + ["\0"] for i, t in TEXTS if i is not None and i % 2 == 0]
-    one, two = Counter(w for x in learnt for w in x), Counter((u, w) for x in learnt for u, w in zip(["\1", *x], x, strict=False))
-    n, v = sum(one.values()), len(one)
-    one["\1"] = len(learnt)
+    counts = ngram_counts(learnt, order)
+    n, v = sum(map(len, learnt)), len(counts[1]) - 1
     assert (model.n, model.v) == (n, v)
+    assert [x.first[-1] for x in model.levels] == [len(counts[k]) for k in range(2, order + 1)]
     got = defaultdict(list)
     for r in ngram.scored(docs, model).collect():
         got[r["doc_id"]].append(tuple(r)[1:])
     for i, t in TEXTS:
         x = words(lower(t)) + ["\0"]
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in x)
-        score = sum(math.log10((two[u, w] + ngram.MU * (one[w] + 1) / (n + v + 1)) / (one[u] + ngram.MU)) for u, w in zip(["\1", *x], x, strict=False))
+        base = sum(math.log10((counts[1][w,] + 1) / (n + v + 1)) for w in x)
         r = got[i][0]
-        assert r[:3] == (len(x), sum(one[w] > 0 for w in x), n)
-        assert r[3] == pytest.approx(base) and abs(r[4] - score) <= 2 * model.step * len(x)
+        assert r[:3] == (len(x), sum(counts[1][w,] > 0 for w in x), n)
+        assert r[3] == pytest.approx(base) and abs(r[4] - ngram_score(x, counts, mu, n, v)) <= 1.5 * model.step * len(x)
     assert ngram.scored(nothing, model).count() == 0
-    blank = ngram.train(nothing, F.lit(True))
+    blank = ngram.train(nothing, F.lit(True), mu)
     assert {r["score"] for r in ngram.scored(docs, blank).collect()} == {0.0}
 
 
+def test_trie_finds_by_its_pointers():
+    """Every entry is found and nothing else is; with a pointer moved by one, neighbours of the range are lost or found wrongly."""
+    rng = np.random.default_rng(5)
+    pairs = np.unique(rng.integers(0, 50, (600, 2)) * [7, 3], axis=0)
+    counts, logs = rng.integers(1, 9, len(pairs)), rng.integers(0, 255, len(pairs)).astype(np.uint8)
+    arrays = ngram.Part.arrays(pairs[:, 0], pairs[:, 1], 1000, counts, logs)
+    part = ngram.Part(arrays)
+    every = np.array([(c, w) for c in range(0, 360) for w in range(0, 160, 1)])
+    where = {tuple(p): k for k, p in enumerate(pairs.tolist())}
+    found, among = part.find(every[:, 0], every[:, 1])
+    assert found.tolist() == [where.get((c, w), -1) for c, w in every.tolist()]
+    firsts = {c: min(k for (d, _), k in where.items() if d == c) for c in set(pairs[:, 0].tolist())}
+    assert all(a == f - firsts[c] for (c, _), f, a in zip(every.tolist(), found.tolist(), among.tolist(), strict=True) if f >= 0)
+    context, successor = part.entry(np.arange(len(pairs)))
+    assert (context == pairs[:, 0]).all() and (successor == pairs[:, 1]).all()
+    starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+    for k in range(1, len(starts)):
+        moved = np.append(starts, len(pairs))
+        moved[k] += 1 if moved[k] + 1 < moved[k + 1] else -1
+        if len(np.unique(moved)) < len(moved):
+            continue
+        wrong = ngram.Part(arrays | EliasFano.of(moved, len(pairs) + 1).arrays("pointers"))
+        assert wrong.find(every[:, 0], every[:, 1])[0].tolist() != found.tolist()
+
+
 # ---------------------------------------------------------------- token ids and packing
 
 
