@@ -1,24 +1,25 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one from toxic and one from ordinary text.
+"""Toxicity by compression distance: two zstandard dictionaries, one trained on toxic and one on ordinary text.
 
-A text is cut into windows of a few words. Each window is compressed with the dictionary of ordinary text, and with that
-of toxic text put before the same ordinary one; what the toxic dictionary saves is the window's distance. How many of a
-document's windows reach each of THRESHOLDS decides: a logistic curve, fitted on the same sample, weighs them and makes
-the score, so that 0.5 is the calibrated threshold of whole documents.
+Both are trained alike, on the texts' windows, by zstandard's own trainer. A window's distance is what the toxic dictionary
+saves: its compressed length with the ordinary dictionary less that with the toxic one. How many of a document's windows
+reach each of THRESHOLDS decides: a logistic curve weighs them and makes the score, so that 0.5 is the calibrated
+threshold of whole documents. It is calibrated on windows that the dictionaries weren't trained on: the sample is halved,
+and each half is measured with dictionaries of the other one; the dictionaries that score are then trained on both.
 
-What is fitted sees SAMPLE labelled documents at most (the bound for each label), chosen by a hash of their ids; of
-groups of copies one is used, so that copied passages don't count as toxic speech. The toxic dictionary is trained on
-the words that mark toxic text with confidence: common in toxic documents of the sample, and rare or absent in others.
+What is fitted sees SAMPLE labelled documents at most (the bound for each label), chosen by a hash of their ids, and
+SAMPLE_WORDS words of each, in blocks spread over the whole text, so that what passes the driver is bounded; of groups of
+copies one is used, so that copied passages don't count as toxic speech.
 
 Whole texts are scored. Nothing but text is an input of a score. Null and empty texts have no window and get the score
 of a text without suspect windows. Without both labels in the sample every score is the share of toxic ones in it (0
-without labels). Rows that repeat an id are scored each; of several labels the first by order counts once per row. Extra
-columns are kept by without_toxic(). Scoring shuffles nothing.
+without labels). Rows that repeat an id are scored each; of a repeated id the sample has one text, and an id with several
+labels counts as toxic. All columns are kept; an input's own score and predicted give way to the new ones in scored(), and
+are kept by without_toxic(). Scoring shuffles nothing.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 
 from grantloom.llm.common import texts_of
 
-#: Labelled documents used for fitting: toxic ones and ordinary ones.
-SAMPLE = (2000, 6000)
-WORDS_A_WINDOW = 3
+#: Labelled documents used for fitting, toxic ones and ordinary ones, and words of each.
+SAMPLE, SAMPLE_WORDS = (2000, 6000), 2000
+#: Words in a window when texts are scored, and when dictionaries are trained.
+WORDS_A_WINDOW, WORDS_A_SAMPLE = 1, 8
 #: Bytes that the toxic dictionary saves in a window.
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 8192
+#: The trainer's options: bytes of a dictionary, of the segments it is made of, and of what these must share with the samples.
+DICTIONARY, SEGMENT, SHARED = 112_640, 16, 6
+#: Windows that a worker keeps the distances of; most are words met before.
+KEPT_WINDOWS = 500_000
 #: Stands before and after each window and ends both dictionaries: every window then has a match, so that zstandard never
 #: stores it raw, and its last word isn't within the bytes at the end that zstandard doesn't match.
 _PAD = bytes([5, 6, 7, 8, *range(14, 32), 127, 5, 7, 14, 16, 18, 5, 8, 15, 18])
@@ -50,8 +55,16 @@ def joined(words: list[bytes]) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
-def windows(words: list[bytes]) -> list[bytes]:
-    return [joined(words[k : k + WORDS_A_WINDOW]) for k in range(0, len(words), WORDS_A_WINDOW)]
+def windows(words: list[bytes], width: int = WORDS_A_WINDOW, step: int | None = None) -> list[bytes]:
+    return [joined(words[k : k + width]) for k in range(0, len(words), step or width)]
+
+
+def spread(words: list[bytes], most: int, block: int = WORDS_A_SAMPLE) -> list[bytes]:
+    """So many words at most, in blocks at even distances over the whole text."""
+    if len(words) <= most:
+        return words
+    starts = np.linspace(0, len(words) - block, max(1, most // block)).astype(int).tolist()
+    return [w for k in starts for w in words[k : k + block]]
 
 
 class _Copies:
@@ -68,20 +81,6 @@ class _Copies:
         return new
 
 
-def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words that mark toxic text, most telling last: the log odds of a document having them, less 1.5 standard errors, is 2 or more."""
-    a, b = Counter(w for x in toxic for w in set(x)), Counter(w for x in ordinary for w in set(x))
-    found = []
-    for word, n in a.items():
-        if n < 3 or len(word) < 4:
-            continue
-        m = b[word]
-        odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((m + 0.5) / (len(ordinary) + 1))
-        if odds - 1.5 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) >= 2:
-            found.append((n * odds, word))
-    return [w for _, w in sorted(found)]
-
-
 @dataclass
 class Model:
     toxic: bytes = b""
@@ -93,33 +92,47 @@ class Model:
         import zstandard as zs
 
         # Long matches only, all places of the dictionary searched: a window's distance then comes from words, not chance.
-        how = zs.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=9, min_match=5, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zs.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=9, min_match=5, target_length=64, strategy=zs.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def made(raw: bytes):
             words = zs.ZstdCompressionDict(raw + _PAD, dict_type=zs.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=how)
             return zs.ZstdCompressor(dict_data=words, compression_params=how)
 
-        return made(self.toxic + self.ordinary), made(self.ordinary)
+        return made(self.toxic), made(self.ordinary)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def trained(texts: list[list[bytes]]) -> bytes:
     """A dictionary's bytes; of too little text for training, the text itself."""
     import zstandard as zs
 
-    total = sum(map(len, samples))
-    if total > 4 * size and len(samples) > 20:
+    samples = [w for x in texts for w in windows(x, WORDS_A_SAMPLE)]
+    if sum(map(len, samples)) > 2 * DICTIONARY and len(samples) > 20:
         try:
-            return zs.train_dictionary(size, samples).as_bytes()
+            return zs.train_dictionary(DICTIONARY, samples, k=SEGMENT, d=SHARED, f=20).as_bytes()
         except zs.ZstdError:
             pass
-    return b"".join(samples)[-size:]
+    return b"".join(samples)[-DICTIONARY:]
+
 
+class Distances:
+    """What the toxic dictionary saves in each window of some words, in bytes."""
 
-def distances(words: list[bytes], toxic, ordinary) -> np.ndarray:
-    """What the toxic dictionary saves in each window, in bytes."""
-    padded = [_PAD + x + _PAD[:12] for x in windows(words)]
-    return np.array([len(ordinary.compress(x)) - len(toxic.compress(x)) for x in padded], np.int64)
+    def __init__(self, model: Model):
+        self.toxic, self.ordinary = model.compressors()
+        self.known: dict[bytes, int] = {}
+
+    def _of(self, window: bytes) -> int:
+        padded = _PAD + window + _PAD[:12]
+        found = len(self.ordinary.compress(padded)) - len(self.toxic.compress(padded))
+        if len(self.known) >= KEPT_WINDOWS:
+            self.known.clear()
+        self.known[window] = found
+        return found
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        return np.array([known[x] if x in known else self._of(x) for x in windows(words)], np.int64)
 
 
 def features(d: np.ndarray) -> list[float]:
@@ -145,54 +158,57 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """From a bounded sample of labelled texts."""
+def fit(texts: list[list[bytes]], labels: list[int]) -> Model:
+    """From a bounded sample of labelled texts, as words."""
     copies, toxic, ordinary = _Copies(), [], []
-    for text, label in zip(texts, labels, strict=True):
-        words = plain_words(text)
+    for words, label in zip(texts, labels, strict=True):
         if words and copies.fresh(words):
             (toxic if label else ordinary).append(words)
     share = sum(labels) / len(labels) if labels else 0.0
-    if not toxic or not ordinary:
+    if len(toxic) < 2 or len(ordinary) < 2:
         return Model(prior=share)
-    telling = marks(toxic, ordinary)
-    known = set(telling)
-    speech = [joined([w for w in x if w in known]) for x in toxic if any(w in known for w in x)]
-    # Every marking word has its place in the dictionary, the most telling ones last, where matches cost least.
-    words = joined(telling)
-    trained = _trained(speech, max(256, min(TOXIC_BYTES, 2 * len(words)) - len(words))) if telling else b""
-    ordinary_windows = [w for x in ordinary for w in windows(x)]
-    model = Model((trained + words)[-TOXIC_BYTES:] if telling else b"", _trained(ordinary_windows[:: max(1, len(ordinary_windows) // 100_000)], ORDINARY_BYTES), prior=share)
-    pair = model.compressors()
-    seen = [distances(x, *pair) for x in [*toxic, *ordinary]]
-    x = np.array([features(d) for d in seen])
-    model.weights = _logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary))).tolist()
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, use: Column, bound: tuple[int, int] = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of so many toxic and ordinary documents at most, by a hash of their ids. use: over doc_id,
-    which labels may be learnt from."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(use & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    rows: list[list[float]] = []
+    marks: list[float] = []
+    for half in (0, 1):
+        distances = Distances(Model(trained(toxic[1 - half :: 2]), trained(ordinary[1 - half :: 2])))
+        for label, group in ((1.0, toxic[half::2]), (0.0, ordinary[half::2])):
+            rows += [features(distances(x)) for x in group]
+            marks += [label] * len(group)
+    return Model(trained(toxic), trained(ordinary), _logistic(np.array(rows), np.array(marks)).tolist(), share)
+
+
+def sample(docs: DataFrame, labels: DataFrame, use: Column, bound: tuple[int, int] = SAMPLE, most_words: int = SAMPLE_WORDS) -> tuple[list[list[bytes]], list[int]]:
+    """Words and labels of so many toxic and ordinary documents at most, by a hash of their ids. use: over doc_id, which
+    labels may be learnt from."""
+    picked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter(use & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit(5), "doc_id"), F.col("doc_id")]
-    ids = [picked.filter(F.col("toxic") == k).groupBy("doc_id", "toxic").count().orderBy(*order).limit(n).select("doc_id", "toxic") for k, n in ((1, bound[0]), (0, bound[1]))]
+    ids = [picked.filter(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((1, bound[0]), (0, bound[1]))]
     ids = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], "wanted long, toxic int")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("wanted")).select("doc_id", "text", "toxic")  # sum(bound) rows at most
-    rows = sorted(((r["doc_id"], (r["text"] or "").encode(), r["toxic"]) for r in rows.limit(2 * sum(bound)).toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return [r[1] for r in rows], [r[2] for r in rows]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [b" ".join(spread(plain_words(t), most_words)) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(some, pa.binary())], names=["doc_id", "toxic", "words"])
+
+    met = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("wanted")).select("doc_id", "toxic", "text")  # sum(bound) ids at most
+    rows = met.mapInArrow(words, "doc_id long, toxic int, words binary").groupBy("doc_id", "toxic").agg(F.min("words").alias("words"))
+    found = sorted(((r["doc_id"], bytes(r["words"]), r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    return [r[1].split() for r in found], [r[2] for r in found]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, then score (0 to 1) and predicted."""
+    docs = docs.drop("score", "predicted")
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors()
+        distances = Distances(model) if model.weights else None
         weights = np.array(model.weights)
         for batch in batches:
-            if model.weights:
-                x = np.array([features(distances(plain_words(t), *pair)) + [1.0] for t in texts_of(batch.column("text"))])
+            if distances:
+                x = np.array([features(distances(plain_words(t))) + [1.0] for t in texts_of(batch.column("text"))])
                 scores = 1 / (1 + np.exp(-np.clip(x.reshape(-1, len(weights)) @ weights, -30, 30)))
             else:
                 scores = np.full(len(batch), model.prior)
