@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
         many AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win),
         gaps AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM many WHERE n > 1),
         rep AS (SELECT r, CAST(sum(least(8, i - coalesce(p, i - 8))) AS BIGINT) AS n FROM gaps GROUP BY r),
-        c AS (SELECT doc_id, text, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        c AS (SELECT doc_id, text, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                      CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
                      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
               FROM w LEFT JOIN rep USING (r)),
@@ -108,7 +108,9 @@ ORACLES: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                     OR len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '•'))) > 0.9 * greatest(n_lines, 1)
                     OR len(list_filter(string_split(text, chr(10)), lambda x: ends_with(x, '...') OR ends_with(x, '…'))) > 0.3 * greatest(n_lines, 1)
-                    OR len(regexp_extract_all(text, '[\x20\x09-\x0D][^\pL\x20\x09-\x0D]+[\x20\x09-\x0D]')) > 0.4 * n_words) AS kept
+                    OR len(list_filter(ws, lambda x: NOT regexp_matches(x, '\pL'))) > 0.4 * n_words
+                    OR len(regexp_extract_all(text, '[0-9]')) > 0.5 * word_chars OR len(regexp_extract_all(text, '\p{Lu}')) > 0.7 * word_chars
+                    OR 20 * len(list_distinct(ws)) < n_words OR len(list_filter(ws, lambda x: length(x) >= 1000)) > 0) AS kept
         FROM b""",
 }
 

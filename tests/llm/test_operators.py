@@ -287,10 +287,38 @@ def test_quality(docs, nothing):
         hit = {j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)] += 1
     assert got == want
-    assert quality.cascade(nothing, list(quality.rules())).count() == 0
+    assert quality.cascade(nothing, list(quality.rules())).count() == 0 and len(quality.ordered_rules(nothing)) == len(quality.rules())
     orders = [list(quality.rules()), list(quality.rules())[::-1]]
     verdicts = [sorted((str(r["doc_id"]), r["kept"]) for r in quality.cascade(docs, o).collect()) for o in orders]
     assert verdicts[0] == verdicts[1]
+    clashing = docs.withColumnsRenamed({"lang": "_words", "source": "_hashes", "score": "kept", "ids": "n_words"}).withColumn("_placed", F.lit(1))
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in quality.cascade(clashing, orders[0]).collect()) == verdicts[0]
+
+
+JUNK = {
+    "symbols": "## " * 30 + "word " * 30, "duplicate_lines": "one more line\n" * 9 + " ".join(f"w{k}" for k in range(60)), "word_length": "ab " + "a " * 5 + " ".join(chr(97 + k % 26) for k in range(60)),
+    "bullets": "\n".join(f"- item {k} of them" for k in range(20)), "ellipses": "\n".join(f"read more about {k} ..." for k in range(20)),
+    "letters": " ".join(f"{k} {k}{k}" for k in range(60)), "digits": " ".join(f"a{k}4567" for k in range(60)), "capitals": " ".join(f"ABC{chr(65 + k % 26)}{chr(65 + k // 26)}" for k in range(60)),
+    "long_word": " ".join(f"word{k}" for k in range(400)) + " " + "y" * 1000,
+}
+
+
+def test_each_rule_rejects_its_junk_and_no_prose(spark):
+    prose = " ".join(f"Some{chr(97 + k % 26)} plain words, no. {k}" for k in range(40))
+    rows = [(k, text) for k, text in enumerate([prose, *JUNK.values(), " ".join(f"w{k % 3} {'abcdefghij'[k % 10]}x{k % 7}" for k in range(900))])]
+    counted = quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = quality.rules()
+    found = {r["doc_id"]: r for r in counted.select("doc_id", *[every[x].rejects.alias(x) for x in every]).collect()}
+    assert not any(found[0][x] for x in every)
+    assert [name for k, name in enumerate(JUNK, 1) if not found[k][name]] == []
+    assert found[len(rows) - 1]["few_words"]
+
+
+def test_order_is_by_rejections_per_cost_of_what_is_left(docs):
+    # b rejects most per cost; of what it leaves, c rejects more per cost than a.
+    patterns = [([True, True, False], [10.0, 2.0, 4.0], 10), ([False, True, False], [5.0, 1.0, 2.0], 5), ([True, False, True], [4.0, 1.0, 1.0], 3), ([False] * 3, [90.0, 9.0, 30.0], 90)]
+    assert quality.best_order(["a", "b", "c"], patterns) == ["b", "c", "a"]
+    assert quality.ordered_rules(docs) == quality.ordered_rules(docs)
 
 
 # ---------------------------------------------------------------- n-gram trie
