@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -26,7 +25,8 @@ _NOT_ASCII = "[^\\x00-\\x7F]"
 
 @arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # pyarrow's own utf8_normalize() leaves accents apart in this form.
+    return pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
 @arrow_udf(ArrayType(ArrayType(StringType())))

@@ -30,15 +30,16 @@ def milestones(wps: DataFrame, plan_title: str) -> DataFrame:
     return wps.select("proposal", F.col("wp_id").alias("external_id"), title.alias("title"), milestone_date(F.col("proposal_start"), F.col("end"), True).alias("due_on"))
 
 
-def labels(tasks: DataFrame, plan_title: str) -> DataFrame:
-    """Distinct labels: the proposal's, roles and partners, each with its color and what it stands for."""
+def labels(tasks: DataFrame, plan_title: str, order: tuple[str, ...] = ("proposal", "wp_id", "n")) -> DataFrame:
+    """Distinct labels: the proposal's, roles and partners, each with its color and what it stands for, as the first task in
+    the given order says it."""
     each = F.array(
         F.struct(F.concat(F.lit("proposal:"), slug(F.lit(plan_title))).alias("name"), F.lit("proposal").alias("description")),
         F.struct(F.concat(F.lit("role:"), F.col("role")).alias("name"), F.lit("role").alias("description")),
     )
     every = F.concat(each, F.transform("partners", lambda p: F.struct(p.alias("name"), F.lit("partner").alias("description"))))
-    rows = tasks.select(F.explode(every).alias("label")).filter(F.col("label.name") != "")
-    named = rows.groupBy(F.col("label.name").alias("name")).agg(F.min("label.description").alias("description"))
+    rows = tasks.select(F.struct(*order).alias("task"), F.posexplode(every).alias("pos", "label")).filter(F.col("label.name") != "")
+    named = rows.groupBy(F.col("label.name").alias("name")).agg(F.min_by("label.description", F.struct("task", "pos")).alias("description"))
     return named.withColumn("color", label_color(F.col("name")))
 
 

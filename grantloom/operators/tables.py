@@ -7,6 +7,9 @@ nothing is computed twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +18,8 @@ from grantloom.functions import scalars as S
 from grantloom.operators.assembly import last_by
 
 TABLE = ["proposal", "page_idx", "table_idx"]
+#: What a table can be, and what it is otherwise.
+LABELS, OTHER = ("wp_list", "effort", "deliverable"), "other"
 _TEXTS = "array<string>"
 
 
@@ -45,6 +50,11 @@ def cleaned(tables: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- classification
 
 
+def worth_classifying(tables: DataFrame) -> DataFrame:
+    """Tables of two rows or more of which one has three filled cells; others never come to a label."""
+    return tables.filter(F.coalesce(S.usable_table(F.col("rows")), F.lit(False)))
+
+
 def classified(tables: DataFrame) -> DataFrame:
     """Adds label: wp_list, effort, deliverable, other, or null where no rule is sure. The first rule that holds decides."""
     t = cleaned(tables.withColumnRenamed("rows", "raw").withColumn("rows", F.col("raw")))
@@ -113,6 +123,33 @@ def with_fallback_label(tables: DataFrame, label_of) -> DataFrame:
     return sure.unionByName(asked.withColumn("label", F.coalesce("label", F.lit("other"))))
 
 
+def model_preview(rows: Column, most: int = 20) -> Column:
+    """What a model is shown of a table: its first rows, cells between bars."""
+    some = F.filter(F.slice(rows, 1, most), lambda r: F.size(r) > 0)
+    return F.array_join(F.transform(some, lambda r: F.array_join(F.transform(F.filter(r, lambda c: c.isNotNull()), S.clean), " | ")), "\n")
+
+
+def model_label(answer: Column, known: tuple[str, ...] = LABELS) -> Column:
+    """The label that a model's answer is, or else the first one that it holds; OTHER if it holds none or there is no answer."""
+    text = F.lower(F.btrim(answer))
+    within = F.filter(F.array(*map(F.lit, known)), lambda label: F.contains(text, label))
+    return F.when(text.isin(*known, OTHER), text).otherwise(F.coalesce(F.get(within, F.lit(0)), F.lit(OTHER)))
+
+
+def labelled_by(ask: Callable[[list[str]], list[str | None]], most: int = 20):
+    """A label_of for with_fallback_label(): ask gets previews and gives answers, in the same order, inside tasks. One that
+    fails (any exception) is no answer, so its tables become OTHER."""
+
+    @F.pandas_udf("string")
+    def answers(previews: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(ask(previews.tolist()), dtype=object)
+        except Exception:
+            return pd.Series([None] * len(previews), dtype=object)
+
+    return lambda tables: tables.withColumn("answer", answers(model_preview(F.col("rows"), most))).withColumn("label", model_label(F.col("answer"))).drop("answer")
+
+
 def routed(pages: DataFrame) -> DataFrame:
     """Adds extractor for pages with tables (array of tables), images, width, height and effort_found: rotated text and
     pages without a usable table go to the structure extractor, and a page that is a large image to OCR while no earlier

@@ -1,14 +1,17 @@
-"""What an idempotent push would create: plans against what the remote tracker has. Sending them is the sink's part."""
+"""What an idempotent push would create: plans against what the remote tracker has. Sending them is the sink's part.
+
+Where rows of a payload compete, the first by the payload's order wins; order is any column or struct that gives it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labels_to_create(labels: DataFrame, remote: DataFrame) -> DataFrame:
-    """Labels that the remote doesn't have in any case; of those that differ in case only the first by name."""
-    first = labels.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "description", "color"), "name").alias("row"))
+def labels_to_create(labels: DataFrame, remote: DataFrame, order: Column) -> DataFrame:
+    """Labels that the remote doesn't have in any case; of those that differ in case only the first."""
+    first = labels.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "description", "color"), order).alias("row"))
     return first.join(remote.select(F.lower("name").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
@@ -18,15 +21,25 @@ def milestone_plan(milestones: DataFrame, remote: DataFrame) -> DataFrame:
     return milestones.join(known, "title", "left").withColumn("action", F.when(F.col("number").isNull(), "create").otherwise("skip"))
 
 
-def issue_plan(issues: DataFrame, remote: DataFrame) -> DataFrame:
-    """Create or skip: an issue whose milestone has its title is skipped, and so are repeats within the payload.
+def existing_issues(remote: DataFrame, order: Column) -> DataFrame:
+    """milestone, title and number of what the tracker has; of several issues of one title the last. Pull requests are not issues."""
+    return remote.filter(~F.col("is_pull_request")).groupBy("milestone", "title").agg(F.max_by("number", order).alias("number"))
+
+
+def issue_plan(issues: DataFrame, known: DataFrame, order: Column) -> DataFrame:
+    """Adds action and number: an issue whose milestone has its title (known: existing_issues()) is skipped and has that
+    issue's number; so are repeats within the payload, after the first.
 
-    Pull requests are not issues. Both sides are aggregated by (milestone, title) first, so a hot title is one row."""
-    known = remote.filter(~F.col("is_pull_request")).select("milestone", "title").distinct().withColumn("known", F.lit(True))
-    keyed = issues.groupBy("milestone", "title").agg(F.min("external_id").alias("first"))
-    state = keyed.join(known, ["milestone", "title"], "left")
+    Both sides are aggregated by (milestone, title) first, so a hot title is one row."""
+    keyed = issues.groupBy("milestone", "title").agg(F.min(order).alias("first_in_payload"))
+    state = keyed.join(known.select("milestone", "title", "number", F.lit(True).alias("is_known")), ["milestone", "title"], "left")
     both = issues.join(state, ["milestone", "title"])
-    return both.withColumn("action", F.when(F.col("known").isNotNull() | (F.col("external_id") != F.col("first")), "skip").otherwise("create")).drop("known", "first")
+    return both.withColumn("action", F.when(F.col("is_known").isNotNull() | (order != F.col("first_in_payload")), "skip").otherwise("create")).drop("is_known", "first_in_payload")
+
+
+def push_counts(plan: DataFrame, *key: str) -> DataFrame:
+    """How many rows of a plan are created and skipped."""
+    return plan.groupBy(*key).agg(F.count_if(F.col("action") == "create").alias("created"), F.count_if(F.col("action") == "skip").alias("skipped"))
 
 
 def resolved(children: DataFrame, parents: DataFrame, key: str, number: str) -> DataFrame:

@@ -104,7 +104,7 @@ def extracted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and tables of one proposal, through all stages."""
     found = spark.createDataFrame([("p", 0, 0, WP_ONE), ("p", 1, 0, EFFORT_WHOLE), ("p", 2, 0, [["No", "Deliverable name", "Type", "Level", "Due"], ["D2.1", "Search tool", "R", "PU", "M08", "CD"], ["D2.2", "Other tool", "R", "PU", "M30", "CD"]])], _TABLES)
-    nested = pipeline.run(_pages(spark), found, "CD")
+    nested = pipeline.run(_pages(spark), found, "CD", whole_document=True)
     shown = F.transform("tasks", lambda t: F.concat(t["id"], F.lit(":"), t["role"], F.lit(":"), F.coalesce(F.array_join(F.transform(t["deliverables"], lambda d: d["id"]), "+"), F.lit(""))))
     return nested.select("proposal", "wp_id", "title", "leader", "role", "person_months", "start", "end", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("tasks"))
 

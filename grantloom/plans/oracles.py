@@ -86,14 +86,18 @@ ORACLES: dict[str, str] = {
                '**Schedule:** ' || start_month || '–' || end_month || chr(10) || '**Role:** ' || role || chr(10) || '**Partners:** ' || array_to_string(partners, ', ') || chr(10) || chr(10) || description AS body,
                'proposal:proposal-plan,role:' || role || ',' || array_to_string(partners, ',') AS labels FROM own""",
     "label_anti": """
-        WITH l AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'S' ELSE 's' END || (s_suppkey % 50) AS name FROM supplier)
-        SELECT min(name) AS name, 'partner' AS description, 'ffffff' AS color FROM l WHERE lower(name) NOT IN (SELECT 's' || n_nationkey FROM nation) GROUP BY lower(name)""",
+        WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 's' END || l_suppkey AS name, l_suppkey AS key, l_orderkey AS o, l_linenumber AS n FROM lineitem)
+        SELECT arg_min(name, (o, n)) AS name, 'partner' AS description, 'ffffff' AS color FROM l WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY key""",
+    "clean_documents": r"""
+        WITH t AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\s\x0B]+', ' ', 'g')) AS t FROM documents)
+        SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, CAST(len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS BIGINT) AS words FROM t""",
     "milestone_lookup": """
         WITH r AS (SELECT p_name AS title, max(p_partkey) AS number FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name)
         SELECT title, p_partkey, number, CASE WHEN number IS NULL THEN 'create' ELSE 'skip' END AS action FROM (SELECT p_partkey, p_name AS title FROM part) LEFT JOIN r USING (title)""",
     "issue_push_plan": """
         WITH i AS (SELECT l_suppkey AS milestone, 'Part ' || l_partkey AS title, lpad('' || l_orderkey, 12, '0') || '-' || lpad('' || l_linenumber, 12, '0') || '-' || lpad('' || l_partkey, 12, '0') AS external_id FROM lineitem),
-        r AS (SELECT DISTINCT l_suppkey AS milestone, 'Part ' || l_partkey AS title, true AS known FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'O'),
+        r AS (SELECT l_suppkey AS milestone, 'Part ' || l_partkey AS title, max(l_orderkey) AS number FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'O' GROUP BY ALL),
         f AS (SELECT *, min(external_id) OVER (PARTITION BY milestone, title) AS first FROM i)
-        SELECT milestone, title, external_id, CASE WHEN known OR external_id <> first THEN 'skip' ELSE 'create' END AS action FROM f LEFT JOIN r USING (milestone, title)""",
+        SELECT milestone, title, external_id, number, CASE WHEN number IS NOT NULL OR external_id <> first THEN 'skip' ELSE 'create' END AS action FROM f LEFT JOIN r USING (milestone, title)""",
 }
+ORACLES["issue_push_counts"] = f"""SELECT milestone, count(*) FILTER (action = 'create') AS created, count(*) FILTER (action = 'skip') AS skipped FROM ({ORACLES["issue_push_plan"]}) GROUP BY milestone"""

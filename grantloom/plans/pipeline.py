@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -11,6 +13,12 @@ from pyspark.sql import functions as F
 from grantloom.operators import assembly, sections, tables
 
 
+class Assembler(Protocol):
+    """Nested work packages of a company from typed tables and tasks."""
+
+    def __call__(self, first: Stage1, tasks: DataFrame, company: str) -> DataFrame: ...
+
+
 class TaskExtractor(Protocol):
     """Tasks from sections: proposal, task_ord, id, wp_id, title, start_month, end_month, partners, description."""
 
@@ -38,13 +46,15 @@ def parameters(company: str | None = None, start_date: str | None = None) -> tup
 
 
 def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = False) -> Stage1:
-    """Typed tables. label_of: see tables.with_fallback_label(); without it tables that no rule knows are left out."""
+    """Typed tables. label_of: see tables.with_fallback_label(); without it tables that no rule knows are left out. Tables
+    that are too small for any label are left out before."""
+    every, raw_tables = raw_tables, tables.worth_classifying(raw_tables)
     labelled = tables.classified(raw_tables).withColumn("label_source", F.lit("rules")) if label_of is None else tables.with_fallback_label(raw_tables, label_of)
     kept = tables.picked(labelled.filter(F.col("label").isNotNull()))
     of = lambda label: kept.filter(F.col("label") == label)
     info = tables.work_package_list(tables.joined_fragments(of("wp_list")), strict)
     effort = tables.effort_matrix(of("effort"), company, info.select("proposal", "wp_id"))
-    found = raw_tables.select("proposal").distinct()
+    found = every.select("proposal").distinct()
     missing = lambda df, text: found.join(df.select("proposal").distinct(), "proposal", "left_anti").withColumn("warning", F.lit(text))
     deliverables = tables.deliverable_list(of("deliverable"), strict)
     warnings = missing(info, "no work package list").unionByName(missing(effort, "no effort for the company")).unionByName(missing(deliverables, "no deliverables"))
@@ -62,5 +72,28 @@ def stage3(first: Stage1, tasks: DataFrame, company: str) -> DataFrame:
     return assembly.work_packages(first.wp_info, first.effort, tasks.withColumnRenamed("task_ord", "n"), delivered, company)
 
 
-def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtractor = sections.tasks, label_of=None) -> DataFrame:
-    return stage3(stage1(raw_tables, company, label_of), stage2(pages, extract), company)
+def of_section3(pages: DataFrame, raw_tables: DataFrame, votes: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tables on the pages of section 3, and the proposals without one (proposal, warning), of which no table is left."""
+    kept = sections.section3_pages(pages, votes, strict).select("proposal", "page_idx")
+    lost = pages.select("proposal").distinct().join(kept.select("proposal").distinct(), "proposal", "left_anti").withColumn("warning", F.lit("no section 3"))
+    return raw_tables.join(kept, ["proposal", "page_idx"], "left_semi"), lost
+
+
+def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtractor = sections.tasks, label_of=None, assemble: Assembler = stage3, whole_document: bool = False, votes: DataFrame | None = None, progress: Callable[[str], None] | None = None) -> DataFrame:
+    """All stages. Tables count on the pages of section 3 only, unless whole_document is set. votes: see section3_pages().
+    progress gets the name of each stage as its plan is made; what it raises doesn't stop the run."""
+
+    def began(stage: str) -> None:
+        if progress:
+            with suppress(Exception):
+                progress(stage)
+
+    began("tables")
+    counted = raw_tables if whole_document else of_section3(pages, raw_tables, votes)[0]
+    first = stage1(counted, company, label_of)
+    began("tasks")
+    found = stage2(pages, extract)
+    began("assembly")
+    result = assemble(first, found, company)
+    began("done")
+    return result

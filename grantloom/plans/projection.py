@@ -38,20 +38,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = item.join(work_packages(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     ship = F.col("l_shipdate").cast("date")
     m1 = F.greatest((F.year(ship) - F.year("start")) * 12 + F.month(ship) - F.month("start") + 1, F.lit(1))
-    return both.select("proposal", "wp_id", "k", "o_orderkey", "start", "n", "l_suppkey", "l_quantity", "l_returnflag", "l_partkey", m1.alias("m1"), (m1 + F.floor("l_quantity").cast("int") % 12).cast("int").alias("m2"))
+    return both.select("proposal", "wp_id", "k", "o_orderkey", "start", F.col("title").alias("wp_title"), "n", "l_suppkey", "l_quantity", "l_returnflag", "l_partkey", m1.alias("m1"), (m1 + F.floor("l_quantity").cast("int") % 12).cast("int").alias("m2"))
 
 
 def partner(key: Column) -> Column:
     return F.concat(F.lit("S"), key.cast("string"))
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """proposal, wp_id, k, n, id, title, start_month, end_month, partners (own supplier first), description, start."""
-    line = lines(spark, sf_dir)
-    names = F.array_sort(F.collect_set(partner(F.col("l_suppkey"))))
-    of_order = line.groupBy("o_orderkey").agg(names.alias("names"))  # a few suppliers an order
+    line = lines(spark, sf_dir) if line is None else line
+    names = F.array_sort(F.collect_set(partner(F.col("l_suppkey"))).over(W.partitionBy("o_orderkey")))  # a few suppliers an order
     own = partner(F.col("l_suppkey"))
-    return line.join(of_order, "o_orderkey").select(
+    return line.withColumn("names", names).select(
         "proposal", "wp_id", "k", "n", "start",
         F.concat(F.lit("T"), F.col("k").cast("string"), F.lit("."), F.col("n").cast("string")).alias("id"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
@@ -62,22 +61,21 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deliverables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliverables(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """proposal, wp_id, n, id, name, due_months."""
-    line = lines(spark, sf_dir).filter(F.col("l_returnflag") == "R")
+    line = (lines(spark, sf_dir) if line is None else line).filter(F.col("l_returnflag") == "R")
     return line.select("proposal", "wp_id", "n", F.concat(F.lit("D"), F.col("k").cast("string"), F.lit("."), F.col("n").cast("string")).alias("id"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.array(m_token(F.col("m1"))).alias("due_months"))
 
 
-def effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+def effort(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """proposal, company, wp_id, person_months."""
-    return lines(spark, sf_dir).groupBy("proposal", partner(F.col("l_suppkey")).alias("company"), "wp_id").agg(F.sum("l_quantity").alias("person_months"))
+    return (lines(spark, sf_dir) if line is None else line).groupBy("proposal", partner(F.col("l_suppkey")).alias("company"), "wp_id").agg(F.sum("l_quantity").alias("person_months"))
 
 
-def wp_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wp_info(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """proposal, wp_id, title, leader, start, end; the first line item's supplier leads."""
-    line = lines(spark, sf_dir)
-    led = line.groupBy("proposal", "wp_id").agg(F.min_by(partner(F.col("l_suppkey")), "n").alias("leader"), m_token(F.min("m1")).alias("start"), m_token(F.max("m2")).alias("end"))
-    return work_packages(spark, sf_dir).select("proposal", "wp_id", "title").join(led, ["proposal", "wp_id"])
+    line = lines(spark, sf_dir) if line is None else line
+    return line.groupBy("proposal", "wp_id").agg(F.min_by(partner(F.col("l_suppkey")), "n").alias("leader"), m_token(F.min("m1")).alias("start"), m_token(F.max("m2")).alias("end"), F.first("wp_title").alias("title"))
 
 
 PROJECTION_SQL = """

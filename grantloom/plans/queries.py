@@ -16,6 +16,12 @@ COMPANY = "S1"
 PLAN = "Proposal Plan"
 
 
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in several languages; the compatibility form has no SQL, so its marks are counted and not compared."""
+    text = S.clean(S.compatible(F.col("text")))
+    return P.read(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("chars"), F.size(F.filter(F.split(text, " "), lambda x: x != "")).cast("long").alias("words"))
+
+
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.read(spark, sf_dir, "part").select("p_partkey", S.clean(F.concat(F.lit("  "), "p_name", F.lit(" \n\t "), "p_type", F.lit(" "))).alias("text"))
 
@@ -152,7 +158,8 @@ def deliv_range_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.work_packages(P.wp_info(spark, sf_dir), P.effort(spark, sf_dir), P.tasks(spark, sf_dir), P.deliverables(spark, sf_dir), COMPANY)
+    line = P.lines(spark, sf_dir).persist()  # read by all four; Spark keeps it on disk where memory is short
+    return assembly.work_packages(P.wp_info(spark, sf_dir, line), P.effort(spark, sf_dir, line), P.tasks(spark, sf_dir, line), P.deliverables(spark, sf_dir, line), COMPANY)
 
 
 def work_packages_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +197,11 @@ def gh_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = P.read(spark, sf_dir, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "S").otherwise("s"), (F.col("s_suppkey") % 50).cast("string")).alias("name"), F.lit("partner").alias("description"), F.lit("ffffff").alias("color"))
-    remote = P.read(spark, sf_dir, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("name"))
-    return upserts.labels_to_create(labels, remote)
+    """Every line item names its supplier, in either case; the tracker has every third supplier."""
+    name = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "S").otherwise("s"), F.col("l_suppkey").cast("string"))
+    labels = P.read(spark, sf_dir, "lineitem").select(name.alias("name"), F.lit("partner").alias("description"), F.lit("ffffff").alias("color"), "l_orderkey", "l_linenumber")
+    remote = P.read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 3 == 0).select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))
+    return upserts.labels_to_create(labels, remote, F.struct("l_orderkey", "l_linenumber"))
 
 
 def milestone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +213,12 @@ def milestone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_push_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = P.read(spark, sf_dir, "lineitem")
     issues = item.select(F.col("l_suppkey").alias("milestone"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"), F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("external_id"))
-    remote = item.filter(F.col("l_returnflag") == "R").select(F.col("l_suppkey").alias("milestone"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"), (F.col("l_linestatus") == "O").alias("is_pull_request"))
-    return upserts.issue_plan(issues, remote)
+    remote = item.filter(F.col("l_returnflag") == "R").select(F.col("l_suppkey").alias("milestone"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"), F.col("l_orderkey").alias("number"), (F.col("l_linestatus") == "O").alias("is_pull_request"))
+    return upserts.issue_plan(issues, upserts.existing_issues(remote, F.col("number")), F.col("external_id"))
+
+
+def issue_push_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upserts.push_counts(issue_push_plan(spark, sf_dir), "milestone")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 PAGES = "proposal string, page_idx int, text string, width double, height double, images array<struct<width:double,height:double>>"
 RAW_TABLES = "proposal string, page_idx int, table_idx int, rows array<array<string>>, extractor string"
 TASKS = "proposal string, id string, wp_id string, title string, start_month string, end_month string, partners array<string>, description string"
+#: What stage 1 leaves: typed tables, warnings, and work packages that failed.
+TABLES = {
+    "wp_info": "proposal string, wp_id string, title string, leader string, pms double, start string, end string",
+    "effort": "proposal string, company string, wp_id string, person_months double",
+    "deliverables": "proposal string, page_idx int, table_idx int, row_ord int, ids array<string>, name string, description string, wp string, lead string, type string, dissemination string, months array<string>",
+    "warnings": "proposal string, warning string",
+    "failed_wps": "proposal string, wp_id string, error string",
+}
 EXTRACTED = "path string, page_idx int, text string, error string"
 
 #: What an upload may say it is.
@@ -65,6 +73,30 @@ def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumns(blank | {"partners": F.coalesce("partners", F.array().cast("array<string>"))})
 
 
+def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A checkpoint of typed tables, one folder for each of TABLES; a folder that an older one lacks is empty."""
+    found = {}
+    for name, schema in TABLES.items():
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        found[name] = spark.read.schema(schema).json(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+    return found
+
+
+def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+    for name in TABLES:
+        if name in tables:
+            save_checkpoint(tables[name], f"{path}/{name}")
+
+
+def page_safe(native: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Tables of the structure extractor where it read a page, and the native ones of pages that it failed on or found
+    nothing on. fallback: proposal, page_idx, tables (an array; null: failed); native: proposal, page_idx, tables."""
+    both = native.select("proposal", "page_idx", F.col("tables").alias("own")).join(fallback.select("proposal", "page_idx", F.col("tables").alias("other")), ["proposal", "page_idx"], "left")
+    other = F.size(F.coalesce("other", F.array().cast("array<array<array<string>>>"))) > 0
+    return both.select("proposal", "page_idx", F.when(other, F.col("other")).otherwise(F.col("own")).alias("tables"), F.when(other, "structure").otherwise("native").alias("extractor"))
+
+
 def as_json(work_packages: DataFrame) -> DataFrame:
     """A JSON array of work packages for each proposal, in the order of their ids."""
     rows = F.array_sort(F.collect_list(F.struct("wp_id", F.to_json(F.struct(*[c for c in work_packages.columns if c != "proposal"])).alias("json"))))

@@ -21,9 +21,9 @@ def test_clean(spark, text, want):
 
 
 def test_nfkc(spark):
-    rows = spark.createDataFrame([(1, "ﬁ①Ａ\u00a0 b", [["ﬁ", None], None, []]), (2, "plain", None), (3, None, [["a"]])], "k int, x string, t array<array<string>>")
+    rows = spark.createDataFrame([(1, "ﬁ①Ａ\u00a0 bé e\u0301", [["ﬁ", None], None, []]), (2, "plain", None), (3, None, [["a"]])], "k int, x string, t array<array<string>>")
     got = {r["k"]: tuple(r)[1:] for r in rows.select("k", S.clean(S.compatible(F.col("x"))), S.compatible_rows(F.col("t"))).collect()}
-    assert got == {1: ("fi1A b", [["fi", None], None, []]), 2: ("plain", None), 3: ("", [["a"]])}
+    assert got == {1: ("fi1A bé é", [["fi", None], None, []]), 2: ("plain", None), 3: ("", [["a"]])}
 
 
 @pytest.mark.parametrize(("text", "want"), [("intra", "INTRA"), (None, "")])

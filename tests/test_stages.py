@@ -28,13 +28,20 @@ def test_best_row_and_votes(spark):
 
 def test_second_push_creates_nothing(spark):
     issues = spark.createDataFrame([(1, "a", "1"), (1, "a", "2"), (2, "a", "3")], "milestone int, title string, external_id string")
-    none = spark.createDataFrame([], "milestone int, title string, is_pull_request boolean")
-    first = upserts.issue_plan(issues, none)
+    order = F.col("external_id")
+    none = upserts.existing_issues(spark.createDataFrame([], "milestone int, title string, number int, is_pull_request boolean"), F.col("number"))
+    first = upserts.issue_plan(issues, none, order)
     assert sorted((r["external_id"], r["action"]) for r in first.collect()) == [("1", "create"), ("2", "skip"), ("3", "create")]
-    remote = first.filter("action = 'create'").select("milestone", "title", F.lit(False).alias("is_pull_request"))
-    assert upserts.issue_plan(issues, remote).filter("action = 'create'").count() == 0
-    labels = spark.createDataFrame([(x, "", "") for x in ("AB", "ab", "role:leader")], "name string, description string, color string")
-    assert [r["name"] for r in upserts.labels_to_create(labels, spark.createDataFrame([("Ab",)], "name string")).collect()] == ["role:leader"]
+    assert upserts.push_counts(first).first()[:] == (2, 1)
+    made = first.filter("action = 'create'").select("milestone", "title", F.col("milestone").alias("number"), F.lit(False).alias("is_pull_request"))
+    remote = made.unionByName(made.withColumn("number", F.lit(70))).unionByName(made.withColumns({"number": F.lit(99), "is_pull_request": F.lit(True)}))
+    again = upserts.issue_plan(issues, upserts.existing_issues(remote, F.col("number")), order)
+    assert {(r["action"], r["number"]) for r in again.collect()} == {("skip", 70)}
+    # The payload's first counts, not the first by name.
+    titles = spark.createDataFrame([(1, "a", "T1.2", 0), (1, "a", "T1.10", 1)], "milestone int, title string, external_id string, ord int")
+    assert [r["external_id"] for r in upserts.issue_plan(titles, none, F.col("ord")).filter("action = 'create'").collect()] == ["T1.2"]
+    labels = spark.createDataFrame([(x, "", "", k) for k, x in enumerate(("AB", "ab", "xy", "XY", "role:leader"))], "name string, description string, color string, ord int")
+    assert sorted(r["name"] for r in upserts.labels_to_create(labels, spark.createDataFrame([("Ab",)], "name string"), F.col("ord")).collect()) == ["role:leader", "xy"]
 
 
 def test_contents_page_closes_the_zone_unless_guarded(spark):
@@ -109,3 +116,159 @@ def test_parameters():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_tables_too_small_for_a_label_are_left_out(spark):
+    rows = [("p", 0, 0, [["D1.1", "Plan", "M06"]]), ("p", 0, 1, [["D1.1", "R"], ["D1.2", "R"]]), ("p", 0, 2, fixtures.DELIVERABLE_HEAD), ("p", 0, 3, [["a", " ", None, "b"], ["", "c", "d", ""]])]
+    found = spark.createDataFrame(rows, "proposal string, page_idx int, table_idx int, rows array<array<string>>")
+    assert [r["table_idx"] for r in tables.worth_classifying(found).collect()] == [2]
+
+
+def test_model_answers_become_labels(spark):
+    answers = [("effort", "effort"), (" Effort\n", "effort"), ("It is a deliverable table", "deliverable"), ("other", "other"), ("effort or wp_list", "wp_list"), ("no idea", "other"), (None, "other")]
+    found = spark.createDataFrame(answers, "answer string, want string").withColumn("label", tables.model_label(F.col("answer")))
+    assert [(r["label"]) for r in found.collect()] == [w for _, w in answers]
+    many = spark.createDataFrame([("p", 0, 0, [[f"r{k}", None, "x  y"] for k in range(30)])], "proposal string, page_idx int, table_idx int, rows array<array<string>>")
+    shown = many.select(tables.model_preview(F.col("rows")).alias("v")).first()["v"].split("\n")
+    assert len(shown) == 20 and shown[3] == "r3 | x y"
+    assert tables.with_fallback_label(many, tables.labelled_by(lambda previews: ["effort" for _ in previews])).first()["label"] == "effort"
+
+    def broken(previews):
+        raise OSError("the model is down")
+
+    assert tables.with_fallback_label(many, tables.labelled_by(broken)).first()["label"] == "other"
+
+
+def test_tasks_by_a_model(spark):
+    pages = spark.createDataFrame([("p", k, x) for k, x in enumerate(fixtures.SECTION_PAGES)], PAGES)
+
+    def ask(chunks):
+        if any("T2.1" in c for c in chunks):
+            raise OSError("down")
+        return [f'''```json
+[{{"id":"{c[:4].lower()}","wp_id":"WP9","title":"Told [M1-M2]","start_month":"","end_month":"","partners":["AB"],"description":""}}]```''' for c in chunks]
+
+    found, failed = sections.tasks_by(ask, workers=4)(sections.sections(pages))
+    assert {r["wp_id"] for r in failed.collect()} <= {"WP1", "WP2"} and failed.count() >= 1
+    for r in found.collect():
+        assert r["wp_id"] == "WP1" and r["id"] in ("T1.1", "T1.2") and r["partners"] == ["AB"]
+
+
+def test_footers_are_cut(spark):
+    text = "T1.1 Alpha (AB) does it.\nCL5-2024-DIGITAL-01 Part B - Page 3 of 70 and more\nrest. T1.2 Beta (CD) ends."
+    found = spark.createDataFrame([("p", 0, "WP1", text)], "proposal string, section_idx int, wp_id string, section_text string")
+    got = [r["chunk"] for r in sections.chunks(found).orderBy("chunk_idx").collect()]
+    assert "Page 3" not in got[0] and "rest." in got[0] and got[1] == "T1.2 Beta (CD) ends."
+
+
+def test_forms_of_headers(spark):
+    heads = {"WP1 Title One Objectives: x T1.1 go": "1", "WP # 2 Second thing Objectives: T2.1 go": "2", "WP Number: 3 - Third thing T3.1 go": "3", "WP Number: WP 4: Fourth Notes: see T4.1 go": "4", "WP5 for the others T5.1 go": None, "WP6–WP7 for all of them T6.1 go": None, "WP8 abc T8.1": "8"}
+    rows = [(f"p{k}", 0, f"Work package description {head}") for k, head in enumerate(heads)]
+    got = {r["proposal"]: r["wp_id"][2:] for r in sections.sections(spark.createDataFrame(rows, PAGES)).collect()}
+    want = {f"p{k}": n for k, n in enumerate(heads.values()) if n}
+    assert {k: v for k, v in got.items() if k != "p6"} == {k: v for k, v in want.items() if k != "p6"}
+
+
+def test_pipeline_reads_tables_of_section_3(spark):
+    body = "3. IMPLEMENTATION\n" + "\n".join("x" * 90 for _ in range(4))
+    pages = spark.createDataFrame([("p", 0, "1. EXCELLENCE"), ("p", 1, body), ("p", 2, "4. ETHICS"), ("q", 0, "nothing")], PAGES)
+    found = spark.createDataFrame([("p", k, 0, fixtures.WP_ONE) for k in range(3)] + [("q", 0, 0, fixtures.WP_ONE)], "proposal string, page_idx int, table_idx int, rows array<array<string>>")
+    kept, lost = pipeline.of_section3(pages, found)
+    assert [(r["proposal"], r["page_idx"]) for r in kept.collect()] == [("p", 1)] and [r["proposal"] for r in lost.collect()] == ["q"]
+    stages = []
+
+    def progress(stage):
+        stages.append(stage)
+        raise ValueError
+
+    assert pipeline.run(pages, found, "CD", progress=progress).count() == 0 and stages == ["tables", "tasks", "assembly", "done"]
+
+
+def test_checkpoint_of_tables(spark, tmp_path):
+    info = spark.createDataFrame([("p", "WP1", "t", "AB", 1.5, "M01", "M02")], ingest.TABLES["wp_info"])
+    ingest.save_tables({"wp_info": info}, f"file://{tmp_path}/c")
+    again = ingest.load_tables(spark, f"file://{tmp_path}/c")
+    assert again["wp_info"].first() == info.first() and again["failed_wps"].count() == 0 and again["warnings"].columns == ["proposal", "warning"]
+
+
+def test_pages_keep_native_tables_where_the_fallback_failed(spark):
+    schema = "proposal string, page_idx int, tables array<array<array<string>>>"
+    native = spark.createDataFrame([("p", k, [[["n"]]]) for k in range(3)], schema)
+    other = spark.createDataFrame([("p", 0, [[["f"]]]), ("p", 1, None)], schema)
+    assert [r["extractor"] for r in ingest.page_safe(native, other).orderBy("page_idx").collect()] == ["structure", "native", "native"]
+
+
+def test_planner_push(spark):
+    from grantloom.sources import planner
+
+    class _Planner:
+        def __init__(self):
+            self.calls = []
+
+        def __getattr__(self, name):
+            def call(*args, **more):
+                if "bad" in map(str, args):
+                    raise OSError("refused")
+                self.calls.append(name)
+                return f"{name}-{len(self.calls)}"
+
+            return call
+
+    buckets = spark.createDataFrame([(1, "WP1", "one"), (2, "WP1", "bad")], "proposal long, external_id string, name string")
+    tasks = spark.createDataFrame([(1, "T1.1", "WP1", "t", "2025-01-01T17:00:00Z", None), (1, "T1.2", "WP1", "u", None, None)], "proposal long, external_id string, bucket_external_id string, title string, start_date_time string, due_date_time string")
+    checklist = spark.createDataFrame([(1, "T1.1", "D1 - x (M01)")], "proposal long, task_external_id string, title string")
+    plans = planner.payload(buckets, tasks, checklist)
+    got = planner.pushed(plans, _Planner, "Plan").collect()
+    assert sorted((r["proposal"], r["kind"], r["external_id"]) for r in got if not r["error"]) == [(1, "bucket", "WP1"), (1, "plan", "Plan"), (1, "task", "T1.1"), (1, "task", "T1.2")]
+    assert [(r["proposal"], r["error"]) for r in got if r["error"]] == [(2, "OSError: refused")]
+    client, row = _Planner(), plans.filter("proposal = 1").first()
+    list(planner.push_one(client, "Plan", row["buckets"], [t.asDict() for t in row["tasks"]]))
+    assert client.calls == ["create_plan", "create_bucket", "create_task", "details_tag", "update_details", "create_task"]
+
+
+def test_state_is_forgotten_after_its_time():
+    class State:
+        hasTimedOut, exists, kept, removed, timeout = False, False, None, False, None
+
+        def update(self, value):
+            self.kept, self.exists = value, True
+
+        get = property(lambda self: self.kept)
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+        def remove(self):
+            self.removed = True
+
+    import pandas as pd
+
+    state, rows = State(), pd.DataFrame({"ts": [2, 1, 3], "seq": [1, 1, 1], "op": ["report", "create", "fail"], "percent": [40, 0, 7]})
+    got = pd.concat(jobs.kept_state((5,), iter([rows]), state, 60))
+    assert got.values.tolist() == [[5, "failed", 40, 3]] and state.timeout == 60_000
+    state.hasTimedOut = True
+    assert list(jobs.kept_state((5,), iter([]), state, 60)) == [] and state.removed
+
+
+def test_worker_writes_each_trigger_once(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(5)], "job_id long").write.parquet(str(tmp_path / "queue"))
+    queue = spark.readStream.schema("job_id long").parquet(str(tmp_path / "queue"))
+    done = jobs.work_off(queue, lambda jobs: jobs.withColumn("result", F.col("job_id") * 2), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert done.awaitTermination(90)
+    assert sorted((r["job_id"], r["result"]) for r in spark.read.parquet(str(tmp_path / "out")).select("job_id", "result").collect()) == [(k, 2 * k) for k in range(5)]
+
+
+def test_paged_source(spark, monkeypatch):
+    import json
+
+    from grantloom.sources import rest
+
+    rows = [{"n": k} for k in range(250)]
+
+    def fetch(url, token):
+        page = int(url.rpartition("page=")[2])
+        return rows[100 * (page - 1) : 100 * page]
+
+    monkeypatch.setattr(rest, "fetch", fetch)
+    reader = rest.PagedReader({"url": "http://x/y?state=all", "windows": "2"})
+    assert sorted(json.loads(r)["n"] for p in reader.partitions() for (r,) in reader.read(p)) == list(range(250))
