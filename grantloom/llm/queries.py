@@ -43,7 +43,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.repeated_passages(docs)
+    return substring.repeated_passages(docs).drop("whole_sha256")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -78,11 +78,58 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def ngram_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 gives besides the trie's own score; sums of logarithms to six places."""
+    scores = op4_ngram_trie(spark, sf_dir)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"ngram_base_score": ngram_base_score}
+
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    # crc32 has no SQL: it is worked out bit by bit, over the ids' digits.
+    "ngram_base_score": rf"""
+        WITH RECURSIVE crc(doc_id, t, i, c) AS (
+            SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM documents
+            UNION ALL
+            SELECT doc_id, t, i + 1, list_reduce([xor(c, ascii(substr(t, i, 1))), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) FROM crc WHERE i <= length(t)),
+        h AS (SELECT doc_id, xor(c, 4294967295) % 7 = 2 AS held_out FROM crc WHERE i = length(t) + 1),
+        d AS (SELECT row_number() OVER () AS r, doc_id, list_append({_WORDS.format(_LOWER)}, chr(0)) AS ws FROM documents),
+        k AS (SELECT r, doc_id, held_out, unnest(ws) AS w FROM d JOIN h USING (doc_id)),
+        c AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
+        n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+        SELECT k.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+               round(sum(log10((coalesce(c, 0) + 1) / (n * 1.0 + v + 1))), 6) AS base_score
+        FROM k LEFT JOIN c USING (w), n GROUP BY r, k.doc_id""",
+    "op6_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+        s AS (SELECT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END) AS g FROM w),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        -- Of equal sets one stands for all.
+        e AS (SELECT min(r) OVER (PARTITION BY h) AS one, r FROM (SELECT r, md5(string_agg(g, chr(1) ORDER BY g)) AS h FROM s GROUP BY r)),
+        m AS (SELECT g, r, n FROM s JOIN n USING (r) WHERE r IN (SELECT one FROM e)),
+        l AS (SELECT a.r AS a, b.r AS b FROM m a JOIN m b ON a.g = b.g AND a.r <> b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(a, b) AS (SELECT one, one FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+        root AS (SELECT a AS one, min(b) AS root FROM reach GROUP BY a),
+        least AS (SELECT root, min(doc_id) AS least FROM root JOIN e USING (one) JOIN w USING (r) GROUP BY root)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept
+        FROM w LEFT JOIN n USING (r) LEFT JOIN e USING (r) LEFT JOIN root USING (one) LEFT JOIN least USING (root)""",
+    "op7_substring_dedup": rf"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+        win AS (SELECT r, doc_id, t.i, md5(array_to_string(ws[t.i:t.i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+        hit AS (SELECT r, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id),
+        gaps AS (SELECT r, i, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), 1000000000) AS next FROM hit),
+        gone AS (SELECT r, list_sort(flatten(list(range(i, least(i + 50, next))))) AS g FROM gaps GROUP BY r),
+        one AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE r IN (SELECT r FROM gone)),
+        out AS (SELECT r, unnest(g) AS i FROM gone),
+        left_ AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM one ANTI JOIN out USING (r, i) GROUP BY r)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+        FROM w LEFT JOIN gone USING (r) LEFT JOIN left_ USING (r)""",
     "op1_warc_salvage": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)

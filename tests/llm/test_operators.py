@@ -704,3 +704,106 @@ def test_pipeline(spark):
         assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert 0 < max(ends.values()) <= 2048
+
+
+def stage_docs(spark):
+    """Toxic and ordinary documents, copies, shared passages, long, empty and null texts, repeated rows, and clashing columns."""
+    rng = np.random.default_rng(21)
+    parts, more = ["tha", "ner", "ing", "ore", "lum"], ["sta", "lin", "edo", "ush", "ath"]
+    prose = lambda n: [f"{parts[a]}{more[b]}{parts[c]}{d}" for a, b, c, d in zip(*rng.integers(0, 5, (3, n)).tolist(), rng.integers(0, 40, n).tolist(), strict=True)]
+    passage = " ".join(prose(70))
+    rows = []
+    for k in range(160):
+        w = prose(int(rng.integers(20, 120)))
+        if k % 8 == 0:
+            for at in rng.choice(len(w), 4, replace=False):
+                w[at] = str(rng.choice(["worthless", "disgusting", "pathetic"]))
+        if k % 31 == 3:
+            w[5:5] = passage.split()
+        rows.append((k, " ".join(w), "en", [None, "a", "b", "c"][k % 4]))
+    rows += [(200 + k, rows[k][1], "en", "a") for k in (1, 2, 9)] + [(210, rows[5][1] + " one more", "en", "b")]
+    rows += [(220, " ".join(prose(9000)), "en", "c"), (221, None, "en", "a"), (222, "", "en", "d"), (223, "Just four words here", None, "b"), rows[7], rows[7]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, _gone long, _kept string, _a int, kept boolean, whole_sha256 string"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, 7, 1, "k", 2, True, "s") for r in rows], schema)
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(160)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = stage_docs(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, given: stages[name](spark, given, str(tmp_path))
+    rows = lambda given: [r.asDict() for r in given.collect()]
+    as_key = lambda found: sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "", r["source"] or "") for r in found)
+
+    # Toxicity: the same model, applied document by document.
+    given, got = rows(docs), run("toxicity", docs)
+    assert got.columns == docs.columns and all(r["predicted"] == 7 and r["score"] == 0.5 for r in rows(got))
+    learnt = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0]
+    text_of = {r["doc_id"]: r["text"] for r in given}
+    learnt = sorted(((r["doc_id"], b" ".join(toxicity.plain_words(text_of[r["doc_id"]].encode())), r["toxic"]) for r in learnt), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    model = toxicity.fit([r[1].split() for r in learnt], [r[2] for r in learnt])
+    distances, weights = toxicity.Distances(model), np.array(model.weights)
+    toxic = lambda text: np.array([*toxicity.features(distances(toxicity.plain_words((text or "").encode()))), 1.0]) @ weights >= 0
+    assert as_key(rows(got)) == as_key([r for r in given if not toxic(r["text"])])
+    assert {r["doc_id"] for r in given if toxic(r["text"])} >= {k for k in range(0, 160, 8)} and len(given) - got.count() < 25
+
+    # Near duplicates: every pair compared.
+    given, got = rows(docs), run("near_duplicates", docs)
+    of = {(i, t or ""): c for (i, t), (_, _, c) in zip([(r["doc_id"], r["text"]) for r in given], components([(r["doc_id"], r["text"]) for r in given], 5), strict=True)}
+    assert got.columns == docs.columns
+    assert as_key(rows(got)) == as_key([r for r in given if of[r["doc_id"], r["text"] or ""] == r["doc_id"]])
+    assert not {201, 202, 209, 210} & {r["doc_id"] for r in rows(got)}
+
+    # Substrings: every window looked up.
+    got = run("substring_dedup", docs)
+    want = []
+    for r, (_, n, removed, _) in zip(given, cut([(r["doc_id"], r["text"]) for r in given]), strict=True):
+        if not removed:
+            want.append((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest(), r["n_chars"]))
+        elif removed < n:
+            want.append((r["doc_id"], None, None))
+    found = {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest(), r["n_chars"]) for r in rows(got)}
+    assert got.columns == docs.columns and {w for w in want if w[1]} <= found and len(rows(got)) == len(want)
+    digests = {i: d for i, _, _, d in cut([(r["doc_id"], r["text"]) for r in given])}
+    assert all(hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest() == digests[r["doc_id"]] and r["n_chars"] == len(r["text"] or "") for r in rows(got))
+
+    # Mixing: the queue served slice by slice.
+    got = run("mixing", docs)
+    sizes = Counter()
+    for r in given:
+        sizes[r["source"]] += len(words(r["text"]))
+    goal = {s: t for s, t in mixing.targets(list(sizes.items()), corpus_pipeline.MIX_WEIGHTS, 1.5, 2).items() if t > 0}
+    order = defaultdict(list)
+    for r in mixing.placed(docs, corpus_pipeline.MIX_WEIGHTS, 1.5, 2, 11).orderBy("_group", "_chunk", "_turn").collect():
+        order[None if r["_group"] == "-" else r["_group"][1:]].append((r["doc_id"], r["_size"]))
+    served = queue_simulated(given, goal, 2, mixing.QUANTUM, {s: [((n, k), size) for n, (k, size) in enumerate(order[s])] for s in goal})
+    by_copy = Counter()
+    for s in goal:
+        for n, (k, size) in enumerate(order[s]):
+            got_words = served[n, k]
+            # A whole first copy, and the rest of the words in the second one.
+            by_copy[k] += (2 * min(got_words, size) >= size > 0) + (2 * max(0, got_words - size) >= size > 0)
+    assert got.columns == docs.columns
+    mixed = Counter(r["doc_id"] for r in rows(got))
+    assert sum(abs(mixed[k] - n) for k, n in by_copy.items()) <= 1 and set(mixed) <= {r["doc_id"] for r in given if words(r["text"])}
+
+    # Packing: every piece from the tokenizer, and no fewer sequences than fit.
+    got, want = rows(run("packing", docs)), Counter()
+    for r in given:
+        ids = encoded(r["text"], 0)
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[r["doc_id"], k, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    ends = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 2048 and len(ends) <= math.ceil(sum(ends.values()) / 2048) + 1
+
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0 and (name == "packing" or nothing.columns == docs.columns)
