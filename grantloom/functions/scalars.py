@@ -118,6 +118,11 @@ def milestone_date(start: Column, token: Column, end_of_month: bool = False) ->
     return F.concat(month_date(start, token, end_of_month).cast("string"), F.lit("T08:00:00Z"))
 
 
+def now_iso() -> Column:
+    """The time of the query in UTC, to seconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("proposal"))
 

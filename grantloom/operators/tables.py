@@ -136,17 +136,23 @@ def model_label(answer: Column, known: tuple[str, ...] = LABELS) -> Column:
     return F.when(text.isin(*known, OTHER), text).otherwise(F.coalesce(F.get(within, F.lit(0)), F.lit(OTHER)))
 
 
-def labelled_by(ask: Callable[[list[str]], list[str | None]], most: int = 20):
-    """A label_of for with_fallback_label(): ask gets previews and gives answers, in the same order, inside tasks. One that
-    fails (any exception) is no answer, so its tables become OTHER."""
+def answers_by(ask: Callable[[list[str]], list[str | None]]) -> Callable[[Column], Column]:
+    """A model's answers as a column function: ask gets texts and gives answers, in the same order, inside tasks. Where it
+    fails (any exception) there is no answer."""
 
     @F.pandas_udf("string")
-    def answers(previews: pd.Series) -> pd.Series:
+    def answers(texts: pd.Series) -> pd.Series:
         try:
-            return pd.Series(ask(previews.tolist()), dtype=object)
+            return pd.Series(ask(texts.tolist()), dtype=object)
         except Exception:
-            return pd.Series([None] * len(previews), dtype=object)
+            return pd.Series([None] * len(texts), dtype=object)
+
+    return answers
 
+
+def labelled_by(ask: Callable[[list[str]], list[str | None]], most: int = 20):
+    """A label_of for with_fallback_label(), from a model that is shown previews; tables without an answer become OTHER."""
+    answers = answers_by(ask)
     return lambda tables: tables.withColumn("answer", answers(model_preview(F.col("rows"), most))).withColumn("label", model_label(F.col("answer"))).drop("answer")
 
 

@@ -45,9 +45,10 @@ def parameters(company: str | None = None, start_date: str | None = None) -> tup
     return name, day
 
 
-def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = False) -> Stage1:
+def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = False, whole_pages: bool = False) -> Stage1:
     """Typed tables. label_of: see tables.with_fallback_label(); without it tables that no rule knows are left out. Tables
-    that are too small for any label are left out before."""
+    that are too small for any label are left out before. whole_pages: rows of deliverables are looked for in all tables of
+    a page that has a list of them, whatever their labels."""
     every, raw_tables = raw_tables, tables.worth_classifying(raw_tables)
     labelled = tables.classified(raw_tables).withColumn("label_source", F.lit("rules")) if label_of is None else tables.with_fallback_label(raw_tables, label_of)
     kept = tables.picked(labelled.filter(F.col("label").isNotNull()))
@@ -56,7 +57,8 @@ def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = Fa
     effort = tables.effort_matrix(of("effort"), company, info.select("proposal", "wp_id"))
     found = every.select("proposal").distinct()
     missing = lambda df, text: found.join(df.select("proposal").distinct(), "proposal", "left_anti").withColumn("warning", F.lit(text))
-    deliverables = tables.deliverable_list(of("deliverable"), strict)
+    lists = every.join(of("deliverable").select("proposal", "page_idx").distinct(), ["proposal", "page_idx"], "left_semi") if whole_pages else of("deliverable")
+    deliverables = tables.deliverable_list(lists, strict)
     warnings = missing(info, "no work package list").unionByName(missing(effort, "no effort for the company")).unionByName(missing(deliverables, "no deliverables"))
     return Stage1(info, effort, deliverables, warnings)
 

@@ -2,6 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from grantloom.functions import scalars as S
 from grantloom.operators import assembly, sections, tables, upserts
 from grantloom.plans import fixtures, pipeline
 from grantloom.sources import ingest
@@ -272,3 +273,53 @@ def test_paged_source(spark, monkeypatch):
     monkeypatch.setattr(rest, "fetch", fetch)
     reader = rest.PagedReader({"url": "http://x/y?state=all", "windows": "2"})
     assert sorted(json.loads(r)["n"] for p in reader.partitions() for (r,) in reader.read(p)) == list(range(250))
+
+
+def test_page_votes(spark):
+    pages = spark.createDataFrame([("p", 0, "see 3. IMPLEMENTATION below"), ("p", 1, "nothing"), ("p", 2, "3 WORK PLAN\n" + "y" * 9000)], PAGES)
+    votes = sections.page_votes(pages, lambda shown: ["section3_start" if len(x) == 5000 else "it is toc_or_index" for x in shown])
+    assert {(r["page_idx"], r["label"], r["n"]) for r in votes.collect()} == {(0, "toc_or_index", 3), (2, "section3_start", 3)}
+    assert [r["page_idx"] for r in sections.section3_pages(pages, votes).collect()] == [2]
+
+
+def test_rows_of_all_tables_on_a_deliverable_page(spark):
+    other = [["WP", "WP Title", "x"], ["D9.1", "Tool", "R"], ["D9.2", "Software for all of it", "Long text of the software", ]]
+    row = ["D1.1", "Plan of data", "Long text of a plan here", "AB", "R", "PU", "M6"]
+    full = [["Del. No", "Deliverable name", "Text", "Lead", "Type", "Diss", "Due"], row, ["D1.2", *row[1:]]]
+    unlabelled = [["a", "b", "c", "d", "e", "f", "g"], ["D3.1", *row[1:]]]
+    found = spark.createDataFrame([("p", 0, 0, full), ("p", 0, 1, unlabelled[1:]), ("p", 1, 0, other)], "proposal string, page_idx int, table_idx int, rows array<array<string>>")
+    ids = lambda first: sorted(i for r in first.deliverables.collect() for i in r["ids"])
+    assert ids(pipeline.stage1(found, "AB")) == ["D1.1", "D1.2"]
+    assert ids(pipeline.stage1(found, "AB", whole_pages=True)) == ["D1.1", "D1.2", "D3.1"]
+
+
+def test_ingest_of_pages_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 0, "text", 1.0, 2.0, [(1.0, 1.0)])], ingest.PAGES)
+    rows.write.parquet(str(tmp_path / "pages"))
+    assert ingest.pages(spark, str(tmp_path / "pages")).first() == rows.first()
+    tables_ = spark.createDataFrame([("p", 0, 0, [["a", None]], "native")], ingest.RAW_TABLES)
+    tables_.write.json(str(tmp_path / "tables"))
+    assert ingest.raw_tables(spark, str(tmp_path / "tables"), "json").first()["rows"] == [["a", None]]
+    named = ingest.with_column_names(spark.createDataFrame([("p", 0, 0, ["h", "i"], [["a", None]])], "proposal string, page_idx int, table_idx int, header array<string>, rows array<array<string>>"))
+    assert named.first()["rows"] == [["h", "i"], ["a", ""]]
+    files = spark.createDataFrame([("application/pdf", "x"), (None, "A.PDF"), ("text/plain", "a.txt"), (None, None)], "mime string, name string")
+    assert [r["ok"] for r in files.select(ingest.is_pdf(F.col("mime"), F.col("name")).alias("ok")).collect()] == [True, True, False, False]
+    wps = spark.createDataFrame([("p", "WP2", 1.0), ("p", "WP10", 2.0)], "proposal string, wp_id string, pms double")
+    assert ingest.as_json(wps).first()["json"] == '[{"wp_id":"WP10","pms":2.0},{"wp_id":"WP2","pms":1.0}]'
+
+
+def test_children_without_parent_are_an_error(spark):
+    import pytest
+
+    parents = spark.createDataFrame([("a", 1)], "key string, number long")
+    assert upserts.resolved(spark.createDataFrame([("a",)], "key string"), parents, "key", "number").first()["number"] == 1
+    with pytest.raises(Exception, match="no parent for b"):
+        upserts.resolved(spark.createDataFrame([("b",)], "key string"), parents, "key", "number").collect()
+
+
+def test_rotated_tables(spark):
+    tall = "a\nb\nc\nd"
+    rows = [(1, [[tall, "x", "y"], ["1", "2", "3"]]), (2, [["x", "y", "z"], ["1", "2", "3"]]), (3, [])]
+    found = spark.createDataFrame(rows, "k int, rows array<array<string>>").select("k", S.is_rotated_table(F.col("rows")).alias("r"))
+    assert {r["k"]: r["r"] for r in found.collect()} == {1: True, 2: False, 3: False}
+    assert len(spark.range(1).select(S.now_iso().alias("t")).first()["t"]) == 20
