@@ -10,8 +10,14 @@ from grantloom.llm import files
 from grantloom.llm.bits import pack, unpack
 
 
+_1, _2, _3, _4, _8, _255 = (np.uint64(k) for k in (1, 2, 3, 4, 8, 255))
+_ODD, _PAIRS, _NIBBLES, _BYTES, _TOPS = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+#: The place of each one of a byte.
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
+
+
 class EliasFano:
-    """Strictly ascending numbers below some universe: low bits packed, high bits in unary, with counts of the zeros before
+    """Ascending numbers below some universe: low bits packed, high bits in unary, with counts of the zeros before
     each 64-bit word as a directory. About 3 bits a number and log2(universe / n) low bits."""
 
     def __init__(self, n: int, low_bits: int, universe: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray):
@@ -39,16 +45,18 @@ class EliasFano:
         return cls(n, low_bits, universe, *[found[f"{name}.{x}"] for x in ("lows", "highs", "zeros")])
 
     @staticmethod
-    def _place(left: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Where the rank-th one (from 0) of each 64-bit word is: halves are counted and skipped."""
-        rank, place = rank.astype(np.uint64), np.zeros(len(left), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count(left & np.uint64(2**width - 1)).astype(np.uint64)
-            on = rank >= here
-            rank = np.where(on, rank - here, rank)
-            left = np.where(on, left >> np.uint64(width), left)
-            place += np.where(on, np.uint64(width), np.uint64(0))
-        return place.astype(np.int64)
+    def _place(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Where the rank-th one (from 0) of each 64-bit word is: the ones up to each byte are counted side by side in one
+        number, which tells the byte, and a table tells the place within."""
+        with np.errstate(over="ignore"):
+            ones = words - ((words >> _1) & _ODD)
+            ones = (ones & _PAIRS) + ((ones >> _2) & _PAIRS)
+            upto = ((ones + (ones >> _4)) & _NIBBLES) * _BYTES
+            rank = rank.astype(np.uint64)
+            # A byte's top bit stays where the ones up to it are no more than the rank.
+            byte = np.bitwise_count((((rank * _BYTES) | _TOPS) - upto) & _TOPS).astype(np.uint64) << _3
+            rank = rank - (((upto << _8) >> byte) & _255)
+            return byte.astype(np.int64) + _IN_BYTE[((words >> byte) & _255).astype(np.int64), rank.astype(np.int64)]
 
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many numbers have high bits up to these: the place of a zero, less its rank."""
@@ -65,36 +73,44 @@ class EliasFano:
         low = unpack(self.lows, places, self.low_bits).astype(np.int64) if self.low_bits else 0
         return (high << self.low_bits) + low
 
-    def below(self, wanted: np.ndarray) -> np.ndarray:
-        """How many numbers are smaller than each of these, which is where its successor is; any number may be asked for."""
+    def _search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of numbers below the universe: how many are smaller, and whether the next one is equal."""
+        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
+        begin, end = np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0), self._upto(high)
+        if not self.low_bits:
+            return begin, begin < end
+        low, last = wanted & np.uint64(2**self.low_bits - 1), end.copy()
+        open_ = np.flatnonzero(begin < end)
+        while len(open_):
+            middle = (begin[open_] + end[open_]) >> 1
+            less = unpack(self.lows, middle, self.low_bits) < low[open_]
+            begin[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < end[open_]]
+        equal = begin < last  # there are more with these high bits
+        there = np.flatnonzero(equal)
+        equal[there] = unpack(self.lows, begin[there], self.low_bits) == low[there]
+        return begin, equal
+
+    def _asked(self, wanted: np.ndarray, place: np.ndarray, equal: np.ndarray) -> None:
         wanted = np.asarray(wanted).astype(np.uint64)
-        found = np.full(len(wanted), self.n, np.int64)
         inside = np.flatnonzero(wanted < np.uint64(self.universe))
-        if not self.n or not len(inside):
-            return found
-        wanted = wanted[inside]
-        high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
-        begin = np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0)
-        if self.low_bits:
-            low, end = wanted & np.uint64(2**self.low_bits - 1), self._upto(high)
-            open_ = np.flatnonzero(begin < end)
-            while len(open_):
-                middle = (begin[open_] + end[open_]) >> 1
-                less = unpack(self.lows, middle, self.low_bits) < low[open_]
-                begin[open_[less]] = middle[less] + 1
-                end[open_[~less]] = middle[~less]
-                open_ = open_[begin[open_] < end[open_]]
-        found[inside] = begin
-        return found
+        if self.n and len(inside) == len(wanted):
+            place[:], equal[:] = self._search(wanted)
+        elif self.n and len(inside):
+            place[inside], equal[inside] = self._search(wanted[inside])
+
+    def below(self, wanted: np.ndarray) -> np.ndarray:
+        """How many numbers are smaller than each of these, which is where its successor is; any number may be asked for."""
+        place, equal = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
+        self._asked(wanted, place, equal)
+        return place
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each number, -1 if it isn't there."""
-        place = self.below(wanted)
-        there = np.flatnonzero(place < self.n)
-        found = np.full(len(place), -1, np.int64)
-        same = self.at(place[there]).astype(np.uint64) == np.asarray(wanted)[there].astype(np.uint64)
-        found[there[same]] = place[there[same]]
-        return found
+        place, equal = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
+        self._asked(wanted, place, equal)
+        return np.where(equal, place, -1)
 
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:

@@ -3,7 +3,7 @@
 Tokens are words with A-Z in lower case and, after each text, one end. The first level has every word of the training
 texts, by a 63-bit hash, with its count; a word's number is its rank. Level n has, for each context, the words that
 followed it. A context is an entry of level n - 1 (a word's number on level 2, where a text's beginning is one more), and
-a context's successors lie side by side, their range given by pointers. A successor is told by its place among the
+its successors lie side by side, in the range from its pointer to the next one's. A successor is told by its place among the
 successors of the shorter context, the one without its first word (its number on level 2): a few bits, however large the
 vocabulary. Pointers ascend, and successors do when each context's begin where the one before it ended, so both are
 Elias-Fano sequences. To find an n-gram, its context's pointers are read, then what the sequence stood at before its
@@ -15,7 +15,7 @@ Smoothing: p(w) = (c(w) + 1) / (N + V + 1), and p(w | context) = (c(context w) +
 one's probability.
 
 Counting covers all training texts. Tasks count their own tokens first; n-grams travel as compressed blocks of sorted
-numbers, dealt by a hash of the context. A context that a third of all tokens share has as many rows as it has successors
+numbers, dealt by ranges of contexts. A context that a third of all tokens share has as many rows as it has successors
 that differ, for each task that met them. The model is never gathered: every level is written and read in parts, whose
 list alone (a row each) passes the driver. A task opens a part when it first looks for something there.
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.llm import files
-from grantloom.llm.common import mix, release, saved, scratch, texts_of, word_hashes
+from grantloom.llm.common import release, saved, scratch, texts_of, word_hashes
 from grantloom.llm.elias_fano import EliasFano, read_arrays, write_arrays
 from grantloom.llm.tokens import in_groups
 
@@ -101,8 +101,17 @@ class Parts:
     """Where the parts of a level are."""
 
     paths: list[str]  # empty: a part without entries
-    first: list[int]  # the number of each part's first entry
+    first: list[int]  # the number of each part's first entry, and of all
     degree: int  # the largest number of successors
+    contexts: int
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        """The part of each context: ranges of as many contexts each."""
+        return contexts * len(self.paths) // self.contexts
+
+    def start(self, k: int) -> int:
+        """The first context of a part."""
+        return -(-k * self.contexts // len(self.paths))
 
 
 @dataclass
@@ -167,71 +176,65 @@ class Words:
         return -found * self.model.step
 
 
-def part_of(contexts: np.ndarray, n_parts: int) -> np.ndarray:
-    return (mix(contexts.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-
-
-def _each(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _each(parts: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray]]:
     """The parts that come, and where."""
     if not len(parts):
         return
-    order = np.argsort(parts, kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order], prepend=-1))
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(parts)).tolist(), strict=True):
-        yield int(parts[order[a]]), order[a:b]
+    order = None if (parts[1:] >= parts[:-1]).all() else np.argsort(parts, kind="stable")
+    cuts = np.flatnonzero(np.diff(parts if order is None else parts[order], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True):
+        yield (int(parts[a]), slice(a, b)) if order is None else (int(parts[order[a]]), order[a:b])
 
 
 class Part:
-    """A part of a level: contexts, pointers to their successors, the successors, counts and logs."""
+    """A part of a level: for each of a range of contexts a pointer to its successors, the successors, counts and logs."""
 
     def __init__(self, found: dict[str, np.ndarray]):
         self.counts, self.logs = found["counts"], found["logs"]
-        self.contexts, self.pointers, self.successors = (EliasFano.from_arrays(found, x) for x in ("contexts", "pointers", "successors"))
+        self.pointers, self.successors = (EliasFano.from_arrays(found, x) for x in ("pointers", "successors"))
 
     @staticmethod
-    def arrays(context: np.ndarray, successor: np.ndarray, universe: int, counts: np.ndarray, logs: np.ndarray) -> dict[str, np.ndarray]:
-        """From entries sorted by context and successor. universe: contexts are below it."""
+    def arrays(context: np.ndarray, successor: np.ndarray, contexts: int, counts: np.ndarray, logs: np.ndarray) -> dict[str, np.ndarray]:
+        """From entries sorted by context and successor. contexts: how many there are, counted from 0; some may have none."""
+        pointers = np.searchsorted(context, np.arange(contexts + 1))
         starts = np.flatnonzero(np.diff(context, prepend=-1))
         ends = np.append(starts[1:], len(context))
         # Each context's successors begin one above the last of the context before.
         base = np.concatenate([[0], np.cumsum(successor[ends - 1] + 1)])
         ascending = successor + np.repeat(base[:-1], ends - starts)
-        sequences = {"contexts": (context[starts], universe), "pointers": (np.append(starts, len(context)), len(context) + 1), "successors": (ascending, int(base[-1]))}
         found = {"counts": counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), "logs": logs}
-        for name, (values, top) in sequences.items():
+        for name, values, top in (("pointers", pointers, len(context) + 1), ("successors", ascending, int(base[-1]))):
             found |= EliasFano.of(values, top).arrays(name)
         return found
 
-    def ranges(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of contexts by their place here: where successors begin and end, and what the sequence counts from there."""
-        begin, end = self.pointers.at(k), self.pointers.at(k + 1)
-        base = np.zeros(len(k), np.int64)
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where successors begin and end, and what the sequence counts from there."""
+        begin, end = self.pointers.at(context), self.pointers.at(context + 1)
+        base = np.zeros(len(context), np.int64)
         later = np.flatnonzero(begin > 0)
         base[later] = self.successors.at(begin[later] - 1) + 1
         return begin, end, base
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries' places here, -1 where there is none, and their places among their context's."""
-        found, among = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
-        k = self.contexts.find(context)
-        at = np.flatnonzero(k >= 0)
-        begin, end, base = self.ranges(k[at])
-        place = self.successors.find(base + successor[at])
+        """The entries' places here, -1 where there is none, and their places among their context's. Contexts ascend."""
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        times = np.diff(np.append(first, len(context)))
+        begin, end, base = (np.repeat(x, times) for x in self.ranges(context[first]))
+        place = self.successors.find(base + successor)
         there = (place >= begin) & (place < end)
-        found[at[there]], among[at[there]] = place[there], (place - begin)[there]
-        return found, among
+        return np.where(there, place, -1), np.where(there, place - begin, -1)
 
     def entry(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context and successor of entries."""
-        k = self.pointers.below(places + 1) - 1
-        return self.contexts.at(k), self.successors.at(places) - self.ranges(k)[2]
+        context = self.pointers.below(places + 1) - 1
+        return context, self.successors.at(places) - self.ranges(context)[2]
 
 
 class Level:
     """A level from the second one on; its parts are opened when they are first asked for."""
 
     def __init__(self, parts: Parts):
-        self.parts, self.first, self.open = parts, np.array([*parts.first, 1 << 62], np.int64), {}
+        self.parts, self.first, self.open = parts, np.array(parts.first, np.int64), {}
 
     def part(self, k: int) -> Part:
         if k not in self.open:
@@ -239,42 +242,42 @@ class Level:
         return self.open[k]
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries' numbers, -1 where the trie has none, and their places among their context's successors."""
+        """The entries' numbers, -1 where the trie has none, and their places among their context's successors. Contexts ascend."""
         found, among = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
-        for k, at in _each(part_of(context, len(self.parts.paths))):
+        for k, at in _each(self.parts.of(context)):
             if self.parts.paths[k]:
-                here, among[at] = self.part(k).find(context[at], successor[at])
+                here, among[at] = self.part(k).find(context[at] - self.parts.start(k), successor[at])
                 found[at] = np.where(here >= 0, here + self.first[k], -1)
         return found, among
 
     def begins(self, context: np.ndarray) -> np.ndarray:
-        """The number of the first successor of contexts that are there."""
+        """The number of the first successor of contexts that have any."""
         found = np.zeros(len(context), np.int64)
-        for k, at in _each(part_of(context, len(self.parts.paths))):
-            part = self.part(k)
-            found[at] = part.pointers.at(part.contexts.find(context[at])) + self.first[k]
+        for k, at in _each(self.parts.of(context)):
+            found[at] = self.part(k).pointers.at(context[at] - self.parts.start(k)) + self.first[k]
         return found
 
-    def _of(self, numbers: np.ndarray) -> Iterator[tuple[Part, np.ndarray, np.ndarray]]:
+    def _of(self, numbers: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray, np.ndarray]]:
         for k, at in _each(np.searchsorted(self.first, numbers, side="right") - 1):
-            yield self.part(k), at, numbers[at] - self.first[k]
+            yield k, at, numbers[at] - self.first[k]
 
     def entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         context, successor = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        for part, at, places in self._of(numbers):
-            context[at], successor[at] = part.entry(places)
+        for k, at, places in self._of(numbers):
+            context[at], successor[at] = self.part(k).entry(places)
+            context[at] += self.parts.start(k)
         return context, successor
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         found = np.zeros(len(numbers), np.int64)
-        for part, at, places in self._of(numbers):
-            found[at] = part.counts[places]
+        for k, at, places in self._of(numbers):
+            found[at] = self.part(k).counts[places]
         return found
 
     def steps(self, numbers: np.ndarray) -> np.ndarray:
         found = np.zeros(len(numbers), np.int64)
-        for part, at, places in self._of(numbers):
-            found[at] = part.logs[places]
+        for k, at, places in self._of(numbers):
+            found[at] = self.part(k).logs[places]
         return found
 
 
@@ -296,35 +299,47 @@ class Trie:
     def logs(self, n: int, numbers: np.ndarray) -> np.ndarray:
         return self.words.logs(numbers) if n == 1 else -self.levels[n].steps(numbers) * self.model.step
 
-    def walk(self, rows: list[np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For n from 1: (n, context, successor, number) of the n-gram that each token of some texts ends; -1 where there is
-        none. The last n is depth; there, numbers are -1 if the trie doesn't have that level."""
+    def walk(self, rows: list[np.ndarray], depth: int, valued: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For n from 1: (n, context, successor, there, counts, logs) of the n-gram that each token of some texts ends.
+        Context and successor are -1 where there is none. valued: there is whether the trie has it, with its count and log
+        probability (0 without it; on level 1 those of any word). The last n is depth, a level that the trie need not have."""
         flat = np.concatenate(rows)
-        keys, back = np.unique(flat, return_inverse=True)
         starts = np.cumsum([0, *[len(x) for x in rows[:-1]]])
-        number = self.words.numbers(keys)[back]
-        among = number
-        yield 1, np.zeros(len(flat), np.int64), among, number
+        none = np.zeros(0)
+        keys, back = np.unique(flat, return_inverse=True)
+        each = self.words.numbers(keys)
+        number = among = each[back]
+        values = (self.words.counts(each)[back], self.words.logs(each)[back]) if valued else (none, none)
+        yield 1, np.zeros(len(flat), np.int64), among, number >= 0, *values
         for n in range(2, depth + 1):
             context = np.concatenate([[-1], number[:-1]])
             context[starts] = self.model.v if n == 2 else -1
             successor = among
+            if n not in self.levels:
+                yield n, context, successor, none, none, none
+                return
             number, among = np.full(len(flat), -1, np.int64), np.full(len(flat), -1, np.int64)
-            if n in self.levels:
-                at = np.flatnonzero((context >= 0) & (successor >= 0))
-                span = np.uint64(max(1, int(successor.max(initial=0)) + 1))
-                both, back = np.unique(context[at].astype(np.uint64) * span + successor[at].astype(np.uint64), return_inverse=True)
-                found = self.levels[n].find((both // span).astype(np.int64), (both % span).astype(np.int64))
-                number[at], among[at] = found[0][back], found[1][back]
-            yield n, context, successor, number
-
-
-def _blocks(keys: np.ndarray, counts: np.ndarray, span: int, n_parts: int) -> Iterator[tuple[int, bytes]]:
+            at = np.flatnonzero((context >= 0) & (successor >= 0))
+            span = np.uint64(max(1, int(successor.max(initial=0)) + 1))
+            both, back = np.unique(context[at].astype(np.uint64) * span + successor[at].astype(np.uint64), return_inverse=True)
+            each, places = self.levels[n].find((both // span).astype(np.int64), (both % span).astype(np.int64))
+            number[at], among[at] = each[back], places[back]
+            counts, logs = none, none
+            if valued:
+                counts, logs = np.zeros(len(flat), np.int64), np.zeros(len(flat))
+                of = np.zeros((2, len(each)))
+                there = np.flatnonzero(each >= 0)
+                of[0, there], of[1, there] = self.levels[n].counts(each[there]), self.logs(n, each[there])
+                counts[at], logs[at] = of[0][back], of[1][back]
+            yield n, context, successor, number >= 0, counts, logs
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, span: int, parts: Parts) -> Iterator[tuple[int, bytes]]:
     """Ascending keys (context * span + successor) and their counts, by part: differences and counts by byte place, compressed."""
     import zstandard as zs
 
     press = zs.ZstdCompressor(level=1)
-    for k, at in _each(part_of(keys // np.uint64(span), n_parts)):
+    for k, at in _each(parts.of((keys // np.uint64(span)).astype(np.int64))):
         steps = np.diff(keys[at], prepend=np.uint64(0)).astype("<u8")
         raw = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), counts[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
         yield k, press.compress(raw.tobytes())
@@ -387,18 +402,19 @@ def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
     contexts = model.v + 1 if n == 2 else model.levels[-1].first[-1]
     if span * contexts >= 2**64:
         raise ValueError(f"level {n} has too many contexts and successors")
+    ranges = Parts([""] * n_parts, [], 1, contexts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, counter = Trie(model), _Counter()
 
         def out() -> pa.RecordBatch:
             counter.settle()
-            blocks = list(_blocks(*counter.done, span, n_parts))
+            blocks = list(_blocks(*counter.done, span, ranges))
             counter.done = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
 
         for _, _, rows in _texts(batches, 0):
-            for _, context, successor, _ in trie.walk(rows, n):
+            for _, context, successor, *_ in trie.walk(rows, n):
                 pass
             at = np.flatnonzero((context >= 0) & (successor >= 0))
             counter.add(context[at].astype(np.uint64) * np.uint64(span) + successor[at].astype(np.uint64))
@@ -416,7 +432,7 @@ def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
             shorter = successor if n == 2 else trie.levels[n - 1].begins(trie.shorter(n - 1, each))[back] + successor
             logs = np.log10((counts + mu * 10 ** trie.logs(n - 1, shorter)) / (trie.counts(n - 1, each)[back] + mu))
             path = files.fresh_name(folder, f"level{n}-{part:06d}", ".ef")
-            write_arrays(path, Part.arrays(context, successor, contexts, counts, model.quantised(logs)))
+            write_arrays(path, Part.arrays(context - ranges.start(part), successor, ranges.start(part + 1) - ranges.start(part), counts, model.quantised(logs)))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([int(np.bincount(back).max())], pa.int64())], names=["part", "path", "n", "degree"])
 
         for batch in batches:
@@ -434,7 +450,7 @@ def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
     written = {r["part"]: r for r in saved(blocks.mapInArrow(write, "part int, path string, n long, degree long"), f"level{n}-manifest").collect()}  # a row per part
     release(texts.sparkSession)
     first = np.cumsum([0, *[written[k]["n"] if k in written else 0 for k in range(n_parts)]]).tolist()
-    return Parts([written[k]["path"] if k in written else "" for k in range(n_parts)], first, max([1, *[r["degree"] for r in written.values()]]))
+    return Parts([written[k]["path"] if k in written else "" for k in range(n_parts)], first, max([1, *[r["degree"] for r in written.values()]]), contexts)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -458,16 +474,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def _token_logs(trie: Trie, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token: whether it is known, its base and its log10 probability."""
-    model, logs = trie.model, None
-    for n, context, _, number in trie.walk(rows, len(model.levels) + 1):
+    model, starts = trie.model, np.cumsum([0, *[len(x) for x in rows[:-1]]])
+    for n, _, _, there, counts, logs in trie.walk(rows, len(model.levels) + 1, valued=True):
         if n == 1:
-            counts = trie.words.counts(number)
-            logs = trie.words.logs(number)
-            continue
-        # What the level doesn't have backs off; a context that it doesn't have says nothing.
-        seen = np.flatnonzero(context >= 0)
-        each, back = np.unique(context[seen], return_inverse=True)
-        logs[seen] += np.log10(model.mu[n - 2] / (trie.counts(n - 1, each) + model.mu[n - 2]))[back]
-        there = np.flatnonzero(number >= 0)
-        logs[there] = trie.logs(n, number[there])
-    return (counts > 0).astype(np.int64), np.log10((counts + 1) / (model.n + model.v + 1)), logs
+            known, base, found = (counts > 0).astype(np.int64), np.log10((counts + 1) / (model.n + model.v + 1)), logs
+        else:
+            # What the level doesn't have backs off; a context that it doesn't have says nothing.
+            mu = model.mu[n - 2]
+            found = np.where(there, logs, found + np.log10(mu / (context_counts + mu)))
+        context_counts = np.concatenate([[0], counts[:-1]])
+        context_counts[starts] = model.texts if n == 1 else 0
+    return known, base, found
