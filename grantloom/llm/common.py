@@ -164,10 +164,14 @@ def pieces_of(text: bytes) -> Iterator[bytes]:
 
 def word_hashes(text: bytes, fold: bool = False) -> np.ndarray:
     """A 64-bit hash for each word of a text; fold: A-Z count as a-z. Words that differ collide by chance only."""
-    found = [np.frombuffer(b"".join(map(_digests.__getitem__, (x.lower() if fold else x).split())), np.uint64) for x in pieces_of(text)]
+    found = [hashes_of((x.lower() if fold else x).split()) for x in pieces_of(text)]
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(_digests.__getitem__, words)), np.uint64)
+
+
 def run_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
     """A hash of each run of n consecutive words. Equal runs agree; a power series modulo 2**64 can also make runs agree that
     differ, so this finds candidates and settles nothing. base: an odd number."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, list_folder, release, remove, run_hashes, saved, scratch, texts_of, word_hashes, words_of
+from grantloom.llm.common import drop_saved, hashes_of, list_folder, release, remove, run_hashes, saved, scratch, texts_of, words_of
 
 WINDOW, GRAM = 50, 25
 _GRAM_BASE = 0x9E3779B97F4A7C15
@@ -50,10 +50,11 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(left[:n], right[k - 1 : k - 1 + n])
 
 
-def prints(text: bytes, window: int, gram: int) -> tuple[int, np.ndarray]:
-    """The number of a text's words, and the fingerprint of each window."""
-    words = word_hashes(text)
-    return len(words), sliding_min(run_hashes(words, gram, _GRAM_BASE), window - gram + 1).view(np.int64)
+def prints(words: list[bytes], window: int, gram: int) -> np.ndarray:
+    """The fingerprint of each window of a text's words."""
+    if len(words) < window:
+        return np.zeros(0, np.int64)
+    return sliding_min(run_hashes(hashes_of(words), gram, _GRAM_BASE), window - gram + 1).view(np.int64)
 
 
 class Windows:
@@ -62,15 +63,17 @@ class Windows:
     def __init__(self, text: bytes, window: int, gram: int):
         self.window = window
         self.words = text.split()
-        self.prints = prints(text, window, gram)[1]
+        self.prints = prints(self.words, window, gram)
 
-    def digests(self, places: np.ndarray) -> np.ndarray:
-        """128-bit digests of the windows that start at these words, as two numbers each."""
+    def digests(self, places: np.ndarray) -> list[bytes]:
+        """128-bit digests of the windows that start at these words."""
+        if not len(places):
+            return []
         joined = b" ".join(self.words)
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
-        starts = ends - np.fromiter(map(len, self.words), np.int64, len(self.words))
-        spans = zip(starts[places].tolist(), ends[places + self.window - 1].tolist(), strict=True)
-        return np.frombuffer(b"".join([blake2b(joined[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        ends = np.cumsum(sizes + 1) - 1
+        spans = zip((ends - sizes)[places].tolist(), ends[places + self.window - 1].tolist(), strict=True)
+        return [blake2b(joined[a:b], digest_size=16).digest() for a, b in spans]
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -85,10 +88,10 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             counts, shas, found = [], [], []
             for text in texts_of(batch.column(1)):
-                n, each = prints(text, window, gram)
-                counts.append(n)
-                shas.append(sha256(b" ".join(text.split())).hexdigest())
-                found.append(np.unique(each))
+                words = text.split()
+                counts.append(len(words))
+                shas.append(sha256(b" ".join(words)).hexdigest())
+                found.append(np.unique(prints(words, window, gram)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "whole_sha256", "prints"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, whole_sha256 string, prints array<long>")
@@ -103,8 +106,8 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             size = 0
             for doc_id, text, shared in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), _lists(batch.column("shared")), strict=True):
                 one = Windows(text, window, gram)
-                digests = np.unique(one.digests(np.flatnonzero(np.isin(one.prints, shared))), axis=0)
-                found.append((np.full(len(digests), doc_id), digests))
+                digests = set(one.digests(np.flatnonzero(np.isin(one.prints, shared))))
+                found.append((np.full(len(digests), doc_id), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)))
                 size += len(digests)
                 if size > 100_000:
                     yield out(found)
@@ -129,9 +132,9 @@ def cut(texts: DataFrame, window: int, gram: int, with_text: bool = False) -> Da
             for text, shared, repeated in zip(texts_of(batch.column("text")), _lists(batch.column("shared")), _lists(batch.column("repeated")), strict=True):
                 one = Windows(text, window, gram)
                 places = np.flatnonzero(np.isin(one.prints, shared))
-                gone_digests = set(repeated.reshape(-1, 2).copy().view("V16").ravel().tolist())
-                of = np.ascontiguousarray(one.digests(places)).view("V16").ravel().tolist()
-                hit = places[np.fromiter((d in gone_digests for d in of), bool, len(of))]
+                raw = repeated.tobytes()
+                taken = {raw[k : k + 16] for k in range(0, len(raw), 16)}
+                hit = places[np.fromiter((d in taken for d in one.digests(places)), bool, len(places))]
                 edge = np.zeros(len(one.words) + 1, np.int64)
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + window, -1)
