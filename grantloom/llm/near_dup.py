@@ -152,10 +152,11 @@ def _cross_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Every such pair has a member outside the family's largest component. Those members are dealt into blocks and all
     members into chunks; each block meets each chunk in a task of its own, which compares sets and keeps links only."""
-    sizes = family.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter(F.col("roots") > 1)
-    open_ = family.join(sizes, "leader").withColumn("outer", F.col("root") != F.col("main"))
-    counts = open_.groupBy("leader").agg(F.ceil(F.count_if("outer") / BLOCK).alias("blocks"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    placed = saved(open_.join(counts, "leader").select("leader", "node", "root", "outer", "blocks", "chunks", F.xxhash64("node").alias("h")), "open")
+    by_root = family.groupBy("leader", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("leader").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter(F.col("roots") > 1)
+    sizes = sizes.select("leader", "main", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    # Nothing but a join on the leader, whose large partitions Spark can split: a leader may have a third of all members.
+    placed = saved(family.join(sizes, "leader").select("leader", "node", "root", (F.col("root") != F.col("main")).alias("outer"), "blocks", "chunks", F.xxhash64("node").alias("h")), "open")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = placed.select("leader", "node", "root", F.pmod("h", "chunks").alias("chunk"), every("blocks").alias("block"), F.lit(False).alias("outer"))
     outer = placed.filter("outer").select("leader", "node", "root", every("chunks").alias("chunk"), F.pmod("h", "blocks").alias("block"), F.lit(True).alias("outer"))
