@@ -9,7 +9,7 @@ lists, so any id is found by one look-up, and a block is unpacked by a few numpy
 
 Texts are range-partitioned and sorted by id before they are encoded, so that ids are made where they are written, and
 only texts are shuffled, once. Null texts are empty and have the end id alone. Rows that repeat an id follow each other
-in the order of their texts. An empty table gives one file without documents, or none. Extra columns are not looked at.
+in an order that their texts decide. An empty table gives one file without documents, or none. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -127,7 +127,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [path], "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
-    sorted_ = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("place", F.xxhash64("text"))
+    # The texts' hashes split an id that very many rows repeat, or that is null.
+    sorted_ = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").select("doc_id", "text")
     return saved(sorted_.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-ids-manifest")
 
 
