@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm import ann, mixing, near_dup, ngram, packing, quality, substring, token_ids, toxicity, warc
+from grantloom.llm import ann, mixing, near_dup, ngram, packing, quality, substring, token_ids, toxicity, vector_codes, warc
 from grantloom.llm.common import id_remainder, table
 
 
@@ -78,6 +78,10 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def ngram_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 gives besides the trie's own score; sums of logarithms to six places."""
     scores = op4_ngram_trie(spark, sf_dir)
@@ -91,6 +95,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+def _round(n: int) -> str:
+    """Codebooks c{n + 1} from c{n}: each part x goes to the nearest entry, and entries to their parts' means."""
+    return f"""
+        a{n} AS ({_nearest(n)}),
+        m{n} AS (SELECT p, e, i, sum(z[i]) AS s, count(*) AS k FROM x JOIN a{n} USING (r, p), unnest(range(1, len(z) + 1)) AS t(i) GROUP BY p, e, i),
+        u{n} AS (SELECT p, e, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY i) AS z FROM m{n} GROUP BY p, e),
+        c{n + 1} AS (SELECT p, e, coalesce(u{n}.z, c{n}.z) AS z FROM c{n} LEFT JOIN u{n} USING (p, e)),"""
+
+
+def _nearest(n: int) -> str:
+    far = "list_sum(list_transform(range(1, len(x.z) + 1), lambda i: (x.z[i] - c.z[i]) * (x.z[i] - c.z[i])))"
+    return f"SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, x.p, c.e, CAST({far} AS BIGINT) AS d FROM x JOIN c{n} c ON x.p = c.p) GROUP BY r, p"
+
 ORACLES: dict[str, str] = {
     # crc32 has no SQL: it is worked out bit by bit, over the ids' digits.
     "ngram_base_score": rf"""
@@ -130,6 +148,15 @@ ORACLES: dict[str, str] = {
         left_ AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM one ANTI JOIN out USING (r, i) GROUP BY r)
         SELECT doc_id, len(ws) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t, '') END) AS kept_sha256
         FROM w LEFT JOIN gone USING (r) LEFT JOIN left_ USING (r)""",
+    "op13_vector_codes": f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        x AS (SELECT r, p, z[p * len(z) // 16 + 1:(p + 1) * len(z) // 16] AS z FROM v, unnest(range(16)) AS t(p)),
+        c0 AS (SELECT p, r - 1 AS e, z FROM x WHERE r <= 64),{_round(0)}{_round(1)}
+        f AS ({_nearest(2)}),
+        o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r),
+        s AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (r), s""",
     "op1_warc_salvage": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
