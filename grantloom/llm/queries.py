@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm import ann, mixing, near_dup, ngram, packing, quality, simhash, substring, token_ids, toxicity, vector_codes, warc
+from grantloom.llm import alignment, ann, mixing, near_dup, ngram, packing, quality, simhash, substring, token_ids, toxicity, vector_codes, warc
 from grantloom.llm.common import id_remainder, table
 
 
@@ -83,6 +83,11 @@ def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_components(docs, shingle=3, budget=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
 
