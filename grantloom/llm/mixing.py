@@ -91,7 +91,8 @@ def served(queue: DataFrame, max_epochs: int, quantum: int) -> DataFrame:
     """From placed(), written: a row for each copy that gets any words: _group, _chunk, _turn, _copy (from 0), _words (what
     it gets) and _finish (when the last of its slices that get any does)."""
     some = queue.filter((F.col("_size") > 0) & (F.col("_target") > 0))
-    budget = some.groupBy("_group").agg(F.first("_target").alias("t")).agg(F.coalesce(F.round(F.sum("t")), F.lit(0.0)).cast("long")).first()[0]
+    # A target per source, added up exactly and rounded half up on the driver: a distributed sum's order follows the partitions.
+    budget = math.floor(math.fsum(r["t"] for r in some.groupBy("_group").agg(F.first("_target").alias("t")).collect()) + 0.5)
     start = F.col("_end") - F.col("_size") + F.col("_copy") * F.col("_source_size")
     low = F.col("_slice") * quantum
     high = F.least(low + quantum, F.col("_size"))
@@ -133,8 +134,8 @@ def mixed_documents(docs: DataFrame, weights: list[int], share: float = 1.5, max
     inner = docs.toDF(*[c if c in ("doc_id", "source", "text") else f"x{k}" for k, c in enumerate(docs.columns)])
     queue = saved(placed(inner, weights, share, max_epochs, seed), "mix-placed")
     got = queue.join(served(queue, max_epochs, quantum), ["_group", "_chunk", "_turn"]).filter(2 * F.col("_words") >= F.col("_size"))
-    got = got.select("_group", "_place", F.col("_same").alias("_other"), "_chunk", "_turn", "_copy", "_finish")
+    got = got.select("_group", "_place", "_same", "_chunk", "_turn", "_copy", "_finish")
     wide = _keyed(inner, seed).withColumn("_same", F.row_number().over(W.partitionBy("_group", "_place").orderBy("doc_id")))
-    # Rows of one place are told apart behind the join's keys, so that the window's partitions serve the join as well.
-    both = wide.join(got, ["_group", "_place"]).filter(F.col("_same") - F.col("_other") == 0)
+    # Rows of one place are told apart by the join's key, so that n of them meet n rows and not n times as many.
+    both = wide.join(got, ["_group", "_place", "_same"])
     return both.orderBy("_finish", "_group", "_chunk", "_turn", "_copy").select(*inner.columns).toDF(*docs.columns)

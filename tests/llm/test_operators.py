@@ -806,3 +806,23 @@ def test_stages_by_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, docs.limit(0), str(tmp_path))
         assert nothing.count() == 0 and (name == "packing" or nothing.columns == docs.columns)
+
+
+def test_mix_is_the_same_for_all_partitions(spark):
+    """Targets that add up to half a word: the budget doesn't follow the order of a distributed sum."""
+    docs = spark.createDataFrame([(k, f"s{k % 7}", "w " * (k * 37 % 97)) for k in range(301)], "doc_id long, source string, text string")
+    found = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 7, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.add(tuple(sorted(map(tuple, mixing.taken_words(docs.repartition(n), [3, 1, 2]).select("doc_id", "taken").collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 1
+
+
+def test_mixing_repeated_rows_keeps_their_number(spark):
+    docs = spark.createDataFrame([(1, "a", "x y z")] * 3000 + [(2, "b", "q " * 3000)], "doc_id long, source string, text string")
+    got = mixing.mixed_documents(docs, [1, 1], share=2.0)
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {1: 6000, 2: 2}
