@@ -83,7 +83,8 @@ def of_section3(pages: DataFrame, raw_tables: DataFrame, votes: DataFrame | None
 
 def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtractor = sections.tasks, label_of=None, assemble: Assembler = stage3, whole_document: bool = False, votes: DataFrame | None = None, progress: Callable[[str], None] | None = None) -> DataFrame:
     """All stages. Tables count on the pages of section 3 only, unless whole_document is set. votes: see section3_pages().
-    progress gets the name of each stage as its plan is made; what it raises doesn't stop the run."""
+    progress gets the name of each stage as its plan is made, before Spark does any work on it (progress.run_reported() tells
+    of work that is done); what it raises doesn't stop the run."""
 
     def began(stage: str) -> None:
         if progress:

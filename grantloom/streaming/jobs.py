@@ -14,9 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: What an operation makes of a job, and the days a state lives without one (in seconds).
 STATUS = {"create": "queued", "report": "running", "complete": "completed", "fail": "failed"}
 TTL_SECONDS = 86_400
-#: Percent when a stage begins, and when all is done; within the tasks it rises to TASKS_DONE.
-PERCENT = {"tables": 10, "tasks": 40, "assembly": 90, "done": 100}
-TASKS_DONE = 85
 FRAME = {"complete": "completed", "fail": "failed"}
 STATE = "status string, percent int, events long"
 OUTPUT = "job_id long, status string, percent int, events long"

@@ -1,14 +1,16 @@
 """Streams against their batch forms, expiry of state, restarts, and a worker that is killed between ledger and result."""
 
 import datetime
+import threading
 import time
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from grantloom.plans import job_queries
-from grantloom.streaming import jobs, keyed
+from grantloom.operators import sections
+from grantloom.plans import fixtures, job_queries, pipeline, progress
+from grantloom.streaming import keyed, worker
 
 LOG = "job_id long, ts timestamp, seq long, op string, percent int"
 AT = datetime.datetime(2025, 1, 1)
@@ -106,3 +108,122 @@ def test_feed_loses_and_doubles_nothing(spark, tmp_path):
         "b": [(0, '{"percent":40}'), (1, end)],
         "c": [(0, '{"percent":100}'), (1, end)],
     }
+
+
+# ---------------------------------------------------------------- worker
+
+
+def started(spark, folder, worker_):
+    queue = spark.readStream.schema("job_id long, n long").option("maxFilesPerTrigger", 1).parquet(str(folder / "queue"))
+    return worker.work_off(queue, worker_, str(folder / "checkpoint")).trigger(availableNow=True).start()
+
+
+def outcomes(spark, folder):
+    return {r["job_id"]: (r["status"], r["error"]) for r in spark.read.parquet(str(folder / "out" / "outcomes")).collect()}
+
+
+def queue_of(spark, folder, ids):
+    spark.createDataFrame([(k, k) for k in ids], "job_id long, n long").coalesce(1).write.mode("append").parquet(str(folder / "queue"))
+
+
+def test_worker_tries_each_job_once(spark, tmp_path):
+    tries, ended = [], []
+
+    def work(rows):
+        job = rows.first()["job_id"]
+        tries.append(job)
+        if job == 2:
+            raise ValueError("no section 3")
+        if job == 3:
+            raise RuntimeError("a secret")
+        return rows.withColumn("result", F.col("n") * 2)
+
+    for ids in ([1, 2, 2, 3], [1, 3, 4]):
+        queue_of(spark, tmp_path, ids)
+        assert started(spark, tmp_path, worker.Worker(work, str(tmp_path / "out"), after=lambda job: ended.append(job) or 1 / 0)).awaitTermination(120)
+    assert sorted(tries) == sorted(ended) == [1, 2, 3, 4]
+    assert outcomes(spark, tmp_path) == {1: ("completed", None), 2: ("failed", "no section 3"), 3: ("failed", worker.INTERNAL), 4: ("completed", None)}
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "results")).select("job_id", "result").collect())) == [(1, 2), (4, 8)]
+
+
+class Killed(Exception):
+    """Ends a trigger as a lost driver would: nothing after it runs."""
+
+
+def test_worker_killed_between_ledger_and_result(spark, tmp_path, monkeypatch):
+    tries = []
+
+    def work(rows):
+        tries.append(rows.first()["job_id"])
+        return rows
+
+    def dies(self, queued, job, trigger):
+        if job == 6:
+            raise Killed
+        return tried(self, queued, job, trigger)
+
+    tried = worker.Worker._tried
+    queue_of(spark, tmp_path, [5, 6])
+    monkeypatch.setattr(worker.Worker, "_tried", dies)
+    query = started(spark, tmp_path, worker.Worker(work, str(tmp_path / "out"), at_a_time=1))
+    with pytest.raises(Exception):  # noqa: B017
+        query.awaitTermination(120)
+    assert not (tmp_path / "out" / "outcomes").exists()
+    monkeypatch.setattr(worker.Worker, "_tried", tried)
+    queue_of(spark, tmp_path, [6, 7])
+    assert started(spark, tmp_path, worker.Worker(work, str(tmp_path / "out"), at_a_time=1)).awaitTermination(120)
+    found, finished = outcomes(spark, tmp_path), (tmp_path / "out" / "results" / "job_id=5" / "_SUCCESS").exists()
+    assert found[6] == ("failed", worker.ONE_TRY) and found[7] == ("completed", None)
+    assert found[5] == (("completed", None) if finished else ("failed", worker.ONE_TRY)) and sorted(set(tries)) == sorted(tries) and 6 not in tries
+
+
+def test_worker_runs_two_at_a_time_within_a_limit(spark, tmp_path):
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def work(rows):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            if rows.first()["job_id"] == 1:
+                slow = F.udf(lambda n: time.sleep(60) or n, "long")
+                rows = rows.withColumn("n", slow("n"))
+                rows.count(), rows.agg(F.max("n")).collect()
+            time.sleep(0.5)
+            return rows
+        finally:
+            with lock:
+                now[0] -= 1
+
+    queue_of(spark, tmp_path, [1, 2, 3, 4, 5])
+    began = time.monotonic()
+    assert started(spark, tmp_path, worker.Worker(work, str(tmp_path / "out"), limit_seconds=6)).awaitTermination(120)
+    assert time.monotonic() - began < 55 and most[0] == 2
+    assert outcomes(spark, tmp_path) == {1: ("failed", "The job took more than 6 seconds")} | {k: ("completed", None) for k in range(2, 6)}
+
+
+# ---------------------------------------------------------------- progress
+
+
+def test_progress_rises_while_tasks_run(spark, tmp_path):
+    def extract(found):
+        slow = F.udf(lambda x: time.sleep(0.25) or x, "string")
+        many = spark.range(0, 24, 1, 12).select(slow(F.col("id").cast("string")).alias("id"))
+        none = sections.tasks(found)
+        return none.unionByName(many.filter("id = 'x'").select(*[F.lit(None).cast(none.schema[c].dataType).alias(c) if c != "id" else F.col("id") for c in none.columns]))
+
+    pages = spark.createDataFrame([("p", 0, "nothing")], "proposal string, page_idx int, text string")
+    raw = spark.createDataFrame([("p", 0, 0, fixtures.WP_ONE)], "proposal string, page_idx int, table_idx int, rows array<array<string>>")
+    told = []
+
+    def report(stage, percent):
+        told.append((stage, percent))
+        raise RuntimeError
+
+    result = progress.run_reported(pages, raw, "CD", str(tmp_path / "run"), report, extract=extract, whole_document=True, every=0.05)
+    percents = [p for _, p in told]
+    assert [s for k, (s, _) in enumerate(told) if not k or told[k - 1][0] != s] == ["tables", "tasks", "assembly", "done"]
+    assert percents == sorted(percents) and percents[0] == 10 and percents[-2:] == [90, 100]
+    within = [p for s, p in told if s == "tasks"]
+    assert within[0] == 40 and within[-1] == 85 and any(40 < p < 85 for p in within)
+    assert sorted(map(str, result.collect())) == sorted(map(str, pipeline.run(pages, raw, "CD", whole_document=True).collect()))
