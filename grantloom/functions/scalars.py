@@ -148,14 +148,19 @@ def without_code_fence(text: Column) -> Column:
 
 #: The keys that a task must have, present though perhaps empty.
 TASK_KEYS = ("id", "wp_id", "title", "start_month", "end_month", "partners", "description")
-_TASK = "struct<id:string,wp_id:string,title:string,start_month:string,end_month:string,partners:array<string>,description:string>"
 
 
 def parsed_tasks(answer: Column) -> Column:
-    """The valid tasks of a JSON array (fenced or not): every key is there and partners is a list; else an empty array."""
-    raw = F.from_json(without_code_fence(answer), "array<string>")
-    whole = F.filter(F.coalesce(raw, F.array().cast("array<string>")), lambda x: F.size(F.array_intersect(F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")), F.array(*map(F.lit, TASK_KEYS)))) == len(TASK_KEYS))
-    return F.transform(F.filter(whole, lambda x: F.coalesce(F.get_json_object(x, "$.partners").startswith("["), F.lit(False))), lambda x: F.from_json(x, _TASK))
+    """The valid tasks of a JSON array (fenced or not): every key is there, perhaps with null, and partners is a list; else
+    an empty array. JSON with a key twice in an object is as good as none.
+
+    The answer is parsed once, as a variant; what is asked of its elements is read from that."""
+    elements = F.try_variant_get(F.try_parse_json(without_code_fence(answer)), "$", "array<variant>")
+    objects = F.transform(F.coalesce(elements, F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
+    keys = F.array(*map(F.lit, TASK_KEYS))
+    whole = F.filter(objects, lambda x: (F.size(F.array_intersect(F.map_keys(x), keys)) == len(TASK_KEYS)) & F.coalesce(F.schema_of_variant(x["partners"]).startswith("ARRAY"), F.lit(False)))
+    kind = lambda k: "array<string>" if k == "partners" else "string"
+    return F.transform(whole, lambda x: F.struct(*[F.try_variant_get(x[k], "$", kind(k)).alias(k) for k in TASK_KEYS]))
 
 
 def quality_score(title: Column, start: Column, end: Column, partners: Column, description: Column) -> Column:

@@ -39,20 +39,29 @@ def exploded_deliverables(raw: DataFrame) -> DataFrame:
     return raw.filter(F.coalesce("wp", F.lit("")) != "").select("*", F.posexplode("ids").alias("id_ord", "id")).drop("ids")
 
 
+def _nearest(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """The first rows of each key with their rank; Spark drops the others before it shuffles, so a hot key is no task's burden."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= most)
+
+
 def attach_deliverables(deliverables: DataFrame, tasks: DataFrame, most: int = 3) -> DataFrame:
     """Each deliverable with the tasks in whose months it falls due, the ones that end closest first, most at most.
 
     An interval join within a work package: tasks and deliverables need proposal, wp_id, n (their order), start_month,
-    end_month and due_months. Deliverables of equal value are attached to a task once."""
+    end_month and due_months. Deliverables of equal value are attached to a task once.
+
+    Of the tasks that begin and end in the same months only the first few can be among a deliverable's nearest, as all of them
+    are equally far from whatever is due. So a deliverable meets the spans of months of its work package and not its tasks:
+    their number has a bound that the calendar sets, however many tasks there are."""
     due = F.filter(F.transform("due_months", month_number), lambda m: m > 0)
     left = deliverables.select(*KEY, F.col("n").alias("d_n"), F.struct(*[c for c in deliverables.columns if c not in (*KEY, "n")]).alias("deliverable"), due.alias("due"))
     right = tasks.select(*KEY, F.col("n").alias("t_n"), F.col("id").alias("task_id"), month_number(F.col("start_month")).alias("a"), month_number(F.col("end_month")).alias("b")).filter((F.col("a") > 0) & (F.col("b") > 0))
-    met = left.join(right, KEY).filter(F.exists("due", lambda m: (m >= F.col("a")) & (m <= F.col("b"))))
+    spans = _nearest(right, [*KEY, "a", "b"], ["t_n"], most).drop("rank")
+    met = left.join(spans, KEY).filter(F.exists("due", lambda m: (m >= F.col("a")) & (m <= F.col("b"))))
     met = met.withColumn("distance", F.array_min(F.transform("due", lambda m: F.abs(F.col("b") - m))))
-    ranked = met.withColumn("rank", F.row_number().over(W.partitionBy(*KEY, "d_n", "deliverable").orderBy("distance", "t_n")))
-    near = ranked.filter(F.col("rank") <= most)
-    first = F.row_number().over(W.partitionBy(*KEY, "t_n", "task_id", "deliverable").orderBy("d_n"))
-    return near.withColumn("copy", first).filter(F.col("copy") == 1).select(*KEY, "d_n", "deliverable", "t_n", "task_id", "distance", "rank")
+    near = _nearest(met, [*KEY, "d_n", "deliverable"], ["distance", "t_n"], most)
+    first = near.groupBy(*KEY, "t_n", "task_id", "deliverable").agg(F.min_by(F.struct("d_n", "distance", "rank"), "d_n").alias("row"))
+    return first.select(*KEY, "row.d_n", "deliverable", "t_n", "task_id", "row.distance", "row.rank")
 
 
 def work_packages(info: DataFrame, effort: DataFrame, tasks: DataFrame, deliverables: DataFrame, company: str) -> DataFrame:

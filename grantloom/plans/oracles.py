@@ -88,6 +88,10 @@ ORACLES: dict[str, str] = {
     "label_anti": """
         WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 's' END || l_suppkey AS name, l_suppkey AS key, l_orderkey AS o, l_linenumber AS n FROM lineitem)
         SELECT arg_min(name, (o, n)) AS name, 'partner' AS description, 'ffffff' AS color FROM l WHERE key NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY key""",
+    "answer_tasks": """
+        SELECT o_custkey AS proposal, 'T' || o_orderkey AS id, 'WP' || o_custkey AS wp_id, o_orderpriority AS title, 'M' || lpad('' || (o_orderkey % 12 + 1), 2, '0') AS start_month,
+               CASE o_orderkey % 6 WHEN 2 THEN NULL WHEN 4 THEN '12' ELSE 'M14' END AS end_month, CASE WHEN o_orderkey % 6 = 3 THEN 'S1+S2' ELSE '' END AS partners, 'a "b"' AS description
+        FROM orders WHERE o_custkey % 5 NOT IN (1, 2) AND o_orderkey % 6 NOT IN (0, 1, 5)""",
     "clean_documents": r"""
         WITH t AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\s\x0B]+', ' ', 'g')) AS t FROM documents)
         SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, CAST(len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS BIGINT) AS words FROM t""",

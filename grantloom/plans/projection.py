@@ -32,9 +32,13 @@ def work_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("wp_id", F.concat(F.lit("WP"), F.col("k").cast("string")))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work packages by line item: n (ordinal in the order), months m1 and m2 from the proposal's start."""
-    item = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long"))
+def lines(spark: SparkSession, sf_dir: str, company: int | None = None) -> DataFrame:
+    """Work packages by line item: n (ordinal in the order), months m1 and m2 from the proposal's start. company: those of
+    orders with a line item of this supplier, whose line items are all kept."""
+    item = read(spark, sf_dir, "lineitem")
+    if company is not None:
+        item = item.join(item.filter(F.col("l_suppkey") == company).select("l_orderkey").distinct(), "l_orderkey", "left_semi")
+    item = item.withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long"))
     both = item.join(work_packages(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     ship = F.col("l_shipdate").cast("date")
     m1 = F.greatest((F.year(ship) - F.year("start")) * 12 + F.month(ship) - F.month("start") + 1, F.lit(1))

@@ -157,8 +157,29 @@ def deliv_range_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("proposal", "wp_id", F.col("deliverable.id").alias("deliverable_id"), "task_id", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model might answer for each customer: a task for each order, some of them without a key, with partners that are
+    no list, or no objects; whole answers in a fence, cut off, or with an object around the list."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    text = F.format_string(
+        '{"id":"T%d","wp_id":"WP%d","title":"%s","start_month":"M%02d","end_month":%s,"partners":%s%s}', key, F.col("o_custkey"), F.col("o_orderpriority"), key % 12 + 1,
+        F.when(kind == 2, "null").when(kind == 4, "12").otherwise('"M14"'), F.when(kind == 0, '"S1"').when(kind == 3, '["S1","S2"]').otherwise("[]"), F.when(kind == 1, "").otherwise(', "description":"a \\"b\\""'),
+    )
+    orders = P.read(spark, sf_dir, "orders").select("o_custkey", F.struct(key, F.when(kind == 5, "7").otherwise(text).alias("t")).alias("o"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["t"]), ","), F.lit("]"))
+    form = F.col("o_custkey") % 5
+    lists = orders.groupBy("o_custkey").agg(listed.alias("a"))
+    answer = F.when(form == 0, F.concat(F.lit("```json\n"), "a", F.lit("\n```"))).when(form == 1, F.substring("a", F.lit(1), F.length("a") - 1)).when(form == 2, F.concat(F.lit('{"tasks":'), "a", F.lit("}"))).otherwise(F.col("a"))
+    return lists.select(F.col("o_custkey").alias("proposal"), answer.alias("answer"))
+
+
+def answer_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _answers(spark, sf_dir).select("proposal", F.explode(S.parsed_tasks(F.col("answer"))).alias("t"))
+    return each.select("proposal", "t.id", "t.wp_id", "t.title", "t.start_month", "t.end_month", F.array_join("t.partners", "+").alias("partners"), "t.description")
+
+
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = P.lines(spark, sf_dir).persist()  # read by all four; Spark keeps it on disk where memory is short
+    line = P.lines(spark, sf_dir, int(COMPANY[1:]))  # the company's orders before anything is sorted or numbered
     return assembly.work_packages(P.wp_info(spark, sf_dir, line), P.effort(spark, sf_dir, line), P.tasks(spark, sf_dir, line), P.deliverables(spark, sf_dir, line), COMPANY)
 
 

@@ -323,3 +323,42 @@ def test_rotated_tables(spark):
     found = spark.createDataFrame(rows, "k int, rows array<array<string>>").select("k", S.is_rotated_table(F.col("rows")).alias("r"))
     assert {r["k"]: r["r"] for r in found.collect()} == {1: True, 2: False, 3: False}
     assert len(spark.range(1).select(S.now_iso().alias("t")).first()["t"]) == 20
+
+
+def _attached(deliverables, tasks, most=3):
+    """All pairs within a work package, ranked; of deliverables of equal value the first counts for a task."""
+    number = lambda m: int(m[1:]) if m[1:].isdigit() else 0
+    best = {}
+    for p, w, n, i, months in deliverables:
+        due = [m for m in map(number, months) if m > 0]
+        met = [(min(abs(number(b) - m) for m in due), t, k) for q, v, t, k, a, b in tasks if (q, v) == (p, w) and min(number(a), number(b)) > 0 and any(number(a) <= m <= number(b) for m in due)]
+        for rank, (distance, t, k) in enumerate(sorted(met)[:most], 1):
+            key = (p, w, t, k, i, tuple(months))
+            best[key] = min(best.get(key, (n, distance, rank)), (n, distance, rank))
+    return sorted((p, w, d, i, t, k, distance, rank) for (p, w, t, k, i, _), (d, distance, rank) in best.items())
+
+
+def test_attach_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    month = lambda: rng.choice(["", "M00", *[f"M{k:02d}" for k in range(1, 15)]])
+    tasks = [(rng.choice("pq"), f"WP{rng.randint(1, 2)}", k, f"T{k}", *sorted((month(), month()))) for k in range(120)]
+    deliverables = [(rng.choice("pq"), f"WP{rng.randint(1, 3)}", k, f"D{rng.randint(1, 9)}", [month() for _ in range(rng.randint(0, 3))]) for k in range(80)]
+    got = assembly.attach_deliverables(
+        spark.createDataFrame(deliverables, "proposal string, wp_id string, n int, id string, due_months array<string>"),
+        spark.createDataFrame(tasks, "proposal string, wp_id string, n int, id string, start_month string, end_month string"),
+    )
+    got = [(r["proposal"], r["wp_id"], r["d_n"], r["deliverable"]["id"], r["t_n"], r["task_id"], r["distance"], r["rank"]) for r in got.collect()]
+    assert sorted(got) == _attached(deliverables, tasks)
+
+
+def test_attach_in_one_work_package_of_many(spark):
+    """1e5 tasks and as many deliverables of one work package: 1e10 pairs, none of which is made."""
+    n = 100_000
+    token = lambda c: F.format_string("M%02d", c.cast("int"))
+    base = spark.range(0, n, 1, 8).select(F.lit("p").alias("proposal"), F.lit("WP1").alias("wp_id"), F.col("id").alias("n"), "id")
+    tasks = base.select("proposal", "wp_id", "n", F.col("id").cast("string").alias("id"), token(F.col("id") % 30 + 1).alias("start_month"), token(F.col("id") % 30 + 1 + F.col("id") % 7).alias("end_month"))
+    deliverables = base.select("proposal", "wp_id", "n", F.col("id").cast("string").alias("id"), F.array(token(F.col("id") % 36 + 1)).alias("due_months"))
+    got = assembly.attach_deliverables(deliverables, tasks).agg(F.count("*").alias("n"), F.countDistinct("d_n").alias("d"), F.max("rank").alias("r"), F.min("distance").alias("least")).first()
+    assert (got["n"], got["d"], got["r"], got["least"]) == (3 * n, n, 3, 0) or got["d"] >= n - 2 * n // 36 and got["n"] <= 3 * n
