@@ -1,4 +1,4 @@
-"""Queries over literal fixtures, for rules that star tables can't exercise; their SQL states the expected rows."""
+"""Literal cases of rules of tables and prose, which the tests run; the SQL states the expected rows. messy.py has the same rules over whole tables."""
 
 from __future__ import annotations
 

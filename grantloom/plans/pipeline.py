@@ -45,13 +45,17 @@ def parameters(company: str | None = None, start_date: str | None = None) -> tup
     return name, day
 
 
-def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = False, whole_pages: bool = False) -> Stage1:
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = False, whole_pages: bool = False, keep: Callable[[DataFrame], DataFrame] = _as_it_is) -> Stage1:
     """Typed tables. label_of: see tables.with_fallback_label(); without it tables that no rule knows are left out. Tables
     that are too small for any label are left out before. whole_pages: rows of deliverables are looked for in all tables of
-    a page that has a list of them, whatever their labels."""
+    a page that has a list of them, whatever their labels. keep: what to do with tables that have their label, of which all that follows is made (files.saved)."""
     every, raw_tables = raw_tables, tables.worth_classifying(raw_tables)
     labelled = tables.classified(raw_tables).withColumn("label_source", F.lit("rules")) if label_of is None else tables.with_fallback_label(raw_tables, label_of)
-    kept = tables.picked(labelled.filter(F.col("label").isNotNull()))
+    kept = keep(tables.picked(labelled.filter(F.col("label").isNotNull())))
     of = lambda label: kept.filter(F.col("label") == label)
     info = tables.work_package_list(tables.joined_fragments(of("wp_list")), strict)
     effort = tables.effort_matrix(of("effort"), company, info.select("proposal", "wp_id"))
@@ -81,8 +85,9 @@ def of_section3(pages: DataFrame, raw_tables: DataFrame, votes: DataFrame | None
     return raw_tables.join(kept, ["proposal", "page_idx"], "left_semi"), lost
 
 
-def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtractor = sections.tasks, label_of=None, assemble: Assembler = stage3, whole_document: bool = False, votes: DataFrame | None = None, progress: Callable[[str], None] | None = None) -> DataFrame:
-    """All stages. Tables count on the pages of section 3 only, unless whole_document is set. votes: see section3_pages().
+def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtractor = sections.tasks, label_of=None, assemble: Assembler = stage3, whole_document: bool = False, votes: DataFrame | None = None, progress: Callable[[str], None] | None = None, keep: Callable[[DataFrame], DataFrame] = _as_it_is) -> DataFrame:
+    """All stages. Tables count on the pages of section 3 only, unless whole_document is set. votes: see section3_pages(). keep: is
+    applied to each result that later ones are made of (files.saved writes it; otherwise they are made anew for each).
     progress gets the name of each stage as its plan is made, before Spark does any work on it (progress.run_reported() tells
     of work that is done); what it raises doesn't stop the run."""
 
@@ -93,9 +98,11 @@ def run(pages: DataFrame, raw_tables: DataFrame, company: str, extract: TaskExtr
 
     began("tables")
     counted = raw_tables if whole_document else of_section3(pages, raw_tables, votes)[0]
-    first = stage1(counted, company, label_of)
+    first = stage1(counted, company, label_of, keep=keep)
+    if keep is not _as_it_is:
+        first = Stage1(keep(first.wp_info), keep(first.effort), keep(first.deliverables), first.warnings)
     began("tasks")
-    found = stage2(pages, extract)
+    found = keep(stage2(pages, extract))
     began("assembly")
     result = assemble(first, found, company)
     began("done")

@@ -84,7 +84,7 @@ def run_reported(pages: DataFrame, raw_tables: DataFrame, company: str, folder:
 
     with progress.running("tables"):
         counted = raw_tables if whole_document else pipeline.of_section3(pages, raw_tables, votes)[0]
-        made = pipeline.stage1(counted, company, label_of)
+        made = pipeline.stage1(counted, company, label_of, keep=lambda df: written(df, "labelled"))
         first = pipeline.Stage1(*(written(getattr(made, x), x) for x in ("wp_info", "effort", "deliverables", "warnings")))
     with progress.running("tasks", TASKS_DONE):
         tasks = written(pipeline.stage2(pages, extract), "tasks")

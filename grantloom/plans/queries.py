@@ -243,14 +243,14 @@ def issue_push_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from grantloom.plans import fixtures, job_queries, proposals
+    from grantloom.plans import job_queries, messy, proposals
 
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_" and n not in ("queries", "oracle_sql")}
-    return own | job_queries.queries() | proposals.queries() | fixtures.queries()
+    return own | job_queries.queries() | proposals.queries() | messy.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from grantloom.plans import fixtures, job_queries, proposals
+    from grantloom.plans import job_queries, messy, proposals
     from grantloom.plans.oracles import ORACLES
 
-    return ORACLES | job_queries.ORACLES | proposals.ORACLES | fixtures.oracle_sql()
+    return ORACLES | job_queries.ORACLES | proposals.ORACLES | messy.ORACLES

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +34,31 @@ def committed(spark: SparkSession, path: str) -> bool:
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of files; empty if there is none."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+_roots: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder below the one that the cluster names in spark.checkpoint.dir; a temporary one only where that
+    is unset and all tasks run on this machine. It goes when the driver ends."""
+    application, base = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if application not in _roots:
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _roots[application] = f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stages-{uuid.uuid4().hex[:12]}"
+
+        def clear() -> None:
+            with suppress(Exception):  # the session may be gone by then
+                where, system = _path(spark, root)
+                system.delete(where, True)
+
+        atexit.register(clear)
+    return _roots[application]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written once as a table of files and read again: what several results are made of isn't made for each."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
