@@ -1,7 +1,7 @@
 """The stages of the plan run one after the other, with their progress while Spark works on them.
 
 Each stage's result is written to a folder and read again, so that what is reported has been done. Within the tasks' stage the
-percent follows Spark's own count of tasks that have ended, which a thread on the driver asks for. What the report
+percent follows Spark's own count of tasks that have ended, stage by stage, which a thread on the driver asks for. What the report
 raises stops nothing, and percents never fall.
 """
 
@@ -67,11 +67,15 @@ class Progress:
         self.told(stage, until)
 
     def share(self, group: str) -> float:
-        """The share of the tasks that Spark knows of in a group's jobs which have ended."""
-        status = self.context.statusTracker()
+        """How far a group's jobs are. Spark plans stages as it goes, so how many will come isn't known: each stage takes the
+        part of its tasks that have ended from one half of what the ones before it have left."""
+        status, left = self.context.statusTracker(), 1.0
         jobs = [x for x in map(status.getJobInfo, status.getJobIdsForGroup(group)) if x]
-        stages = [x for x in (status.getStageInfo(k) for job in jobs for k in job.stageIds) if x]
-        return sum(x.numCompletedTasks for x in stages) / max(1, sum(x.numTasks for x in stages))
+        for k in sorted({k for job in jobs for k in job.stageIds}):
+            stage = status.getStageInfo(k)
+            if stage and stage.numTasks:
+                left *= 1 - 0.5 * stage.numCompletedTasks / stage.numTasks
+        return 1 - left
 
 
 def run_reported(pages: DataFrame, raw_tables: DataFrame, company: str, folder: str, report: Callable[[str, int], None], extract: pipeline.TaskExtractor = sections.tasks, label_of=None, assemble: pipeline.Assembler = pipeline.stage3, whole_document: bool = False, votes: DataFrame | None = None, every: float = EVERY) -> DataFrame:
