@@ -3,8 +3,10 @@
 The reader checks every record: the member's gzip checksum, the version line, the headers, the length, the end of the
 record, and the digests that it names (nothing covers the values of headers outside gzip). After a failed check it searches for the next gzip member or version line, byte by
 byte, until a record there passes all checks; the bytes between are reported as a gap with the first failed check. Damage
-therefore costs the records that it touches and no others. A file is read as a stream; memory is bounded by the largest
-record, whatever the size of the file or of a member.
+therefore costs the records that it touches and no others. Memory is bounded by the largest record that passes, whatever
+the size of the file or of a member: a length is tried at the place where it ends, and digests are taken in steps, before a
+block is brought into memory. So damaged lengths take time in proportion to the file; only lengths that do lead to another
+record's end are hashed that far. The search can go back to any place, as files can be read from there again.
 
 A member's content is searched in the same way as it inflates, so one bad record, or damage behind some records, costs
 no others of the member; what is lost of it is one gap over the member. Where the gzip checks fail, only records whose
@@ -22,9 +24,12 @@ Extra columns are not looked at.
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections.abc import Iterator
+from contextlib import closing
 from hashlib import sha256
+from shutil import copyfileobj
 from tempfile import SpooledTemporaryFile
 
 import pyarrow as pa
@@ -37,10 +42,12 @@ from grantloom.llm.common import saved, scratch
 
 #: No row can hold more, so a record that claims to be longer is damaged.
 MAX_RECORD = 1 << 31
-#: Bytes of a member kept behind the place that is being inflated, for the search after damage.
-BEHIND = 1 << 24
+#: Bytes of a member's content that are kept in memory; more lie on disk, without a name.
+KEPT = 1 << 24
 END = b"\r\n\r\n"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_GZIP, _VERSION, _END = (re.compile(re.escape(x)) for x in (GZIP, VERSION, END))
+_EITHER = re.compile(_GZIP.pattern + b"|" + _VERSION.pattern)
 _URN = "urn:grantloom:page:"
 
 
@@ -112,76 +119,114 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 # ---------------------------------------------------------------- reading
 
 
+class _File:
+    """A file's bytes by place."""
+
+    def __init__(self, source):
+        self.source, self.size = source, source.seek(0, 2)
+
+    def read_at(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
+
+    def forget(self, before: int) -> None:
+        pass
+
+
 class _Stream:
-    """A file's bytes from some place on, as far as they have been asked for."""
+    """A window over bytes by place: a read or search near the last one finds them in memory."""
 
     def __init__(self, source, step: int = 1 << 20):
-        self.source, self.step, self.held, self.base, self.over = source, step, bytearray(), 0, False
+        self.source, self.step, self.held, self.base, self.last = source, step, b"", 0, False
 
-    def more(self) -> bool:
-        got = b"" if self.over else self.source.read(self.step)
-        self.over = not got
-        self.held += got
-        return bool(got)
+    def _load(self, at: int, n: int) -> None:
+        n = max(n, self.step)
+        self.held, self.base = self.source.read_at(at, n), at
+        self.last = len(self.held) < n  # nothing follows
 
-    def upto(self, end: int) -> None:
-        while self.base + len(self.held) < end and self.more():
-            pass
+    def _holds(self, at: int, n: int) -> bool:
+        return self.base <= at and (self.last or at + n <= self.base + len(self.held))
 
     def bytes(self, at: int, n: int) -> bytes:
-        self.upto(at + n)
-        return bytes(self.held[at - self.base : at - self.base + n])
-
-    def forget(self, before: int) -> None:
-        if before - self.base > self.step:
-            del self.held[: before - self.base]
-            self.base = before
-
-    def find(self, at: int, plain_from: int = 0, marks: tuple[bytes, ...] = (GZIP, VERSION)) -> int | None:
-        """The next place, from at on, where a member or, from plain_from on, a version line may begin."""
-        at = max(at, self.base)
+        if not self._holds(at, n):
+            self._load(at, n)
+        return self.held[at - self.base : at - self.base + n]
+
+    def peek(self, at: int, n: int) -> bytes:
+        """A few bytes of any place, without moving the window there."""
+        return self.bytes(at, n) if self._holds(at, n) else self.source.read_at(at, n)
+
+    def digest(self, begin: int, end: int) -> str:
+        hashed = sha256()
+        for at in range(begin, end, self.step):
+            hashed.update(self.bytes(at, min(self.step, end - at)))
+        return hashed.hexdigest()
+
+    def find(self, at: int, mark: re.Pattern[bytes]) -> int | None:
+        """The next place, from at on, where a mark of up to seven bytes begins."""
+        if not self._holds(at, 7):
+            self._load(at, 7)
         while True:
-            starts = [max(at, plain_from) if mark == VERSION else at for mark in marks]
-            places = [k for k in (self.held.find(mark, start - self.base) for mark, start in zip(marks, starts, strict=True)) if k >= 0]
-            if places:
-                return self.base + min(places)
-            at = max(at, self.base + len(self.held) - 6)
-            self.forget(at)
-            if not self.more():
+            found = mark.search(self.held, at - self.base)
+            if found:
+                return self.base + found.start()
+            known = self.base + len(self.held)
+            at = max(at, known - 6)
+            self._load(at, 7)
+            if self.base + len(self.held) <= known:
                 return None
 
 
-def parsed(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of some bytes, checked. EOFError: how many bytes it needs at least."""
-    if not raw.startswith(VERSION):
-        raise Damaged("no version line")
-    cut = raw.find(END)
-    if cut < 0:
-        if not all(b":" in line for line in raw.split(b"\r\n")[1:-1]):
+def _headers(stream: _Stream, at: int) -> tuple[dict[str, str], int]:
+    """The headers of the record at a place, and where its block begins. No more is read than up to the first bad line."""
+    want = 1 << 12
+    while True:
+        raw = stream.bytes(at, want)
+        cut = raw.find(END)
+        lines = (raw[:cut] if cut >= 0 else raw.rpartition(b"\r\n")[0]).split(b"\r\n")
+        if not raw.startswith(VERSION):
+            raise Damaged("no version line")
+        if not all(b":" in line for line in lines[1:]):
             raise Damaged("a header without colon")
-        raise EOFError(4 * len(raw))
+        if cut >= 0:
+            break
+        if len(raw) < want or want > MAX_RECORD:
+            raise Damaged("the file ends within a record")
+        want *= 4
     head: dict[str, str] = {}
-    for line in raw[:cut].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("a header without colon")
+    for line in lines[1:]:
+        name, _, value = line.partition(b":")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    return head, at + cut + len(END)
+
+
+def _record(stream: _Stream, at: int) -> tuple[dict[str, str], bytes, int]:
+    """The record at a place, checked, and its length. A length is tried at the place where it ends before anything of the
+    block is read, digests are taken in steps, and only a block that passes is brought into memory."""
+    head, begin = _headers(stream, at)
     size = head.get("content-length", "")
-    if not size.isdigit() or "warc-type" not in head:
+    if not (size.isascii() and size.isdigit()) or "warc-type" not in head:
         raise Damaged("no length or type")
-    begin = cut + len(END)
-    end = begin + int(size)
-    if end > MAX_RECORD:
+    if len(size.lstrip("0")) > 10 or begin - at + int(size) > MAX_RECORD:
         raise Damaged("the record is longer than any row")
-    if len(raw) < end + len(END):
-        raise EOFError(end + len(END))
-    if raw[end : end + len(END)] != END:
-        raise Damaged("the record doesn't end where its length says")
-    block = raw[begin:end]
-    for name, data in (("warc-block-digest", block), ("warc-payload-digest", payload_of(head, block))):
-        if head.get(name, "").startswith("sha256:") and data is not None and sha256(data).hexdigest() != head[name][7:].lower():
+    end = begin + int(size)
+    mark = stream.peek(end, len(END))
+    if mark != END:
+        raise Damaged("the file ends within a record" if len(mark) < len(END) else "the record doesn't end where its length says")
+    for name, start in (("warc-block-digest", begin), ("warc-payload-digest", _payload_at(stream, head, begin, end))):
+        if head.get(name, "").startswith("sha256:") and start is not None and stream.digest(start, end) != head[name][7:].lower():
             raise Damaged(f"{name} differs")
-    return head, block, end + len(END)
+    return head, stream.bytes(begin, end - begin), end + len(END) - at
+
+
+def _payload_at(stream: _Stream, head: dict[str, str], begin: int, end: int) -> int | None:
+    """Where the payload of a block begins, as payload_of() has it."""
+    if head["warc-type"] == "revisit":
+        return None
+    if "application/http" not in head.get("content-type", ""):
+        return begin
+    cut = stream.find(begin, _END)
+    return end if cut is None or cut + len(END) > end else cut + len(END)
 
 
 def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
@@ -195,23 +240,44 @@ def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
 
 
 class _Member:
-    """A gzip member's content as a source of bytes. error: the gzip check that failed, if one did, once all has been read."""
+    """A gzip member's content by place, as it inflates; what lies before forget() is let go, and what exceeds KEPT lies on
+    disk. error: the gzip check that failed, if one did, once all has been read."""
 
     def __init__(self, stream: _Stream, at: int):
         self.stream, self.at, self.inflate, self.error = stream, at, zlib.decompressobj(31), ""
+        self.kept, self.first, self.size = SpooledTemporaryFile(KEPT), 0, 0
 
     def place(self) -> int:
         """How far the file has been read for this."""
         left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
         return self.at - len(left)
 
+    def read_at(self, at: int, n: int) -> bytes:
+        self.kept.seek(0, 2)
+        while self.size < at + n:
+            content = self.read(1 << 20)
+            if not content:
+                break
+            self.kept.write(content)
+            self.size += len(content)
+        self.kept.seek(max(0, at - self.first))
+        return self.kept.read(n)
+
+    def forget(self, before: int) -> None:
+        """Lets go of what lies before a place, once that is more than what lies behind it."""
+        if before - self.first > max(KEPT, self.size - before):
+            self.kept.seek(before - self.first)
+            rest = SpooledTemporaryFile(KEPT)
+            copyfileobj(self.kept, rest, 1 << 20)
+            self.kept.close()
+            self.kept, self.first = rest, before
+
     def read(self, n: int) -> bytes:
         while not self.inflate.eof and not self.error:
             raw = self.inflate.unconsumed_tail
             if not raw:
                 raw = self.stream.bytes(self.at, 1 << 16)
                 self.at += len(raw)
-                self.stream.forget(self.at - BEHIND)
             if not raw:
                 self.error = "the file ends within a member"
                 break
@@ -238,35 +304,26 @@ class _Member:
         self.inflate = zlib.decompressobj(31)  # nothing is left over
         return bytes(content)
 
-
-def _plain(stream: _Stream, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record outside gzip at a place, checked, and its length."""
-    want = 1 << 16
-    while True:
-        raw = stream.bytes(at, want)
-        try:
-            return parsed(raw)
-        except EOFError as e:
-            if len(raw) < want or want > MAX_RECORD:
-                raise Damaged("the file ends within a record") from None
-            want = max(e.args[0], want + 1)
+    def close(self) -> None:
+        self.kept.close()
 
 
 def _within(member: _Member, lost: list[str]) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a member that can be trusted; lost: gets the reason for each stretch of its content that can't."""
     stream, at, broken = _Stream(member), 0, False
-    with SpooledTemporaryFile(BEHIND) as waiting:
+    with SpooledTemporaryFile(KEPT) as waiting, closing(member):
         while stream.bytes(at, 1):
             try:
-                head, block, size = _plain(stream, at)
+                head, block, size = _record(stream, at)
             except Damaged as e:
                 if not broken:
                     lost.append(str(e).replace("the file", "the member"))
                 broken = True
-                following = stream.find(at + 1, marks=(VERSION,))
+                following = stream.find(at + 1, _VERSION)
                 if following is None:
                     break
                 at = following
+                member.forget(at)
                 continue
             broken = False
             if head.get("warc-block-digest", "").startswith("sha256:"):
@@ -274,7 +331,7 @@ def _within(member: _Member, lost: list[str]) -> Iterator[tuple[dict[str, str],
             else:
                 pickle.dump((head, block), waiting)
             at += size
-            stream.forget(at)
+            member.forget(at)
         while not member.error and not member.inflate.eof:
             member.read(1 << 20)
         held = waiting.tell()
@@ -285,11 +342,21 @@ def _within(member: _Member, lost: list[str]) -> Iterator[tuple[dict[str, str],
             yield pickle.load(waiting)
 
 
+def _next(stream: _Stream, at: int, plain_from: int) -> int | None:
+    """The next place, from at on, where a member or, from plain_from on, a version line may begin."""
+    if at < plain_from:
+        place = stream.find(at, _GZIP)
+        if place is not None and place < plain_from:
+            return place
+        at = plain_from
+    return stream.find(at, _EITHER)
+
+
 def salvage(source) -> Iterator[tuple]:
     """("record", begin, end, head, block) for each record that passes all checks, and ("gap", begin, end, reason) for the bytes between.
 
     A member's records begin where it does and end where the file had been read to; so do its gaps."""
-    stream, at, gap, reason = _Stream(source), 0, None, ""
+    stream, at, gap, reason = _Stream(_File(source)), 0, None, ""
     while stream.bytes(at, 1):
         plain_from, failed, lost, end = 0, "", [], at
         if stream.bytes(at, 3) == GZIP:
@@ -312,7 +379,7 @@ def salvage(source) -> Iterator[tuple]:
                 plain_from = end
         else:
             try:
-                head, block, size = _plain(stream, at)
+                head, block, size = _record(stream, at)
             except Damaged as e:
                 failed = str(e)
             else:
@@ -324,15 +391,14 @@ def salvage(source) -> Iterator[tuple]:
         if failed:
             if gap is None:
                 gap, reason = at, failed
-            following = stream.find(at + 1, plain_from)
+            following = _next(stream, at + 1, plain_from)
             if following is None:
                 break
             at = following
             continue
         at = end
-        stream.forget(at)
     if gap is not None:
-        yield "gap", gap, stream.base + len(stream.held), reason
+        yield "gap", gap, stream.source.size, reason
 
 
 def _page(value: str | None) -> int | None:
@@ -361,7 +427,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.reader(path) as source:
+                with files.seekable(path) as source:
                     for kind, begin, end, *rest in salvage(source):
                         if kind == "gap":
                             rows.append((kind, path, begin, end, rest[0], *[None] * 8))

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import io
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -654,6 +656,53 @@ def test_salvage_of_long_records():
 # ---------------------------------------------------------------- toxicity
 
 
+class Counting(io.BytesIO):
+    """A file that counts the bytes read from it."""
+
+    n_read = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.n_read += len(got)
+        return got
+
+
+def false_lengths(n):
+    """Records whose lengths lead into the middle of others, then a good one."""
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: %08d\r\n\r\nsome text\r\n\r\n"
+    width = len(one % 0)
+    return b"".join(one % (width * (k + 50) + 3) for k in range(n)) + b"WARC/1.1\r\na: b\r\nno end of headers" + raw(7)
+
+
+@pytest.mark.parametrize("pressed", [False, True])
+def test_salvage_of_false_lengths_is_linear(pressed):
+    reads = []
+    for n in (5_000, 40_000):
+        data = false_lengths(n)
+        source = Counting(warc.member(data) if pressed else data)
+        found = list(warc.salvage(source))
+        assert [x[3]["warc-record-id"] for x in found if x[0] == "record"] == ["<urn:grantloom:page:7>"]
+        assert [x[1:3] for x in found if x[0] == "gap"] == ([(0, len(source.getvalue()))] if pressed else [(0, len(data) - len(raw(7)))])
+        reads.append(source.n_read / len(source.getvalue()))
+    assert max(reads) < 4  # each byte is read a few times, however many lengths are false
+
+
+def test_salvage_of_odd_lengths():
+    for size in (b"9" * 5_000, "²".encode(), b"-1", b"2147483640", b""):
+        data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + size + b"\r\n\r\nx\r\n\r\n"
+        assert found_in(data + raw(1)) == ([1], [(0, len(data), found_in(data)[1][0][2])])
+
+
+def test_salvage_goes_back_within_a_long_member():
+    """A member that fails far from its start holds a stored member near it; the search finds that one."""
+    noise = random.Random(3).randbytes(40 << 20)
+    pressed = zlib.compressobj(0, zlib.DEFLATED, 31)
+    whole = bytearray(pressed.compress(warc.member(raw(5)) + noise) + pressed.flush())
+    whole[-6] ^= 1  # the checksum
+    assert found_in(bytes(whole) + warc.member(raw(6)))[0] == [5, 6]
+
+
+
 def toxic_table(spark):
     rng = np.random.default_rng(9)
     rows, labels = [], []
