@@ -4,10 +4,10 @@ Each tree gives every vector a long string of digits: the vector is rotated at r
 coordinate, by place and sign (cross-polytope hashing), and BITS binary digits follow, the signs of the coordinates after
 that place. A tree is its strings, sorted. A query enters a tree at its own first digit and at those next to it, which are
 the places of its next largest coordinates, and descends from each to the strings that share its longest prefix. From
-there it ascends, one digit at a time and in all trees at once, until all trees together hold MIN_CANDIDATES or the first
-digits are reached. If these hold fewer than SOME, it goes on ascending by entering at twice as many first digits, and so
-on up to all of them, which is the root. A binary digit halves the candidates and the entries double, so their number has
-no jump at any size of the table. Candidates are scored exactly.
+there it ascends, one digit at a time and in all trees at once, until all trees together hold the wanted number of
+candidates (repeats over trees counted) or the first digits are reached. If these hold fewer, it goes on ascending by
+entering at twice as many first digits, and so on up to all of them, which is the root. Of n vectors FACTOR * n ** POWER are
+wanted, at every n. Candidates are scored exactly.
 
 A tree is spread over tasks by the first digit, and a digit that many vectors share is dealt over as many shares as its
 count asks for, each a sorted array of its own, so no task holds more than about SHARE vectors at once; a query visits all
@@ -16,9 +16,9 @@ the ascent is the same for all. A prefix is long enough only if one task holds m
 of a few ids never leave a query short; a query without such a task goes to the root, where all vectors are, in blocks,
 and its neighbours are exact.
 
-MIN_CANDIDATES, over all trees, bounds the work for a query: with vectors as unstructured as a normal distribution's,
-recall falls as the table grows past what it allows (the README has figures); TREES, ENTRIES and it are the parameters to
-raise. A tree holds each vector once, in the precision that it comes in.
+POWER is below 1, so a query's work grows more slowly than the table. FACTOR and POWER are set by vectors without any
+structure, whose neighbours are hardly nearer than others (the README has figures); on vectors with structure fewer do. A
+tree holds each vector once, in the precision that it comes in.
 
 Vectors that are null, zero or hold null or non-finite components take no part; rows that repeat an id are separate
 candidates, and none of them is a candidate for its own id. Vectors are scaled by a power of two before they are measured,
@@ -29,7 +29,7 @@ the smaller id. An empty table or one without queries gives no rows. Extra colum
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from pyspark.sql import Window as W
 
 from grantloom.llm.common import saved
 
-TREES, ENTRIES, BITS, SHARE = 16, 8, 24, 20_000
-MIN_CANDIDATES, SOME = 30_000, 500
+TREES, ENTRIES, BITS, SHARE = 16, 16, 24, 20_000
+FACTOR, POWER = 3.0, 0.82
 #: More than two ways to compute the same cosine differ by.
 ROUNDING = 1e-9
 
@@ -134,8 +134,10 @@ def hashed(vectors: DataFrame, trees: int, with_vector: bool) -> DataFrame:
     return vectors.select("vec_id", "dim", "vector", "salt").mapInArrow(make, "tree int, d1 long, rest long, dim int, vec_id long, salt long" + ", vector binary" * with_vector)
 
 
-def asked(queries: DataFrame, counts: dict[tuple[int, int], np.ndarray], trees: int) -> DataFrame:
-    """A row per query, tree and entry: tree, d1, rest, dim, vec_id (and vector). counts: vectors by (dim, tree) and first digit."""
+def asked(queries: DataFrame, counts: dict[tuple[int, int], np.ndarray], trees: int, wanted: Callable[[int], float]) -> DataFrame:
+    """A row per query, tree and entry: tree, d1, rest, dim, vec_id, vector, wanted. counts: vectors by (dim, tree) and first
+    digit; wanted: candidates, of the number of vectors of the query's length."""
+    goals = {dim: math.ceil(wanted(int(n.sum()))) for (dim, tree), n in counts.items() if tree == 0}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned = Rotations()
@@ -147,14 +149,14 @@ def asked(queries: DataFrame, counts: dict[tuple[int, int], np.ndarray], trees:
                     ways = np.array([entries(y[k]) for y in ys])
                     held = np.array([counts[dim, tree][ways[tree]] for tree in range(trees)]).sum(axis=0).cumsum()
                     n = min(ENTRIES, 2 * dim)
-                    while n < 2 * dim and held[n - 1] < SOME:
+                    while n < 2 * dim and held[n - 1] < goals[dim]:
                         n = min(2 * n, 2 * dim)
                     columns = [np.repeat(np.arange(trees, dtype=np.int32), n), ways[:, :n].ravel(), np.concatenate([binary_digits(np.repeat(y[k : k + 1], n, axis=0), ways[tree, :n] // 2) for tree, y in enumerate(ys)])]
                     keep = np.concatenate([counts[dim, tree][ways[tree, :n]] for tree in range(trees)]) > 0
                     size = int(keep.sum())
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[keep]) for c in columns], pa.array([dim] * size, pa.int32()), pa.array([ids[k]] * size, pa.int64()), pa.array([packed[k]] * size, pa.binary())], names=["tree", "d1", "rest", "dim", "vec_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[keep]) for c in columns], pa.array([dim] * size, pa.int32()), pa.array([ids[k]] * size, pa.int64()), pa.array([packed[k]] * size, pa.binary()), pa.array([goals[dim]] * size, pa.int64())], names=["tree", "d1", "rest", "dim", "vec_id", "vector", "wanted"])
 
-    return queries.select("vec_id", "dim", "vector").mapInArrow(make, "tree int, d1 long, rest long, dim int, vec_id long, vector binary")
+    return queries.select("vec_id", "dim", "vector").mapInArrow(make, "tree int, d1 long, rest long, dim int, vec_id long, vector binary, wanted long")
 
 
 def _prefixes(rest: np.ndarray, length: int) -> np.ndarray:
@@ -170,7 +172,7 @@ def _grouped(own: DataFrame, asks: DataFrame, shares: DataFrame) -> DataFrame:
     return own.unionByName(asks, allowMissingColumns=True)
 
 
-def depths(keys: DataFrame, asks: DataFrame, shares: DataFrame, k: int, min_candidates: int) -> DataFrame:
+def depths(keys: DataFrame, asks: DataFrame, shares: DataFrame, k: int) -> DataFrame:
     """vec_id of each query, length of the prefix where it stops (0: the root) and candidates: over all trees, at that length."""
     lengths = range(1, BITS + 2)
 
@@ -194,13 +196,13 @@ def depths(keys: DataFrame, asks: DataFrame, shares: DataFrame, k: int, min_cand
             counts.append(high - low)
             several = np.array([distinct(*x) for x in zip(low.tolist(), high.tolist(), strict=True)], np.int64) if repeated else high - low
             ample[several > k] = length  # the longest so far: shorter prefixes hold no less
-        return pa.table([pa.array(ids[asking]), pa.array(ample), *[pa.array(c.astype(np.int64)) for c in counts]], names=["query_id", "ample", *[f"n{j}" for j in lengths]])
+        return pa.table([pa.array(ids[asking]), rows.column("wanted").filter(pa.array(asking)), pa.array(ample), *[pa.array(c.astype(np.int64)) for c in counts]], names=["query_id", "wanted", "ample", *[f"n{j}" for j in lengths]])
 
     dealt = _grouped(keys, asks, shares)
-    counted = dealt.groupBy("tree", "dim", "d1", "share").applyInArrow(count, "query_id long, ample long, " + ", ".join(f"n{j} long" for j in lengths))
-    totals = counted.groupBy("query_id").agg(F.max("ample").alias("ample"), *[F.sum(f"n{j}").alias(f"n{j}") for j in lengths])
+    counted = dealt.groupBy("tree", "dim", "d1", "share").applyInArrow(count, "query_id long, wanted long, ample long, " + ", ".join(f"n{j} long" for j in lengths))
+    totals = counted.groupBy("query_id").agg(F.max("wanted").alias("wanted"), F.max("ample").alias("ample"), *[F.sum(f"n{j}").alias(f"n{j}") for j in lengths])
     # Counts fall with the length, so the number of lengths with enough is the longest of them.
-    enough = F.greatest(F.lit(1), sum((F.col(f"n{j}") >= min_candidates).cast("int") for j in lengths))
+    enough = F.greatest(F.lit(1), sum((F.col(f"n{j}") >= F.col("wanted")).cast("int") for j in lengths))
     return totals.select(F.col("query_id").alias("vec_id"), F.least(enough, "ample").cast("int").alias("length"), F.coalesce(*[F.when(F.least(enough, "ample") == j, F.col(f"n{j}")) for j in lengths], F.lit(0).cast("long")).alias("candidates"))
 
 
@@ -217,7 +219,7 @@ def _reaching(near: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(near))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, min_candidates: int = MIN_CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, factor: float = FACTOR, power: float = POWER) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine). is_query: over vec_id."""
     usable = saved(valid(vectors).withColumns({"query": F.coalesce(is_query, F.lit(False)), "salt": F.xxhash64("vec_id", "vector")}), "vectors")
     keys = saved(hashed(usable, trees, False), "strings")
@@ -227,8 +229,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     for r in by_digit.collect():
         counts.setdefault((r["dim"], r["tree"]), np.zeros(2 * r["dim"], np.int64))[r["d1"]] = r["n"]
     shares = by_digit.select("tree", "dim", "d1", F.ceil(F.col("n") / SHARE).cast("long").alias("shares"))
-    asks = saved(asked(usable.filter("query"), counts, trees), "asks")
-    levels = depths(keys, asks.drop("vector"), shares, k, min_candidates)
+    asks = saved(asked(usable.filter("query"), counts, trees, lambda n: factor * n**power), "asks")
+    levels = depths(keys, asks.drop("vector"), shares, k)
     # A query that no entry has anything for isn't counted: it goes to the root as well.
     levels = saved(usable.filter("query").select("vec_id").distinct().join(levels, "vec_id", "left").select("vec_id", F.coalesce("length", F.lit(0)).alias("length")), "levels")
 

@@ -512,18 +512,45 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
-def recall(spark, x, every):
+def recall(spark, x, every, **how):
+    """Recall of the 5 nearest by brute force."""
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % every == 0).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % every == 0, **how).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(q, int(v)) for q in range(0, len(x), every) for v in np.argsort(-np.where(np.arange(len(x)) == q, -9, u @ u[q]))[:5]}
     return len(got & want) / len(want)
 
 
-@pytest.mark.parametrize("n, dim", [(300, 64), (2000, 64), (3000, 32)])
+def stops(spark, x, every, wanted=lambda n: ann.FACTOR * n**ann.POWER):
+    """Where queries stop: rows of length and candidates, and the wanted number."""
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    usable = ann.valid(table).withColumns({"query": F.col("vec_id") % every == 0, "salt": F.col("vec_id")})
+    keys = ann.hashed(usable, ann.TREES, False)
+    counts = {(x.shape[1], t): np.zeros(2 * x.shape[1], np.int64) for t in range(ann.TREES)}
+    for r in keys.groupBy("tree", "d1").count().collect():
+        counts[x.shape[1], r["tree"]][r["d1"]] = r["count"]
+    asks = ann.asked(usable.filter("query"), counts, ann.TREES, wanted).drop("vector")
+    return ann.depths(keys, asks, keys.groupBy("tree", "dim", "d1").agg(F.lit(1).cast("long").alias("shares")), 5).collect(), counts
+
+
+@pytest.mark.parametrize("n, dim", [(300, 64), (2000, 64), (3000, 32), (20_000, 64)])
 def test_nearest_recall(spark, monkeypatch, n, dim):
-    monkeypatch.setattr(ann, "SHARE", 300)
-    assert recall(spark, np.random.default_rng(4).standard_normal((n, dim)).astype(np.float32), max(1, n // 50)) >= 0.95
+    """On vectors without structure, where the forest has least to go by. Of a few hundred such vectors so many are wanted
+    that most queries stop at their first digits; from thousands on they read binary ones."""
+    monkeypatch.setattr(ann, "SHARE", max(300, n // 10))
+    x = np.random.default_rng(4).standard_normal((n, dim)).astype(np.float32)
+    assert recall(spark, x, max(1, n // 50)) >= 0.95
+    lengths = [r["length"] for r in stops(spark, x, max(1, n // 50))[0]]
+    assert n < 2000 or np.mean(np.array(lengths) > 1) > 0.7
+
+
+def test_nearest_among_clusters_descends_far(spark):
+    """Vectors with structure: true neighbours are found among a hundredth of the table."""
+    rng = np.random.default_rng(7)
+    x = (np.repeat(rng.standard_normal((400, 64)), 10, axis=0) + 0.15 * rng.standard_normal((4000, 64))).astype(np.float32)
+    assert recall(spark, x, 80, factor=0.5, power=0.75) >= 0.95
+    found = stops(spark, x, 80, lambda n: 0.5 * n**0.75)[0]
+    assert np.median([r["length"] for r in found]) >= 5
 
 
 def test_nearest_of_copies_and_repeated_ids(spark):
@@ -548,24 +575,17 @@ def test_nearest_of_vectors_of_any_size(spark):
     assert got[0, 1] == pytest.approx(1.0) and got[1, 3] == pytest.approx(2**-0.5) and got[0, 2] == pytest.approx(1e-10 * 2**-0.5) and got[1, 4] == pytest.approx(2**-0.5) and got[5, 6] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("n, wanted, longest", [(3000, 400, 4), (3000, 30_000, 1), (12000, 1000, 5)])
+@pytest.mark.parametrize("n, wanted, longest", [(3000, 400, 4), (3000, 1500, 2), (3000, 30_000, 1), (12000, 1000, 5)])
 def test_descent_stops_near_the_wanted_number(spark, n, wanted, longest):
     """Neither the root nor whole digits: the prefix is as long as the wanted number of candidates allows."""
-    x = np.random.default_rng(8).standard_normal((n, 32))
-    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    usable = ann.valid(table).withColumns({"query": F.col("vec_id") % 200 == 0, "salt": F.col("vec_id")})
-    keys = ann.hashed(usable, 16, False)
-    by = keys.groupBy("tree", "dim", "d1").count().collect()
-    counts = {(32, t): np.zeros(64, np.int64) for t in range(16)}
-    for r in by:
-        counts[32, r["tree"]][r["d1"]] = r["count"]
-    asks = ann.asked(usable.filter("query"), counts, 16).drop("vector")
-    found = ann.depths(keys, asks, keys.groupBy("tree", "dim", "d1").agg(F.lit(1).cast("long").alias("shares")), 5, wanted).collect()
+    x = np.random.default_rng(8).standard_normal((n, 32)).astype(np.float32)
+    found, counts = stops(spark, x, 200, lambda _: wanted)
     assert len(found) == n // 200
-    assert all(r["length"] >= longest and (r["length"] == 1 or wanted <= r["candidates"] <= 3 * wanted) for r in found)
+    assert all(r["length"] >= longest and wanted <= r["candidates"] <= 3 * wanted for r in found)
     # Few candidates at the first digits: more of them are entered, not the root.
     few = {key: (c > 0).astype(np.int64) for key, c in counts.items()}
-    assert ann.asked(usable.filter("vec_id = 0"), few, 16).groupBy("tree").count().agg(F.min("count")).first()[0] > ann.ENTRIES
+    one = ann.valid(spark.createDataFrame([(0, x[0].tolist())], "vec_id long, embedding array<float>"))
+    assert ann.asked(one, few, ann.TREES, lambda _: wanted).groupBy("tree").count().agg(F.min("count")).first()[0] > ann.ENTRIES
 
 
 # ---------------------------------------------------------------- WARC
