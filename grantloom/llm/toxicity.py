@@ -1,9 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic and one on ordinary text.
 
-Both are trained alike, on the texts' windows, by zstandard's own trainer. A window's distance is what the toxic dictionary
-saves: its compressed length with the ordinary dictionary less that with the toxic one. How many of a document's windows
-reach each of THRESHOLDS decides: a logistic curve weighs them and makes the score, so that 0.5 is the calibrated
-threshold of whole documents. It is calibrated on windows that the dictionaries weren't trained on: the sample is halved,
+Both are trained alike, by zstandard's own trainer, on equal numbers of bytes of the texts' distinct windows, at every
+size of the sample. A window's distance is what the toxic dictionary saves: its compressed length with the ordinary
+dictionary less that with the toxic one. How many of a document's windows reach each of THRESHOLDS decides: a logistic
+curve weighs them and makes the score, so that 0.5 is the calibrated threshold of whole documents. It is calibrated on windows that the dictionaries weren't trained on: the sample is halved,
 and each half is measured with dictionaries of the other one; the dictionaries that score are then trained on both.
 
 What is fitted sees SAMPLE labelled documents at most (the bound for each label), chosen by a hash of their ids, and
@@ -102,17 +102,26 @@ class Model:
         return made(self.toxic), made(self.ordinary)
 
 
-def trained(texts: list[list[bytes]]) -> bytes:
-    """A dictionary's bytes; of too little text for training, the text itself."""
+def _samples(texts: list[list[bytes]]) -> list[bytes]:
+    """Distinct windows in the order of a hash: the trainer gives up after a run of text that it knows, which one long
+    document of few phrases would be."""
+    return sorted({w for x in texts for w in windows(x, WORDS_A_SAMPLE)}, key=lambda w: (zlib.crc32(w), w))
+
+
+def trained(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """Both dictionaries' bytes, trained on equal numbers of bytes, and as long as DICTIONARY or half of these."""
     import zstandard as zs
 
-    samples = [w for x in texts for w in windows(x, WORDS_A_SAMPLE)]
-    if sum(map(len, samples)) > 2 * DICTIONARY and len(samples) > 20:
+    groups = [_samples(toxic), _samples(ordinary)]
+    most = min(sum(map(len, group)) for group in groups)
+    found = []
+    for group in groups:
+        some = [w for w, end in zip(group, np.cumsum([len(w) for w in group]).tolist(), strict=True) if end <= most]
         try:
-            return zs.train_dictionary(DICTIONARY, samples, k=SEGMENT, d=SHARED, f=20).as_bytes()
-        except zs.ZstdError:
-            pass
-    return b"".join(samples)[-DICTIONARY:]
+            found.append(zs.train_dictionary(max(256, min(DICTIONARY, most // 2)), some, k=SEGMENT, d=SHARED, f=20).as_bytes())
+        except zs.ZstdError:  # the trainer takes no handful of windows
+            found.append(b"".join(some)[:DICTIONARY])
+    return found[0], found[1]
 
 
 class Distances:
@@ -170,11 +179,11 @@ def fit(texts: list[list[bytes]], labels: list[int]) -> Model:
     rows: list[list[float]] = []
     marks: list[float] = []
     for half in (0, 1):
-        distances = Distances(Model(trained(toxic[1 - half :: 2]), trained(ordinary[1 - half :: 2])))
+        distances = Distances(Model(*trained(toxic[1 - half :: 2], ordinary[1 - half :: 2])))
         for label, group in ((1.0, toxic[half::2]), (0.0, ordinary[half::2])):
             rows += [features(distances(x)) for x in group]
             marks += [label] * len(group)
-    return Model(trained(toxic), trained(ordinary), _logistic(np.array(rows), np.array(marks)).tolist(), share)
+    return Model(*trained(toxic, ordinary), _logistic(np.array(rows), np.array(marks)).tolist(), share)
 
 
 def sample(docs: DataFrame, labels: DataFrame, use: Column, bound: tuple[int, int] = SAMPLE, most_words: int = SAMPLE_WORDS) -> tuple[list[list[bytes]], list[int]]:

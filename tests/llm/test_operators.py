@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -752,6 +753,49 @@ def test_toxicity(spark, nothing):
     assert {r["score"] for r in toxicity.scored(docs.select("doc_id", "text"), plain).collect()} == {0.0}
 
 
+def test_toxic_scores_by_brute_force(spark):
+    """Words, windows, lengths, counts and the curve in plain Python; only the two compressors are the model's."""
+    docs, labels = toxic_table(spark)
+    model = toxicity.fit(*toxicity.sample(docs, labels, F.col("doc_id") % 3 != 0))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    texts |= {2000: "Very long, " * 20_000, 2001: "ÉLAN\u00a0vital!", 2002: "...", 2003: "word " + "x" * 100_000}
+    rows = [(k, t) for k, t in texts.items() if k is not None]
+    got = toxicity.scored(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), model).collect()
+    toxic, ordinary = model.compressors()
+    assert len(got) == len(rows) + 1
+
+    def saves(word):
+        shown = toxicity._PAD + b" " + word.encode() + b" " + toxicity._PAD[:12]
+        return len(ordinary.compress(shown)) - len(toxic.compress(shown))
+
+    known = {}
+    for r in got:
+        text = "".join(" " if c in string.punctuation else c for c in (texts[r["doc_id"]] or "").lower())
+        found = []
+        for word in re.findall(r"[^ \t\n\r\x0b\x0c]+", text):
+            if word not in known:
+                known[word] = saves(word)
+            found.append(known[word])
+        x = [0.0] * 17
+        if found:
+            most = sorted((max(d, 0) for d in found), reverse=True)
+            reached = [sum(d >= limit for d in found) for limit in (1, 2, 3, 4, 5, 6, 8)]
+            x = [min(most[0], 12), min(sum(most[:2]), 20), min(max(sum(found) / len(found), -1), 2), *[math.log(1 + n) for n in reached], *[10 * n / len(found) for n in reached]]
+        z = sum(w * v for w, v in zip(model.weights, [*x, 1.0], strict=True))
+        score = 1 / (1 + math.exp(-min(max(z, -30), 30)))
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+
+
+@pytest.mark.parametrize("n", [20, 200, 2000])
+def test_dictionaries_are_trained_alike_at_every_size(n):
+    """Equal lengths, whatever the sizes of the groups, and with one long text of few phrases among them."""
+    rng = np.random.default_rng(n)
+    toxic, ordinary = ([[b"%c%d" % (c, k) for k in rng.integers(0, 4000, 40)] for _ in range(m)] for c, m in ((97, n), (98, 7 * n)))
+    one, two = toxicity.trained([[b"same", b"phrase"] * 30_000, *toxic], ordinary)
+    assert len(one) == len(two) >= min(toxicity.DICTIONARY, 60 * n)
+    assert one[:4] == two[:4] == b"\x37\xa4\x30\xec"  # the mark of a trained dictionary
+
+
 # ---------------------------------------------------------------- queries
 
 
