@@ -19,6 +19,10 @@ numbers, dealt by ranges of contexts. A context that a third of all tokens share
 that differ, for each task that met them. The model is never gathered: every level is written and read in parts, whose
 list alone (a row each) passes the driver. A task opens a part when it first looks for something there.
 
+Texts are split into words twice: for the first level, and then to write every text's word numbers to a table, which the
+other levels and the scores are made from. A row of that table has consecutive texts of about 4 MB together, or one longer
+text.
+
 Null and empty texts have the end alone. Rows that repeat an id count as often as they come. If there is nothing to
 learn from, N and V are 0 and every token has probability 1. Extra columns are not looked at. The number of entries of a
 level times the largest number of successors must be below 2**64; training stops with an error otherwise.
@@ -86,7 +90,7 @@ class _Counter:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
-    """Consecutive rows with about so many bytes: the batch, the first row and the tokens of each."""
+    """Consecutive rows with about so many bytes: the batch, the first row and the hashes of each one's tokens."""
     for batch in batches:
         texts = texts_of(batch.column(column))
         for begin, to in in_groups(texts, most):
@@ -299,18 +303,16 @@ class Trie:
     def logs(self, n: int, numbers: np.ndarray) -> np.ndarray:
         return self.words.logs(numbers) if n == 1 else -self.levels[n].steps(numbers) * self.model.step
 
-    def walk(self, rows: list[np.ndarray], depth: int, valued: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For n from 1: (n, context, successor, there, counts, logs) of the n-gram that each token of some texts ends.
-        Context and successor are -1 where there is none. valued: there is whether the trie has it, with its count and log
+    def walk(self, number: np.ndarray, starts: np.ndarray, depth: int, valued: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For n from 1: (n, context, successor, there, counts, logs) of the n-gram that each token of some texts ends, from
+        the tokens' numbers as words (-1: unknown) and where texts start. Context and successor are -1 where there is none. valued: there is whether the trie has it, with its count and log
         probability (0 without it; on level 1 those of any word). The last n is depth, a level that the trie need not have."""
-        flat = np.concatenate(rows)
-        starts = np.cumsum([0, *[len(x) for x in rows[:-1]]])
-        none = np.zeros(0)
-        keys, back = np.unique(flat, return_inverse=True)
-        each = self.words.numbers(keys)
-        number = among = each[back]
-        values = (self.words.counts(each)[back], self.words.logs(each)[back]) if valued else (none, none)
-        yield 1, np.zeros(len(flat), np.int64), among, number >= 0, *values
+        size, among, none = len(number), number, np.zeros(0)
+        values = (none, none)
+        if valued:
+            each, back = np.unique(number, return_inverse=True)
+            values = self.words.counts(each)[back], self.words.logs(each)[back]
+        yield 1, np.zeros(size, np.int64), among, number >= 0, *values
         for n in range(2, depth + 1):
             context = np.concatenate([[-1], number[:-1]])
             context[starts] = self.model.v if n == 2 else -1
@@ -318,7 +320,7 @@ class Trie:
             if n not in self.levels:
                 yield n, context, successor, none, none, none
                 return
-            number, among = np.full(len(flat), -1, np.int64), np.full(len(flat), -1, np.int64)
+            number, among = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
             at = np.flatnonzero((context >= 0) & (successor >= 0))
             span = np.uint64(max(1, int(successor.max(initial=0)) + 1))
             both, back = np.unique(context[at].astype(np.uint64) * span + successor[at].astype(np.uint64), return_inverse=True)
@@ -326,7 +328,7 @@ class Trie:
             number[at], among[at] = each[back], places[back]
             counts, logs = none, none
             if valued:
-                counts, logs = np.zeros(len(flat), np.int64), np.zeros(len(flat))
+                counts, logs = np.zeros(size, np.int64), np.zeros(size)
                 of = np.zeros((2, len(each)))
                 there = np.flatnonzero(each >= 0)
                 of[0, there], of[1, there] = self.levels[n].counts(each[there]), self.logs(n, each[there])
@@ -334,6 +336,46 @@ class Trie:
             yield n, context, successor, number >= 0, counts, logs
 
 
+NUMBERED = "learn boolean, ids array<long>, sizes array<long>, numbers binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows (learn, doc_id, text) as rows of NUMBERED: several texts that learn or several that don't, each token's number
+    as a word plus one (0: unknown), by byte place and compressed."""
+    import zstandard as zs
+
+    press, known = zs.ZstdCompressor(level=1), Words(model)
+    kind = np.dtype("<u4" if model.v < 2**32 - 1 else "<u8")
+    for batch, begin, rows in _texts(batches, 2):
+        keys, back = np.unique(np.concatenate(rows), return_inverse=True)
+        numbers = (known.numbers(keys) + 1).astype(kind)[back]
+        sizes = np.array([len(x) for x in rows], np.int64)
+        learn, ids = batch.column(0).slice(begin, len(rows)).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).slice(begin, len(rows))
+        of = np.repeat(learn, sizes)
+        for kept in (True, False):
+            if (learn == kept).any():
+                raw = press.compress(numbers[of == kept].view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids.filter(pa.array(learn == kept)), pa.array(sizes[learn == kept]))]
+                yield pa.RecordBatch.from_arrays([pa.array([kept]), *lists, pa.array([raw], pa.binary())], names=["learn", "ids", "sizes", "numbers"])
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """From each row of NUMBERED: ids, sizes and the tokens' numbers as words, -1 for unknown ones."""
+    import zstandard as zs
+
+    press = zs.ZstdDecompressor()
+    kind = np.dtype("<u4" if model.v < 2**32 - 1 else "<u8")
+    for batch in batches:
+        for k in range(batch.num_rows):
+            planes = np.frombuffer(press.decompress(batch.column(3)[k].as_py()), np.uint8).reshape(kind.itemsize, -1)
+            numbers = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64) - 1
+            yield batch.column(1)[k].values, batch.column(2)[k].values.to_numpy(), numbers
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
 def _blocks(keys: np.ndarray, counts: np.ndarray, span: int, parts: Parts) -> Iterator[tuple[int, bytes]]:
     """Ascending keys (context * span + successor) and their counts, by part: differences and counts by byte place, compressed."""
     import zstandard as zs
@@ -356,9 +398,28 @@ def _unblocked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, learn: Column, mu: tuple[float, ...] = MU) -> Model:
     """The model of the documents that learn (over doc_id) picks. mu: one for each level from the second one on."""
-    spark = docs.sparkSession
-    texts = docs.filter(learn).select(docs["text"].cast("string"))
-    folder = scratch(spark, "ngram")
+    return _trained(docs.filter(learn), F.lit(True), mu)[0]
+
+
+def trained_scores(docs: DataFrame, learn: Column, mu: tuple[float, ...] = MU) -> DataFrame:
+    """What scored() gives for all documents by the model of those that learn picks; both read the same word numbers."""
+    model, numbers = _trained(docs, learn, mu)
+    return numbers.mapInArrow(lambda batches: _score(batches, model), SCORED)
+
+
+def _trained(docs: DataFrame, learn: Column, mu: tuple[float, ...]) -> tuple[Model, DataFrame]:
+    """The model, and the table of all documents' word numbers."""
+    rows = docs.select(F.coalesce(learn, F.lit(False)).alias("learn"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    folder = scratch(docs.sparkSession, "ngram")
+    model = _words(rows.filter("learn").select("text"), mu, folder)
+    numbers = saved(rows.mapInArrow(lambda batches: _numbered(batches, model), NUMBERED), "numbers")
+    for n in range(2, len(mu) + 2 if model.n else 2):
+        model.levels.append(_level(numbers.filter("learn"), model, n, folder))
+    return model, numbers
+
+
+def _words(texts: DataFrame, mu: tuple[float, ...], folder: str) -> Model:
+    """The model with its first level alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
@@ -389,13 +450,11 @@ def train(docs: DataFrame, learn: Column, mu: tuple[float, ...] = MU) -> Model:
     for row in parts.orderBy("part").collect():  # a row per part
         model.words.append((row["path"], first, row["low"]))
         first += row["n"]
-    for n in range(2, len(mu) + 2):
-        model.levels.append(_level(texts, model, n, folder))
     return model
 
 
 def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
-    """Counts the n-grams of the texts and writes them; the model has the levels before."""
+    """Counts the n-grams of texts (as NUMBERED) and writes them; the model has the levels before."""
     n_parts = max(1, math.ceil(model.n / HELD))
     mu = model.mu[n - 2]
     span = model.v if n == 2 else model.levels[-1].degree
@@ -413,8 +472,8 @@ def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
             counter.done = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "block"])
 
-        for _, _, rows in _texts(batches, 0):
-            for _, context, successor, *_ in trie.walk(rows, n):
+        for _, sizes, numbers in _numbers(batches, model):
+            for _, context, successor, *_ in trie.walk(numbers, _starts(sizes), n):
                 pass
             at = np.flatnonzero((context >= 0) & (successor >= 0))
             counter.add(context[at].astype(np.uint64) * np.uint64(span) + successor[at].astype(np.uint64))
@@ -453,29 +512,29 @@ def _level(texts: DataFrame, model: Model, n: int, folder: str) -> Parts:
     return Parts([written[k]["path"] if k in written else "" for k in range(n_parts)], first, max([1, *[r["degree"] for r in written.values()]]), contexts)
 
 
+SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = docs.select(F.lit(False), docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return rows.mapInArrow(lambda batches: _score(_numbered(batches, model), model), SCORED)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(model) if model.n else None
-        for batch, begin, rows in _texts(batches, 1):
-            sizes = np.array([len(x) for x in rows])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            if trie is None:
-                known, base, logs = (np.zeros(int(sizes.sum())) for _ in range(3))
-            else:
-                known, base, logs = _token_logs(trie, rows)
-            ids = batch.column(0).slice(begin, len(rows))
-            sums = [np.add.reduceat(x, starts) for x in (known, base, logs)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(rows), model.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows of SCORED from rows of NUMBERED."""
+    trie = Trie(model) if model.n else None
+    for ids, sizes, numbers in _numbers(batches, model):
+        starts = _starts(sizes)
+        known, base, logs = _token_logs(trie, numbers, starts) if trie else [np.zeros(len(numbers)) for _ in range(3)]
+        sums = [np.add.reduceat(x, starts) for x in (known, base, logs)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(sizes), model.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _token_logs(trie: Trie, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _token_logs(trie: Trie, numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token: whether it is known, its base and its log10 probability."""
-    model, starts = trie.model, np.cumsum([0, *[len(x) for x in rows[:-1]]])
-    for n, _, _, there, counts, logs in trie.walk(rows, len(model.levels) + 1, valued=True):
+    model = trie.model
+    for n, _, _, there, counts, logs in trie.walk(numbers, starts, len(model.levels) + 1, valued=True):
         if n == 1:
             known, base, found = (counts > 0).astype(np.int64), np.log10((counts + 1) / (model.n + model.v + 1)), logs
         else:

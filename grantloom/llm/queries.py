@@ -31,8 +31,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram.train(docs, id_remainder(F.col("doc_id"), 7) != 2)
-    scores = ngram.scored(docs, model)
+    scores = ngram.trained_scores(docs, id_remainder(F.col("doc_id"), 7) != 2)
     return scores.select("doc_id", (id_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

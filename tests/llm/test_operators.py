@@ -386,7 +386,9 @@ def test_ngram(docs, nothing, spark, order, monkeypatch):
         r = got[i][0]
         assert r[:3] == (len(x), sum(counts[1][w,] > 0 for w in x), n)
         assert r[3] == pytest.approx(base) and abs(r[4] - ngram_score(x, counts, mu, n, v)) <= 1.5 * model.step * len(x)
-    assert ngram.scored(nothing, model).count() == 0
+    both = [sorted(map(repr, x.collect())) for x in (ngram.scored(docs, model), ngram.trained_scores(docs, F.col("doc_id") % 2 == 0, mu))]
+    assert both[0] == both[1]
+    assert ngram.scored(nothing, model).count() == 0 == ngram.trained_scores(nothing, F.lit(True), mu).count()
     blank = ngram.train(nothing, F.lit(True), mu)
     assert {r["score"] for r in ngram.scored(docs, blank).collect()} == {0.0}
 
