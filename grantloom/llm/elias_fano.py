@@ -63,20 +63,48 @@ class EliasFano:
         word = np.searchsorted(self.zeros, high.astype(self.zeros.dtype), side="right") - 1
         return word * 64 + self._place(~self.highs[word], high - self.zeros[word].astype(np.int64)) - high
 
-    def at(self, places: np.ndarray) -> np.ndarray:
-        """The numbers at these places: of a one, its place less its rank is the high bits."""
+    def _next(self, bits: np.ndarray, zero: bool) -> np.ndarray:
+        """Where the next one (or zero) from each bit on is, if it is in the same 64-bit word; -1 if it isn't."""
+        words = self.highs[bits >> 6]
+        rest = (~words if zero else words) >> (bits & 63).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            step = np.bitwise_count((rest & (~rest + _1)) - _1)
+        return np.where(rest > 0, bits + step, -1)
+
+    def _one(self, places: np.ndarray) -> np.ndarray:
+        """Where the ones with these ranks are."""
         if self.ones is None:
             self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        places = np.asarray(places, np.int64)
         word = np.searchsorted(self.ones, places, side="right") - 1
-        high = word * 64 + self._place(self.highs[word], places - self.ones[word]) - places
+        return word * 64 + self._place(self.highs[word], places - self.ones[word])
+
+    def _number(self, places: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Of a one, its place less its rank is the high bits."""
         low = unpack(self.lows, places, self.low_bits).astype(np.int64) if self.low_bits else 0
-        return (high << self.low_bits) + low
+        return ((bits - places) << self.low_bits) + low
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The numbers at these places."""
+        places = np.asarray(places, np.int64)
+        return self._number(places, self._one(places))
+
+    def two(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at these places and at those behind them, which must exist."""
+        places = np.asarray(places, np.int64)
+        bits = self._one(places)
+        behind = self._next(bits + 1, False)
+        far = np.flatnonzero(behind < 0)
+        behind[far] = self._one(places[far] + 1)
+        return self._number(places, bits), self._number(places + 1, behind)
 
     def _search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of numbers below the universe: how many are smaller, and whether the next one is equal."""
         high = (wanted >> np.uint64(self.low_bits)).astype(np.int64)
-        begin, end = np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0), self._upto(high)
+        begin = np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0)
+        # Up to the next zero, which is mostly in the same word.
+        end = self._next(begin + high, True) - high
+        far = np.flatnonzero(end < begin)
+        end[far] = self._upto(high[far])
         if not self.low_bits:
             return begin, begin < end
         low, last = wanted & np.uint64(2**self.low_bits - 1), end.copy()

@@ -213,7 +213,7 @@ class Part:
 
     def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where successors begin and end, and what the sequence counts from there."""
-        begin, end = self.pointers.at(context), self.pointers.at(context + 1)
+        begin, end = self.pointers.two(context)
         base = np.zeros(len(context), np.int64)
         later = np.flatnonzero(begin > 0)
         base[later] = self.successors.at(begin[later] - 1) + 1
@@ -305,8 +305,9 @@ class Trie:
 
     def walk(self, number: np.ndarray, starts: np.ndarray, depth: int, valued: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For n from 1: (n, context, successor, there, counts, logs) of the n-gram that each token of some texts ends, from
-        the tokens' numbers as words (-1: unknown) and where texts start. Context and successor are -1 where there is none. valued: there is whether the trie has it, with its count and log
-        probability (0 without it; on level 1 those of any word). The last n is depth, a level that the trie need not have."""
+        the tokens' numbers as words (-1: unknown) and where texts start. Context and successor are -1 where there is none.
+        valued: there is whether the trie has it, with its count and log probability (0 without it; on level 1 those of any
+        word). The last n is depth, a level that the trie need not have and that gives no counts from level 2 on."""
         size, among, none = len(number), number, np.zeros(0)
         values = (none, none)
         if valued:
@@ -325,14 +326,19 @@ class Trie:
             span = np.uint64(max(1, int(successor.max(initial=0)) + 1))
             both, back = np.unique(context[at].astype(np.uint64) * span + successor[at].astype(np.uint64), return_inverse=True)
             each, places = self.levels[n].find((both // span).astype(np.int64), (both % span).astype(np.int64))
-            number[at], among[at] = each[back], places[back]
+            number[at] = each[back]
+            if n < depth:
+                among[at] = places[back]
             counts, logs = none, none
             if valued:
-                counts, logs = np.zeros(size, np.int64), np.zeros(size)
-                of = np.zeros((2, len(each)))
                 there = np.flatnonzero(each >= 0)
-                of[0, there], of[1, there] = self.levels[n].counts(each[there]), self.logs(n, each[there])
-                counts[at], logs[at] = of[0][back], of[1][back]
+                found, logs = np.zeros(len(each)), np.zeros(size)
+                found[there] = self.logs(n, each[there])
+                logs[at] = found[back]
+            if valued and n < depth:
+                found, counts = np.zeros(len(each), np.int64), np.zeros(size, np.int64)
+                found[there] = self.levels[n].counts(each[there])
+                counts[at] = found[back]
             yield n, context, successor, number >= 0, counts, logs
 
 
@@ -541,6 +547,7 @@ def _token_logs(trie: Trie, numbers: np.ndarray, starts: np.ndarray) -> tuple[np
             # What the level doesn't have backs off; a context that it doesn't have says nothing.
             mu = model.mu[n - 2]
             found = np.where(there, logs, found + np.log10(mu / (context_counts + mu)))
-        context_counts = np.concatenate([[0], counts[:-1]])
-        context_counts[starts] = model.texts if n == 1 else 0
+        if n <= len(model.levels):
+            context_counts = np.concatenate([[0], counts[:-1]])
+            context_counts[starts] = model.texts if n == 1 else 0
     return known, base, found

@@ -393,6 +393,20 @@ def test_ngram(docs, nothing, spark, order, monkeypatch):
     assert {r["score"] for r in ngram.scored(docs, blank).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("n,top", [(1, 1), (1, 10**6), (700, 701), (700, 3000), (700, 10**6), (5000, 2**40), (64, 5000)])
+def test_elias_fano_against_a_sorted_array(n, top):
+    """Places, neighbours and searches agree with numpy's, repeats and long gaps included."""
+    rng = np.random.default_rng(n + top)
+    values = np.sort(np.concatenate([rng.integers(0, top, n - n // 3), rng.integers(0, max(1, top // 50), n // 3)]))
+    ef, places = EliasFano.of(values, top), np.arange(n)
+    assert (ef.at(places) == values).all()
+    first, second = ef.two(places[:-1])
+    assert (first == values[:-1]).all() and (second == values[1:]).all()
+    wanted = np.unique(np.concatenate([values, values + 1, rng.integers(0, top, 500)]))
+    assert (ef.below(wanted) == np.searchsorted(values, wanted)).all()
+    assert ((ef.find(wanted) >= 0) == np.isin(wanted, values)).all()
+
+
 def test_trie_finds_by_its_pointers():
     """Every entry is found and nothing else is; with a pointer moved by one, neighbours of the range are lost or found wrongly."""
     rng = np.random.default_rng(5)
