@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -20,7 +20,8 @@ DASHES = "–—"
 _MISSING = ""
 
 
-_NOT_ASCII = "[^\\x00-\\x7F]"
+#: Text without these is in the compatibility form as it is: all others never change, join with no neighbour, and are no marks.
+_MAY_CHANGE = "[^\\x00-\\x7F\\u00C0-\\u00FF\\u2010\\u2012-\\u2016\\u2018-\\u201F]"
 
 
 @arrow_udf(StringType())
@@ -36,20 +37,21 @@ def _nfkc_rows(rows: pa.Array) -> pa.Array:
 
 
 def compatible(text: Column) -> Column:
-    """Unicode's compatibility form, the one thing here that Spark has no function for; only text beyond ASCII leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(text.rlike(_NOT_ASCII), text)), text)
+    """Unicode's compatibility form, the one thing here that Spark has no function for; only text that it may change leaves the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
 def compatible_rows(rows: Column) -> Column:
     """The same of a table's cells."""
-    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")).rlike(_NOT_ASCII)))
+    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")).rlike(_MAY_CHANGE)))
     return F.coalesce(_nfkc_rows(F.when(beyond, rows)), rows)
 
 
 def clean(text: Column) -> Column:
     """White space runs become one space, ends are trimmed, null is empty. Text beyond ASCII must have been through
     compatible() before: column functions can't normalise it, and array functions can't call what can."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit(_MISSING)), r"(?U)\s+", " "))
+    # A single space stays as it is and isn't replaced by another one.
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit(_MISSING)), r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def norm_cell(cell: Column) -> Column:
@@ -73,15 +75,24 @@ def month_number(token: Column) -> Column:
 
 def month_token(value: Column) -> Column:
     """M and at least two digits, for an optional M (Latin or Greek) and digits; else empty."""
-    text = F.upper(F.translate(clean(value), GREEK_MU, "M"))
-    digits = F.regexp_extract(text, r"^M?\s*([0-9]+)$", 1)
+    digits = _month_digits(clean(value))
     return F.when(digits == "", _MISSING).otherwise(m_token(digits.try_cast("int")))
 
 
+def _month_digits(text: Column) -> Column:
+    return F.regexp_extract(F.upper(F.translate(text, GREEK_MU, "M")), r"^M?\s*([0-9]+)$", 1)
+
+
+def month_tokens(cells: Column) -> Column:
+    """month_token() of those cleaned cells that have one. A function's argument is written out at each use within array
+    functions, so each step is an array of its own."""
+    numbers = F.filter(F.transform(F.filter(F.transform(cells, _month_digits), lambda d: d != ""), lambda d: d.try_cast("int")), lambda n: n.isNotNull())
+    return F.transform(numbers, m_token)
+
+
 def m_token(number: Column) -> Column:
     """M05 for 5; numbers of three digits stay whole."""
-    text = number.cast("string")
-    return F.concat(F.lit("M"), F.lpad(text, F.greatest(F.lit(2), F.length(text)), F.lit("0")))
+    return F.concat(F.when(number.between(0, 9), "M0").otherwise("M"), number.cast("string"))
 
 
 def to_float(cell: Column) -> Column:
@@ -96,11 +107,12 @@ def deliverable_ids(cell: Column) -> Column:
     span = r"(?i)^D([0-9]+)\.([0-9]+)\s*-\s*D([0-9]+)\.([0-9]+)$"
     wp, low, wp2, high = (F.regexp_extract(text, span, k).try_cast("int") for k in (1, 2, 3, 4))
     ids = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(D[0-9]+\.[0-9]+)"), F.lit(1)), lambda x: F.upper(x))
-    return F.when((wp == wp2) & (low <= high), F.transform(F.sequence(F.least(low, high), high), lambda n: F.concat(F.lit("D"), wp.cast("string"), F.lit("."), n.cast("string")))).otherwise(ids)
+    ranged = F.when((wp == wp2) & (low <= high), F.transform(F.sequence(F.least(low, high), high), lambda n: F.concat(F.lit("D"), wp.cast("string"), F.lit("."), n.cast("string"))))
+    return F.coalesce(F.when(text.rlike(span), ranged), ids)  # the span's four numbers are read where there is one
 
 
 def has_deliverable_id(cell: Column) -> Column:
-    return F.translate(clean(cell), DASHES, "--").rlike(r"(?i)\bD[0-9]+\.[0-9]+\b")
+    return F.coalesce(cell, F.lit(_MISSING)).rlike(r"(?i)\bD[0-9]+\.[0-9]+\b")  # white space and dashes alike end a word
 
 
 def month_date(start: Column, token: Column, end_of_month: bool = False) -> Column:
@@ -178,6 +190,15 @@ def progress_percent(done: Column, total: Column) -> Column:
     return F.least(40 + F.floor(45 * done / F.greatest(total, F.lit(1))), F.lit(85)).cast("int")
 
 
+# ---------------------------------------------------------------- rows
+
+
+def only(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows for which a condition on computed columns holds. Spark moves a filter below the columns that it asks for and
+    writes their expressions out once more for each mention, down to the last cell; it leaves an explode() where it is."""
+    return rows.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
 # ---------------------------------------------------------------- pages and ragged tables
 
 

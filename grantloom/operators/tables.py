@@ -42,6 +42,12 @@ def _whole(pattern: str):
     return lambda c: c.rlike(rf"(?i)^(?:{pattern})$")
 
 
+def _numbered(rows: str) -> Column:
+    """A row of a table for each of its rows, with its place. Of a bare column posexplode() would have Spark ask for its size
+    first, and make the column once more for that."""
+    return F.posexplode(F.when(F.size(rows) > 0, F.col(rows)))
+
+
 def cleaned(tables: DataFrame) -> DataFrame:
     """Rows without cells go, and all cells are cleaned."""
     return tables.withColumn("rows", S.compatible_rows(F.col("rows"))).withColumn("rows", F.transform(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.size(r) > 0), lambda r: F.transform(r, S.clean)))
@@ -59,7 +65,7 @@ def classified(tables: DataFrame) -> DataFrame:
     """Adds label: wp_list, effort, deliverable, other, or null where no rule is sure. The first rule that holds decides."""
     t = cleaned(tables.withColumnRenamed("rows", "raw").withColumn("rows", F.col("raw")))
     t = t.withColumns({
-        "u_rows": F.transform("rows", lambda r: F.transform(r, S.norm_cell)),
+        "u_rows": F.transform("rows", lambda r: F.transform(r, F.upper)),  # the cells are cleaned
         "merged": S.merged_header(F.col("rows")),
     })
     t = t.withColumns({
@@ -196,7 +202,7 @@ def work_package_list(tables: DataFrame, strict: bool = False) -> DataFrame:
 
     A second row with header words is part of the header unless it names a work package. strict: NO counts as a whole
     word only, so that a first data row such as "Innovation" is not taken for a header."""
-    t = cleaned(tables).filter(F.size("rows") >= 2)
+    t = S.only(cleaned(tables), F.size("rows") >= 2)
     second = F.coalesce(F.get("rows", F.lit(1)), _none())
     words = (lambda c: _any_in(c, "NUMBER", "MONTH", "SHORT NAME") | c.rlike(r"\bNO\b")) if strict else (lambda c: _any_in(c, "NO", "NUMBER", "MONTH", "SHORT NAME"))
     two = (F.size("rows") > 2) & F.exists(second, lambda c: words(S.norm_cell(c))) & ~F.exists(second, lambda c: c.rlike(r"(?i)\bWP\s*[0-9]+\b"))
@@ -210,17 +216,18 @@ def work_package_list(tables: DataFrame, strict: bool = False) -> DataFrame:
         "c_start": S.find_column(F.col("header"), ("START",)),
         "c_end": S.find_column(F.col("header"), ("END",)),
     })
-    rows = t.select("proposal", "c_wp", "c_title", "c_leader", "c_pm", "c_start", "c_end", "skip", F.posexplode("rows").alias("pos", "row")).filter((F.col("pos") >= F.col("skip")) & F.exists("row", lambda c: c != ""))
+    rows = t.select("proposal", "c_wp", "c_title", "c_leader", "c_pm", "c_start", "c_end", "skip", _numbered("rows").alias("pos", "row")).filter((F.col("pos") >= F.col("skip")) & F.exists("row", lambda c: c != ""))
     at = lambda c: F.coalesce(F.get("row", F.col(c)), F.lit(""))
     number, row = r"[0-9]+[.,]?[0-9]*", F.col("row")
     named = lambda text: F.regexp_extract(text, r"(?i)\bWP\s*([0-9]+)\b", 1)
     rows = rows.withColumns({
         "id": F.coalesce(F.nullif(named(at("c_wp")), F.lit("")), F.nullif(named(F.array_join("row", " | ")), F.lit("")), F.nullif(_first(row, _whole("[0-9]{1,2}")), F.lit(""))),
         "numbers": F.filter("row", _whole(number)),
-        "tokens": F.filter(F.transform("row", S.month_token), lambda m: m != ""),
+        "tokens": S.month_tokens(row),
         "title0": at("c_title"), "leader0": at("c_leader"), "pm0": at("c_pm"), "start0": S.month_token(at("c_start")), "end0": S.month_token(at("c_end")),
-    }).filter(F.col("id").isNotNull())
-    long_text = _first(row, lambda c: (F.length(c) > 6) & ~_whole(r"WP\s*[0-9]+")(c) & ~_whole(number)(c) & ~_whole("M?[0-9]+")(c) & ~c.rlike(r"^[A-Z][A-Z0-9&\-]{1,9}$"))
+    })
+    rows = S.only(rows, F.col("id").isNotNull())
+    long_text = _first(row, lambda c: (F.length(c) > 6) & ~_whole(rf"WP\s*[0-9]+|{number}|M?[0-9]+")(c) & ~c.rlike(r"^[A-Z][A-Z0-9&\-]{1,9}$"))
     word = _first(row, lambda c: _whole(r"[A-Z]+(?:[&\-][A-Z]+)*")(c) & ~_whole(r"WP\s*[0-9]+")(c))
     n = F.size("numbers")
     decimal = _first(F.col("numbers"), lambda c: c.rlike("[.,]"))
@@ -246,9 +253,9 @@ def effort_matrix(tables: DataFrame, company: str, expected: DataFrame | None =
     expected work packages in numeric order. Work packages in a header row: the company's row (its name between slashes
     or cell edges), each cell or else its left or right neighbour. expected: proposal, wp_id."""
     name = company.upper().strip()
-    t = cleaned(tables).filter(F.size("rows") > 0)
+    t = S.only(cleaned(tables), F.size("rows") > 0)
     t = t.withColumn("col", F.array_position(F.transform(F.get("rows", F.lit(0)), F.upper), F.lit(name)).cast("int") - 1)
-    by_column = t.filter(F.col("col") >= 0).select("proposal", "col", F.posexplode("rows").alias("pos", "row")).filter(F.col("pos") > 0)
+    by_column = t.filter(F.col("col") >= 0).select("proposal", "col", _numbered("rows").alias("pos", "row")).filter(F.col("pos") > 0)
     filled = F.filter("row", lambda c: c != "")
     by_column = by_column.withColumns({
         "value": S.to_float(F.coalesce(F.get("row", F.col("col")), F.lit(""))),
@@ -264,7 +271,7 @@ def effort_matrix(tables: DataFrame, company: str, expected: DataFrame | None =
         number = F.regexp_extract("wp_id", "([0-9]+)", 1).try_cast("int")
         places = expected.select("proposal", "wp_id", F.row_number().over(W.partitionBy("proposal").orderBy(number, "wp_id")).alias("place"))
         positional = counted.join(places, ["proposal", "place"]).select("proposal", "wp_id", F.col("value").alias("person_months"))
-    by_row = t.filter(F.col("col") < 0).select("proposal", F.posexplode("rows").alias("pos", "row"))
+    by_row = t.filter(F.col("col") < 0).select("proposal", _numbered("rows").alias("pos", "row"))
     by_row = by_row.withColumns({
         "named": F.filter(F.transform("row", lambda c, i: F.struct(i.alias("i"), F.upper(c).alias("wp"))), lambda x: x["wp"].rlike("^WP[0-9]+$")),
         "ours": F.exists("row", lambda c: F.exists(F.split(F.upper(c), "/"), lambda p: F.trim(p) == name)),
@@ -282,30 +289,54 @@ def effort_matrix(tables: DataFrame, company: str, expected: DataFrame | None =
 TYPES, LEVELS = "R|DEM|DMP|DEC|OTHER", "PU|SEN|CO|RE"
 
 
-def deliverable_list(tables: DataFrame, strict: bool = False) -> DataFrame:
-    """proposal, page_idx, table_idx, row_ord, ids, name, description, wp, lead, type, dissemination, months.
-
-    Rows count if they have ids, lead, type, dissemination and months. strict: the dissemination level is a whole cell;
-    otherwise it may be part of any word. The longer of the two texts is the description."""
-    rows = cleaned(tables).select(*TABLE, F.posexplode("rows").alias("row_ord", "row"))
+def _deliverable_rows(tables: DataFrame) -> DataFrame:
+    """Rows with an id, a lead, a type and months, and what is read of each whatever the reading."""
+    rows = cleaned(tables).select(*TABLE, _numbered("rows").alias("row_ord", "row"))
     row = F.col("row")
-    rows = rows.withColumn("id_cell", _first(row, S.has_deliverable_id)).filter(F.col("id_cell") != "")
-    kinds = _first(row, lambda c: c.rlike(rf"(?i)\b(?:{TYPES})\b"))
-    level = _first(row, _whole(LEVELS) if strict else lambda c: c.rlike(f"(?i)(?:{LEVELS})"))
-    month_cells = F.filter("row", lambda c: c.rlike("M[0-9]+"))
+    rows = S.only(rows.withColumn("id_cell", _first(row, S.has_deliverable_id)), F.col("id_cell") != "")
     rows = rows.withColumns({
+        "lead": _first(row, lambda c: (F.length(c) <= 9) & _whole(r"[A-Z]+(?:[&\-][A-Z]+)*")(c) & ~_whole(rf"WP[0-9]+|{TYPES}|{LEVELS}")(c)),
+        "kinds": _first(row, lambda c: c.rlike(rf"(?i)\b(?:{TYPES})\b")),
+        "month_cells": F.filter("row", lambda c: c.rlike("M[0-9]+")),
+    })
+    rows = S.only(rows, (F.col("lead") != "") & (F.col("kinds") != "") & (F.size("month_cells") > 0))
+    return rows.withColumns({
         "ids": S.deliverable_ids(F.col("id_cell")),
         "wp_cell": F.regexp_extract(_first(row, _whole(r"WP\s*[0-9]+")), "([0-9]+)", 1),
-        "lead": _first(row, lambda c: _whole(r"[A-Z]+(?:[&\-][A-Z]+)*")(c) & (F.length(c) <= 9) & ~_whole(rf"WP[0-9]+|{TYPES}|{LEVELS}")(c)),
-        "type": F.array_join(F.array_distinct(F.transform(F.regexp_extract_all(kinds, F.lit(rf"(?i)\b({TYPES})\b"), F.lit(1)), F.upper)), ", "),
-        "dissemination": F.upper(F.regexp_extract(level, f"(?i)({LEVELS})", 1)),
-        "month_cells": month_cells,
-        "months": F.flatten(F.transform(month_cells, lambda c: F.regexp_extract_all(c, F.lit("(M[0-9]+)"), F.lit(1)))),
+        "type": F.array_join(F.array_distinct(F.transform(F.regexp_extract_all("kinds", F.lit(rf"(?i)\b({TYPES})\b"), F.lit(1)), F.upper)), ", "),
+        "months": F.flatten(F.transform("month_cells", lambda c: F.regexp_extract_all(c, F.lit("(M[0-9]+)"), F.lit(1)))),
     })
-    rows = rows.filter((F.size("ids") > 0) & (F.col("lead") != "") & (F.col("type") != "") & (F.col("dissemination") != "") & (F.size("months") > 0))
+
+
+def _level(strict: bool) -> Column:
+    level = _first(F.col("row"), _whole(LEVELS) if strict else lambda c: c.rlike(f"(?i)(?:{LEVELS})"))
+    return F.upper(F.regexp_extract(level, f"(?i)({LEVELS})", 1))
+
+
+def _typed_deliverables(rows: DataFrame) -> DataFrame:
+    """Rows that have their dissemination, as deliverables. rows may have more columns in front of TABLE."""
+    rows = S.only(rows, F.col("dissemination") != "")
     rows = rows.withColumn("wp", F.concat(F.lit("WP"), F.when(F.col("wp_cell") != "", F.col("wp_cell")).otherwise(F.regexp_extract(F.get("ids", F.lit(0)), r"^D([0-9]+)\.", 1))))
-    used = F.concat(F.col("month_cells"), F.array("id_cell", "wp", "lead", "type", "dissemination"))
-    texts = F.filter("row", lambda c: ~F.array_contains(used, c) & (F.length(c) > 8) & ~c.rlike(r"(?i)^(?:D[0-9]|WP|M[0-9])"))
+    rows = rows.withColumn("used", F.concat(F.col("month_cells"), F.array("id_cell", "wp", "lead", "type", "dissemination")))
+    texts = F.filter("row", lambda c: (F.length(c) > 8) & ~F.array_contains("used", c) & ~c.rlike(r"(?i)^(?:D[0-9]|WP|M[0-9])"))
     rows = rows.withColumn("texts", texts).withColumns({"a": F.coalesce(F.get("texts", F.lit(0)), F.lit("")), "b": F.coalesce(F.get("texts", F.lit(1)), F.lit(""))})
     swap = (F.col("b") != "") & (F.length("a") > F.length("b"))
-    return rows.select(*TABLE, "row_ord", "ids", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("name"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("description"), "wp", "lead", "type", "dissemination", "months")
+    before = rows.columns[: rows.columns.index(TABLE[0])]
+    return rows.select(*before, *TABLE, "row_ord", "ids", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("name"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("description"), "wp", "lead", "type", "dissemination", "months")
+
+
+def deliverable_list(tables: DataFrame, strict: bool = False) -> DataFrame:
+    """proposal, page_idx, table_idx, row_ord, ids, name, description, wp, lead, type, dissemination, months.
+
+    Rows count if they have ids, lead, type, dissemination and months. strict: the dissemination level is a whole cell;
+    otherwise it may be part of any word. The longer of the two texts is the description."""
+    return _typed_deliverables(_deliverable_rows(tables).withColumn("dissemination", _level(strict)))
+
+
+def deliverable_readings(tables: DataFrame) -> DataFrame:
+    """deliverable_list() loosely and strictly, with a column reading in front: tables are gone through once, as the readings
+    differ in the level alone."""
+    rows = _deliverable_rows(tables).withColumns({"loose": _level(False), "strict": _level(True)})
+    readings = F.inline(F.array(*[F.struct(F.lit(x).alias("reading"), F.col(x).alias("dissemination")) for x in ("loose", "strict")]))
+    each = rows.select("*", readings).drop("loose", "strict")
+    return _typed_deliverables(each.select("reading", *[c for c in each.columns if c != "reading"]))

@@ -125,8 +125,7 @@ def deliv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 2, "").otherwise("AB"), "R", F.when(kind == 3, "XX").otherwise("SEN"), F.when(kind == 1, _text("M", F.col("m1"), ", M", F.col("m2"))).otherwise(_text("M", F.col("m1"))),
     )
     found = _gathered(P.lines(spark, sf_dir).withColumn("row", row), ["o_orderkey"], "n", _rows([["Del. No", "Name", "Text", "WP", "Lead", "Type", "Level", "Due"]]))
-    both = tables.deliverable_list(found).withColumn("reading", F.lit("loose")).unionByName(tables.deliverable_list(found, strict=True).withColumn("reading", F.lit("strict")))
-    return both.select("proposal", "reading", F.col("row_ord").cast("long").alias("n"), F.array_join("ids", " ").alias("ids"), "name", "description", "wp", "lead", "type", "dissemination", F.array_join("months", " ").alias("months"))
+    return tables.deliverable_readings(found).select("proposal", "reading", F.col("row_ord").cast("long").alias("n"), F.array_join("ids", " ").alias("ids"), "name", "description", "wp", "lead", "type", "dissemination", F.array_join("months", " ").alias("months"))
 
 
 # ---------------------------------------------------------------- prose
