@@ -36,14 +36,19 @@ def _nfkc_rows(rows: pa.Array) -> pa.Array:
     return pa.array([x if x is None else [r if r is None else list(map(one, r)) for r in x] for x in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
 
 
+def _may_change(text: Column) -> Column:
+    """Text in ASCII, which has as many bytes as characters, isn't searched."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(_MAY_CHANGE)
+
+
 def compatible(text: Column) -> Column:
     """Unicode's compatibility form, the one thing here that Spark has no function for; only text that it may change leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(text.rlike(_MAY_CHANGE), text)), text)
+    return F.coalesce(_nfkc(F.when(_may_change(text), text)), text)
 
 
 def compatible_rows(rows: Column) -> Column:
     """The same of a table's cells."""
-    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")).rlike(_MAY_CHANGE)))
+    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: _may_change(F.coalesce(c, F.lit("")))))
     return F.coalesce(_nfkc_rows(F.when(beyond, rows)), rows)
 
 

@@ -49,8 +49,8 @@ def partner(key: Column) -> Column:
     return F.concat(F.lit("S"), key.cast("string"))
 
 
-def tasks(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
-    """proposal, wp_id, k, n, id, title, start_month, end_month, partners (own supplier first), description, start."""
+def tasks(spark: SparkSession, sf_dir: str, line: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """proposal, wp_id, k, n, id, title, start_month, end_month, partners (own supplier first), description, start, and more of lines()."""
     line = lines(spark, sf_dir) if line is None else line
     names = F.array_sort(F.collect_set(partner(F.col("l_suppkey"))).over(W.partitionBy("o_orderkey")))  # a few suppliers an order
     own = partner(F.col("l_suppkey"))
@@ -62,6 +62,7 @@ def tasks(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> Da
         m_token(F.col("m2")).alias("end_month"),
         F.concat(F.array(own), F.filter("names", lambda x: x != own)).alias("partners"),
         F.concat(F.lit("Returned: "), F.col("l_returnflag")).alias("description"),
+        *more,
     )
 
 

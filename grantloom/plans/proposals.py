@@ -52,10 +52,10 @@ def effort_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each order: a work package's heading, and a task for each line item."""
-    task = P.tasks(spark, sf_dir).join(P.work_packages(spark, sf_dir).select("proposal", "wp_id", F.col("title").alias("wp_title")), ["proposal", "wp_id"])
+    task = P.tasks(spark, sf_dir, more=("o_orderkey", "wp_title"))
     number = lambda c: F.ltrim(F.substring(c, 2, 9), F.lit("0"))
     told = _text(F.col("id"), " ", F.col("title"), " (", F.array_join("partners", ", "), " | M", number(F.col("start_month")), "-M", number(F.col("end_month")), ") ", F.col("description"), ".")
-    each = task.groupBy("proposal", "k", "wp_title").agg(F.array_sort(F.collect_list(F.struct("n", told.alias("text")))).alias("x"))
+    each = task.groupBy("o_orderkey", "proposal", "k", "wp_title").agg(F.array_sort(F.collect_list(F.struct("n", told.alias("text")))).alias("x"))
     text = _text(F.when(F.col("k") == F.min("k").over(W.partitionBy("proposal")), "Work package description ").otherwise(""), "WP", F.col("k"), " Priority ", F.col("wp_title"), " Objectives: to deliver. ", F.array_join(F.transform("x", lambda x: x["text"]), " "))
     return each.select("proposal", (F.col("k") - 1).cast("int").alias("page_idx"), text.alias("text"))
 

@@ -49,3 +49,19 @@ def test_month_tokens_of_a_row(spark):
     cells = ["", "M3", "12", "Μ 100", "m07 ", "x5", "M99999999999", "-1"]
     rows = spark.createDataFrame([(cells,)], "row array<string>").select(S.month_tokens(F.transform("row", S.clean)).alias("tokens"))
     assert rows.first().tokens == ["M03", "M12", "M100", "M07"]
+
+
+def test_texts_of_sections_are_read_once(spark):
+    for name in ("sections_found", "tasks_from_prose"):
+        found = plans.queries()[name](spark, SF)
+        assert python_steps(found) == 1, name
+        assert not any("regexp_replace" in x for x in filters(found)), name
+
+
+def test_pages_need_one_look_at_the_orders(spark):
+    assert plan(plans.queries()["tasks_from_prose"](spark, SF)).count("Join Inner") == 1
+
+
+def test_headings_are_read_once(spark):
+    found = plans.queries()["heading_forms"](spark, SF)
+    assert not any("regexp" in x for x in filters(found))
