@@ -108,8 +108,11 @@ def effort_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, a, b, c = (F.col(x) for x in "kabc")
     down = by.withColumn("row", _choice(F.col("form"), {0: _row(_text("WP", k), a, _half(b), c), 1: _row(a, b, c, a + b + c), 3: _row(a, b)}))
     heads = _choice(F.col("form"), {0: _rows([EFFORT_HEADER]), 1: _rows([["AB", "CD", "EF", "Total"]]), 3: _rows([["AB", "EF"]])})
-    across = by.filter("form = 2").groupBy("proposal").agg(F.array_sort(F.collect_list(F.struct("k", F.when((k % 4 == 0), "").otherwise(b.cast("string")).alias("v")))).alias("x"))
-    on_top = F.array(F.concat(_row(""), F.transform("x", lambda x: _text("WP", x["k"]))), F.concat(_row("10/CD"), F.transform("x", lambda x: x["v"])))
+    across = by.filter("form = 2").groupBy("proposal").agg(F.array_sort(F.collect_list(F.struct("k", b.cast("string").alias("b")))).alias("x"))
+    # A cell is empty if the one before it isn't; orders without line items may leave two such packages side by side.
+    before = lambda i: F.get("x", i - 1)
+    cells = F.transform("x", lambda x, i: F.when(x["k"] % 4 != 0, x["b"]).when(before(i)["k"] % 4 == 0, before(i)["b"]).otherwise(""))
+    on_top = F.array(F.concat(_row(""), F.transform("x", lambda x: _text("WP", x["k"]))), F.concat(_row("10/CD"), cells))
     found = _gathered(down.filter("form <> 2"), ["proposal", "form"], "k", heads).drop("form").unionByName(across.select("proposal", F.lit(0).alias("page_idx"), F.lit(0).alias("table_idx"), on_top.alias("rows")))
     expected = by.filter((F.col("form") == 1) & (k % 3 != 0)).select("proposal", _text("WP", k).alias("wp_id"))
     return tables.effort_matrix(found, "CD", expected)
