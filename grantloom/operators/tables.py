@@ -58,7 +58,7 @@ def cleaned(tables: DataFrame) -> DataFrame:
 
 def worth_classifying(tables: DataFrame) -> DataFrame:
     """Tables of two rows or more of which one has three filled cells; others never come to a label."""
-    return tables.filter(F.coalesce(S.usable_table(F.col("rows")), F.lit(False)))
+    return S.only(tables, F.coalesce(S.usable_table(F.col("rows")), F.lit(False)))
 
 
 def classified(tables: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def with_fallback_label(tables: DataFrame, label_of) -> DataFrame:
 
     Two branches and a union, as Catalyst doesn't promise to leave an expensive function out of a coalesce()."""
     ruled = classified(tables)
-    sure = ruled.filter(F.col("label").isNotNull()).withColumn("label_source", F.lit("rules"))
-    asked = label_of(ruled.filter(F.col("label").isNull()).drop("label")).withColumn("label_source", F.lit("model"))
+    sure = S.only(ruled, F.col("label").isNotNull()).withColumn("label_source", F.lit("rules"))
+    asked = label_of(S.only(ruled, F.col("label").isNull()).drop("label")).withColumn("label_source", F.lit("model"))
     return sure.unionByName(asked.withColumn("label", F.coalesce("label", F.lit("other"))))
 
 
@@ -183,7 +183,7 @@ def picked(labelled: DataFrame, reach: int = 3) -> DataFrame:
     one by a model, then the earliest), and all deliverable lists."""
     by = W.partitionBy("proposal", "label")
     order = by.orderBy((F.col("label_source") != "rules").cast("int"), "page_idx", "table_idx")
-    rows = labelled.filter(F.col("label") != "other").withColumns({"first": F.min("page_idx").over(by), "rank": F.row_number().over(order)})
+    rows = S.only(labelled, F.col("label") != "other").withColumns({"first": F.min("page_idx").over(by), "rank": F.row_number().over(order)})
     keep = ((F.col("label") == "wp_list") & (F.col("page_idx") - F.col("first") <= reach)) | ((F.col("label") == "effort") & (F.col("rank") == 1)) | (F.col("label") == "deliverable")
     return rows.filter(keep).drop("first", "rank")
 

@@ -55,7 +55,7 @@ def stage1(raw_tables: DataFrame, company: str, label_of=None, strict: bool = Fa
     a page that has a list of them, whatever their labels. keep: what to do with tables that have their label, of which all that follows is made (files.saved)."""
     every, raw_tables = raw_tables, tables.worth_classifying(raw_tables)
     labelled = tables.classified(raw_tables).withColumn("label_source", F.lit("rules")) if label_of is None else tables.with_fallback_label(raw_tables, label_of)
-    kept = keep(tables.picked(labelled.filter(F.col("label").isNotNull())))
+    kept = keep(tables.picked(labelled))  # none without a label is among these
     of = lambda label: kept.filter(F.col("label") == label)
     info = tables.work_package_list(tables.joined_fragments(of("wp_list")), strict)
     effort = tables.effort_matrix(of("effort"), company, info.select("proposal", "wp_id"))

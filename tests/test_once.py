@@ -6,6 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from grantloom.functions import scalars as S
+from grantloom.operators import tables
 from grantloom.plans import queries as plans
 
 
@@ -65,3 +66,15 @@ def test_pages_need_one_look_at_the_orders(spark):
 def test_headings_are_read_once(spark):
     found = plans.queries()["heading_forms"](spark, SF)
     assert not any("regexp" in x for x in filters(found))
+
+
+_RAW = [("p", 0, 0, [["WP", "WP Title", "Leader", "PMs", "Start", "End"], ["WP1", "Plan", "AB", "2", "M1", "M3"], ["WP2", "Tool", "CD", "3", "M1", "M3"]])]
+_SCHEMA = "proposal string, page_idx int, table_idx int, rows array<array<string>>"
+
+
+def test_labels_are_made_once(spark):
+    raw = spark.createDataFrame(_RAW, _SCHEMA)
+    ruled = tables.classified(tables.worth_classifying(raw)).withColumn("label_source", F.lit("rules"))
+    found = tables.picked(ruled)
+    assert [r.label for r in found.collect()] == ["wp_list"]
+    assert not any("RLIKE" in x or "regexp" in x for x in filters(found))
