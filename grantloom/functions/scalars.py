@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from grantloom.functions.patterns import DASH, NUMBER, begins, either, loose
 
@@ -30,26 +31,29 @@ def _nfkc(text: pa.Array) -> pa.Array:
     return pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
-@arrow_udf(ArrayType(ArrayType(StringType())))
-def _nfkc_rows(rows: pa.Array) -> pa.Array:
+@arrow_udf(StringType())
+def _nfkc_cells(rows: pa.Array) -> pa.Array:
+    # Tables come as JSON: of nested lists, null or not, Spark asks the size of the whole batch with each row.
     one = lambda cell: cell if cell is None else unicodedata.normalize("NFKC", cell)
-    return pa.array([x if x is None else [r if r is None else list(map(one, r)) for r in x] for x in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+    return pa.array([x if x is None else json.dumps([r if r is None else list(map(one, r)) for r in json.loads(x)]) for x in rows.to_pylist()], pa.string())
 
 
-def _may_change(text: Column) -> Column:
+def may_change(text: Column) -> Column:
     """Text in ASCII, which has as many bytes as characters, isn't searched."""
     return (F.octet_length(text) != F.length(text)) & text.rlike(_MAY_CHANGE)
 
 
 def compatible(text: Column) -> Column:
     """Unicode's compatibility form, the one thing here that Spark has no function for; only text that it may change leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(_may_change(text), text)), text)
+    return F.coalesce(_nfkc(F.when(may_change(text), text)), text)
 
 
-def compatible_rows(rows: Column) -> Column:
-    """The same of a table's cells."""
-    beyond = F.exists(rows, lambda r: F.exists(r, lambda c: _may_change(F.coalesce(c, F.lit("")))))
-    return F.coalesce(_nfkc_rows(F.when(beyond, rows)), rows)
+def compatible_rows(rows: Column, beyond: Column | None = None) -> Column:
+    """The same of a table's cells. beyond: whether the form may change one of them, where that is known already."""
+    if beyond is None:
+        beyond = F.exists(rows, lambda r: F.exists(r, lambda c: may_change(F.coalesce(c, F.lit("")))))
+    changed = _nfkc_cells(F.when(beyond, F.to_json(rows)))
+    return F.coalesce(F.from_json(changed, "array<array<string>>"), rows)
 
 
 def clean(text: Column) -> Column:
@@ -80,7 +84,12 @@ def month_number(token: Column) -> Column:
 
 def month_token(value: Column) -> Column:
     """M and at least two digits, for an optional M (Latin or Greek) and digits; else empty."""
-    digits = _month_digits(clean(value))
+    return clean_month_token(clean(value))
+
+
+def clean_month_token(cell: Column) -> Column:
+    """The same of a cell that is cleaned."""
+    digits = _month_digits(cell)
     return F.when(digits == "", _MISSING).otherwise(m_token(digits.try_cast("int")))
 
 

@@ -48,9 +48,24 @@ def _numbered(rows: str) -> Column:
     return F.posexplode(F.when(F.size(rows) > 0, F.col(rows)))
 
 
+#: White space but the space, up to ASCII and whole; a tab stands for a null cell.
+_ASCII_BLANK, _BLANK = r"[\t-\r]", r"[\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def _untidy(text: Column) -> Column:
+    """Whether S.clean() may change one of the cells that are joined by bars here."""
+    blank = F.when(F.octet_length(text) == F.length(text), text.rlike(_ASCII_BLANK)).otherwise(text.rlike(_BLANK))
+    return _any_in(text, "  ", " |", "| ") | text.startswith(" ") | text.endswith(" ") | blank
+
+
 def cleaned(tables: DataFrame) -> DataFrame:
-    """Rows without cells go, and all cells are cleaned."""
-    return tables.withColumn("rows", S.compatible_rows(F.col("rows"))).withColumn("rows", F.transform(F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.size(r) > 0), lambda r: F.transform(r, S.clean)))
+    """Rows without cells go, and all cells are cleaned. A table is searched as one text first: where that has nothing to clean,
+    its cells stay as they are."""
+    t = tables.withColumn("_text", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|", "\t")), "|"))
+    t = t.withColumns({"_beyond": S.may_change(F.col("_text")), "_untidy": _untidy(F.col("_text"))})
+    t = t.withColumn("rows", S.compatible_rows(F.col("rows"), F.col("_beyond")))
+    filled = F.filter(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.size(r) > 0)
+    return t.withColumn("rows", F.when(F.col("_beyond") | F.col("_untidy"), F.transform(filled, lambda r: F.transform(r, S.clean))).otherwise(filled)).drop("_text", "_beyond", "_untidy")
 
 
 # ---------------------------------------------------------------- classification
@@ -61,62 +76,69 @@ def worth_classifying(tables: DataFrame) -> DataFrame:
     return S.only(tables, F.coalesce(S.usable_table(F.col("rows")), F.lit(False)))
 
 
+def _merged(top: Column, second: Column) -> Column:
+    """The cells of the first two rows, column by column."""
+    cells = lambda row: F.when(row != "", F.split(F.substring(row, F.lit(2), F.length(row)), "\t")).otherwise(_none())
+    return F.zip_with(cells(top), cells(second), lambda a, b: F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))
+
+
 def classified(tables: DataFrame) -> DataFrame:
-    """Adds label: wp_list, effort, deliverable, other, or null where no rule is sure. The first rule that holds decides."""
+    """Adds label: wp_list, effort, deliverable, other, or null where no rule is sure. The first rule that holds decides.
+
+    A table is searched as one text in upper case, of a line break before each row and tabs between its cells (clean cells have
+    neither, and no white space but single spaces), so that no rule goes through the cells one by one."""
     t = cleaned(tables.withColumnRenamed("rows", "raw").withColumn("rows", F.col("raw")))
-    t = t.withColumns({
-        "u_rows": F.transform("rows", lambda r: F.transform(r, F.upper)),  # the cells are cleaned
-        "merged": S.merged_header(F.col("rows")),
-    })
-    t = t.withColumns({
-        "cells": F.filter(F.flatten("u_rows"), lambda c: c != ""),
-        "top": F.filter(F.coalesce(F.get("u_rows", F.lit(0)), _none()), lambda c: c != ""),
-        "col0": F.filter(F.transform("u_rows", lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))), lambda c: c != ""),
-        "head": F.array_join("merged", " | "),
-        "lines": F.transform("u_rows", lambda r: F.struct(F.coalesce(F.get(r, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.filter(r, lambda c: c != ""), " | ").alias("text"))),
-        "body": F.slice("u_rows", 3, F.greatest(F.size("u_rows"), F.lit(1))),
-    })
-    t = t.withColumns({
-        "body0": F.filter(F.transform("body", lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))), lambda c: c != ""),
-        "ids": F.size(F.filter("col0", lambda c: c.rlike(r"^D[0-9]+\.[0-9]+\b") & (F.length(c) <= 12))),
-        "wp_rows": F.size(F.filter(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: x["text"].rlike(r"\bWP\s*[0-9]+\b") | x["first"].rlike("^[0-9]{1,2}$"))),
-        "continued": F.size(F.filter("lines", lambda x: x["first"].rlike(r"^(?:[0-9]{1,2}|WP\s*[0-9]+)$") & (F.regexp_count(x["text"], F.lit(r"\bM[0-9]{1,2}\b")) >= 2))),
-        "codes": F.exists("cells", lambda c: c.isin("PU", "CO", "SEN", "RE")),
-        "due": F.exists("cells", lambda c: c.rlike(r"\bM[0-9]+\b")),
-        "number_rows": F.size(F.filter("body", _mostly_numbers)),
-    })
-    acronym = r"^[A-Z][A-Z&\-]{1,6}$"
-    head, merged = F.col("head"), F.col("merged")
+    joined = F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n")
+    t = t.select("*", F.when(F.size("rows") > 0, F.concat(F.lit("\n"), joined)).otherwise("").alias("text"), F.size("rows").alias("n")).drop("rows")
+    rest = lambda text, begin: F.substring(text, F.length(begin) + 1, F.length(text))
+    t = t.withColumn("upper", F.upper("text"))
+    upper, n = F.col("upper"), F.col("n")
+    t = t.withColumn("top", F.substring_index(upper, "\n", 2))
+    top = F.col("top")
+    t = t.withColumn("below", rest(upper, top))
+    below, second = F.col("below"), F.substring_index("below", "\n", 2)
+    t = t.withColumn("merged", _merged(top, second))
+    t = t.withColumn("head", F.array_join("merged", " | "))
+    head, merged, body = F.col("head"), F.col("merged"), rest(below, second)
+    # A pattern begins with a character that few places have, and what must stand before that is looked at behind it.
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
+    last, month = r"(?![^\t\n])", r"M(?<=\bM)"  # a cell's end
+    acronym = r"[A-Z][A-Z&\-]{1,6}"
+    ids = count(upper, rf"\nD(?=[^\t\n]{{0,11}}{last})[0-9]+\.[0-9]+\b")
+    wp_rows = count(below, rf"\n(?:[0-9]{{1,2}}{last}|[^\n]*?WP(?<=\bWP) *[0-9]+\b)")
+    continued = count(upper, rf"\n(?:[0-9]{{1,2}}|WP *[0-9]+){last}[^\n]*?{month}[0-9]{{1,2}}\b[^\n]*?{month}[0-9]{{1,2}}\b")
+    codes = upper.rlike(rf"[\t\n](?:PU|CO|SEN|RE){last}")
+    due = upper.rlike(rf"{month}[0-9]+\b")
+    number_rows = F.size(F.filter(F.split(body, "\n"), _mostly_numbers))
     pm_header = F.exists(merged, lambda c: _any_in(c, "PERSON", "PM", "MONTH"))
-    acronyms = F.size(F.filter(merged, lambda c: _any_in(c, "TOTAL", "PM") | c.rlike(acronym)))
-    partners0 = F.size(F.filter("body0", lambda c: c.rlike(acronym) & ~c.rlike(r"^WP\s*[0-9]+$"))) >= 3
-    wps0 = F.size(F.filter("body0", lambda c: c.rlike(r"^WP\s*[0-9]+$"))) >= 2
-    wps_on_top = F.size(F.filter("top", lambda c: c.rlike(r"^WP\s*[0-9]+$"))) >= 3
+    acronyms = F.size(F.filter(merged, lambda c: _any_in(c, "TOTAL", "PM") | c.rlike(rf"^{acronym}$")))
+    partners0 = count(body, rf"\n{acronym}{last}") >= 3
+    wps0 = count(body, rf"\nWP *[0-9]+{last}") >= 2
+    wps_on_top = count(top, rf"[\t\n]WP *[0-9]+{last}") >= 3
     wordy = F.exists(merged, lambda c: F.size(F.split(c, " ")) >= 4)
     summary = _any_in(head, "WORK PACKAGE TITLE", "WP TITLE") | (_any_in(head, "START") & _any_in(head, "END") & _any_in(head, "LEAD"))
-    numbers = F.col("number_rows") >= 2
     shaped = pm_header | (acronyms >= F.greatest(F.lit(4), F.floor(F.size(merged) / 2))) | (partners0 & wps0) | wps_on_top
-    effort = (F.size("rows") >= 3) & ~summary & numbers & ((~wordy & shaped) | pm_header)
+    effort = (n >= 3) & ~summary & ((~wordy & shaped) | pm_header) & (number_rows >= 2)
     titled = _any_in(head, "WP TITLE", "WORK PACKAGE TITLE", "WORKPACKAGE TITLE") & _any_in(head, "LEAD", "SHORT NAME") & _any_in(head, "START") & _any_in(head, "END")
     label = (
-        F.when(F.size("rows") == 0, None)
-        .when((F.coalesce(F.array_max(F.transform(F.flatten("rows"), F.length)), F.lit(0)) > 400) & ~F.exists("col0", lambda c: c.rlike(r"^D[0-9]+\.[0-9]+")), "other")
-        .when(F.exists("cells", lambda c: c.rlike(r"\bMS[0-9]+\b")), "other")
-        .when(_any_in(F.array_join("top", " | "), "MILESTONE") | _any_in(head, "MEANS OF VERIFICATION"), "other")
-        .when(F.exists("top", lambda c: _any_in(c, "WP NUMBER")), "other")
-        .when(titled & (F.col("wp_rows") >= 2), "wp_list")
-        .when(F.col("continued") >= 2, "wp_list")
-        .when(_any_in(head, "DELIV", "DEL.", "DISS", "TYPE") & ((F.col("ids") >= 2) | (F.col("codes") & F.col("due"))), "deliverable")
-        .when((F.col("ids") >= 2) & (F.col("codes") | F.col("due")), "deliverable")
+        F.when(n == 0, None)
+        .when(F.col("text").rlike(r"[\t\n][^\t\n]{401}") & ~upper.rlike(r"\nD[0-9]+\.[0-9]+"), "other")
+        .when(upper.rlike(r"MS(?<=\bMS)[0-9]+\b"), "other")
+        .when(_any_in(top, "MILESTONE") | _any_in(head, "MEANS OF VERIFICATION"), "other")
+        .when(_any_in(top, "WP NUMBER"), "other")
+        .when(titled & (wp_rows >= 2), "wp_list")
+        .when(continued >= 2, "wp_list")
+        .when(_any_in(head, "DELIV", "DEL.", "DISS", "TYPE") & ((codes & due) | (ids >= 2)), "deliverable")
+        .when((codes | due) & (ids >= 2), "deliverable")
         .when(effort, "effort")
     )
     return t.select(*[c for c in tables.columns if c != "rows"], F.col("raw").alias("rows"), label.alias("label"))
 
 
 def _mostly_numbers(row: Column) -> Column:
-    filled = F.filter(row, lambda c: c != "")
-    numeric = F.size(F.filter(filled, lambda c: c.rlike(r"^[0-9]+(?:\.[0-9]+)?$") | c.rlike(r"^[0-9]+\s+[0-9]+(?:\.[0-9]+)?$")))
-    return (F.size(filled) > 0) & (numeric >= F.greatest(F.lit(2), F.floor(F.size(filled) / 3)))
+    """Of a row as text: two cells or more, and a third of the filled ones, are a number (or two)."""
+    numeric = F.regexp_count(row, F.lit(r"(?<![^\t])[0-9]+(?: [0-9]+)?(?:\.[0-9]+)?(?![^\t])"))
+    return (numeric >= 2) & (numeric >= F.floor(F.regexp_count(row, F.lit(r"[^\t]+")) / 3))
 
 
 def with_fallback_label(tables: DataFrame, label_of) -> DataFrame:
@@ -190,7 +212,7 @@ def picked(labelled: DataFrame, reach: int = 3) -> DataFrame:
 
 def joined_fragments(tables: DataFrame) -> DataFrame:
     """A proposal's fragments as one table, in page order; a proposal's own pages bound its size."""
-    parts = F.array_sort(F.collect_list(F.struct("page_idx", "table_idx", "rows")))
+    parts = F.sort_array(F.collect_list(F.struct("page_idx", "table_idx", "rows")))
     return tables.groupBy("proposal").agg(F.flatten(F.transform(parts, lambda x: x["rows"])).alias("rows"))
 
 

@@ -37,9 +37,11 @@ def _choice(of: Column, by: dict[int, Column]) -> Column:
     return F.coalesce(*[F.when(of == k, v) for k, v in by.items()])
 
 
-def _gathered(rows: DataFrame, keys: list[str], order: str, head: Column) -> DataFrame:
-    """A table for each key: its head and its rows in order; an order's or a customer's own rows bound it."""
-    body = F.transform(F.array_sort(F.collect_list(F.struct(order, "row"))), lambda x: x["row"])
+def _gathered(rows: DataFrame, keys: list[str], order: str, head: Column, several: bool = False) -> DataFrame:
+    """A table for each key: its head and its rows in order; an order's or a customer's own rows bound it. several: row is
+    an array of rows."""
+    body = F.transform(F.sort_array(F.collect_list(F.struct(order, "row"))), lambda x: x["row"])
+    body = F.flatten(body) if several else body
     grouped = rows.groupBy(*keys).agg(body.alias("body"))
     return grouped.select(F.col(keys[0]).alias("proposal"), F.lit(0).alias("page_idx"), F.lit(0).alias("table_idx"), F.concat(head, "body").alias("rows"), *keys[1:])
 
@@ -54,16 +56,17 @@ def _half(x: Column) -> Column:
 def table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for each order, three rows for a line item, of nine kinds."""
     kind = (F.col("o_orderkey") % 9).cast("int")
-    line = P.lines(spark, sf_dir).select("o_orderkey", "k", "l_partkey", F.explode(F.sequence(3 * F.col("n"), 3 * F.col("n") + 2)).alias("i")).withColumn("kind", kind)
-    i = F.col("i")
-    row = _choice(F.col("kind"), {
+    line = P.lines(spark, sf_dir).select("o_orderkey", "k", "l_partkey", "n", kind.alias("kind"))
+    of = lambda i: {
         0: _row(_text("WP", i), _text("Part ", F.col("l_partkey")), "AB", i, "M1", "M36"), 1: _row(i % 90, "Third of them", "M1", "M18"), 2: _row(_text("WP", i), i, i + 1, 2 * i + 1),
         3: _row(_text("WP", i), _half(i), _half(i + 1), _half(2 * i)), 4: _row(_text(i, "/CD"), "1", "", i, "5"), 5: _row(_text("D", F.col("k"), ".", i), "Plan", "R", "M6"),
         6: _row(F.rpad(F.lit("x"), 401, "x"), i), 7: _row(_text("MS", i), "M6"), 8: _row("alpha", "beta"),
-    })
+    }
+    # Within transform() the kinds aren't written out into one method, which would be too long for the JVM to compile.
+    row = F.transform(F.sequence(3 * F.col("n"), 3 * F.col("n") + 2), lambda i: _choice(F.col("kind"), of(i)))
     heads = {0: [WP_HEADER], 2: [EFFORT_HEADER], 3: [EFFORT_HEADER], 4: [["", "WP1", "WP2", "WP3", "Total"]], 5: [["No", "Deliverable name", "Type", "Due"]], 7: [["Milestone", "Due"]]}
     head = F.coalesce(_choice(F.col("kind"), {k: _rows(v) for k, v in heads.items()}), F.array().cast("array<array<string>>"))
-    return tables.classified(_gathered(line.withColumn("row", row), ["o_orderkey", "kind"], "i", head)).select("proposal", "label")
+    return tables.classified(_gathered(line.withColumn("row", row), ["o_orderkey", "kind"], "n", head, several=True)).select("proposal", "label")
 
 
 def _work_package_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

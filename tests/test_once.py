@@ -78,3 +78,25 @@ def test_labels_are_made_once(spark):
     found = tables.picked(ruled)
     assert [r.label for r in found.collect()] == ["wp_list"]
     assert not any("RLIKE" in x or "regexp" in x for x in filters(found))
+
+
+def test_no_rule_goes_through_the_cells_of_a_table(spark):
+    for name in ("table_rules", "tables_classified"):
+        found = plan(plans.queries()[name](spark, SF)).split("Aggregate")[0]
+        assert found.count("RLIKE(lambda") <= 1 and "array_sort" not in plan(plans.queries()[name](spark, SF)), name  # the header's acronyms
+
+
+def test_tables_beyond_ascii_or_with_untidy_cells_are_cleaned(spark):
+    odd = [[" a", "b  c", None, "d\te"], None, [], ["ﬁ", "x　y"]]
+    tidy = [["a b", ""], ["é", "a|b"]]
+    rows = spark.createDataFrame([(1, odd), (2, tidy), (3, None), (4, [["a"], ["b", None]]), (5, [["①", "a | b"]]), (6, [["\u0085"]])], "k int, rows array<array<string>>")
+    got = {r.k: r.rows for r in tables.cleaned(rows).collect()}
+    assert got == {1: [["a", "b c", "", "d e"], ["fi", "x y"]], 2: tidy, 3: [], 4: [["a"], ["b", ""]], 5: [["1", "a | b"]], 6: [[""]]}
+    assert python_steps(tables.cleaned(rows)) == 1
+
+
+def test_a_rule_stays_within_a_cell(spark):
+    head = ["", "AB", "CD", "Total PM"]
+    cells = {1: [head, ["WP", "1", "2", "3"], ["x", "4", "5"]], 2: [head, ["1 2", "3", "x"], ["y", "2", "3"], ["z", "2", "3"]], 3: [["D", "1.1", "PU", "M3"], ["D", "1.2", "PU"]], 4: [["x" * 400, "y"]], 5: [["x" * 401]], 6: [["aMS1", "MS"]], 7: [["1", "M1", "M2"], ["WP 2", "M1 M2"]], 8: [["D1.1", "PU"], ["D1.2 and more", "SEN"]]}
+    found = tables.classified(spark.createDataFrame([(k, 0, 0, v) for k, v in cells.items()], "proposal int, page_idx int, table_idx int, rows array<array<string>>"))
+    assert {r.proposal: r.label for r in found.collect()} == {1: None, 2: "effort", 3: None, 4: None, 5: "other", 6: None, 7: "wp_list", 8: None}
