@@ -36,7 +36,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = lambda by: F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in by.items()])
     line = P.lines(spark, sf_dir).withColumn("kind", (F.col("o_orderkey") % 4).cast("int"))
     rows = line.select("o_orderkey", "kind", F.struct("n", choice(cells).alias("row")).alias("x"))
-    body = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"])  # an order's line items
+    body = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["row"])  # an order's line items
     header = choice({k: F.array(*map(F.lit, h)) for k, h in HEADERS.items()})
     grouped = rows.groupBy("o_orderkey", "kind").agg(body.alias("body"))
     return grouped.select(F.col("o_orderkey").alias("proposal"), F.lit(0).alias("page_idx"), F.lit(0).alias("table_idx"), F.concat(F.array(header), "body").alias("rows"), "kind")
@@ -46,7 +46,7 @@ def effort_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix for each customer: a row per order, with what its line items number, sum up to and are worth at most."""
     by = P.lines(spark, sf_dir).groupBy("proposal", "k").agg(F.count("*").alias("a"), F.floor(F.sum("l_quantity")).alias("b"), F.floor(F.max("l_quantity")).alias("c"))
     row = F.struct("k", F.array(_text("WP", F.col("k")), *[F.col(x).cast("string") for x in "abc"], (F.col("a") + F.col("b") + F.col("c")).cast("string")).alias("row"))
-    body = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"])  # a customer's orders
+    body = F.transform(F.sort_array(F.collect_list(row)), lambda x: x["row"])  # a customer's orders
     return by.groupBy("proposal").agg(body.alias("body")).select("proposal", F.lit(0).alias("page_idx"), F.lit(0).alias("table_idx"), F.concat(F.array(F.array(*map(F.lit, ["", "AB", "CD", "EF", "Total"]))), "body").alias("rows"))
 
 
@@ -55,7 +55,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = P.tasks(spark, sf_dir, more=("o_orderkey", "wp_title"))
     number = lambda c: F.ltrim(F.substring(c, 2, 9), F.lit("0"))
     told = _text(F.col("id"), " ", F.col("title"), " (", F.array_join("partners", ", "), " | M", number(F.col("start_month")), "-M", number(F.col("end_month")), ") ", F.col("description"), ".")
-    each = task.groupBy("o_orderkey", "proposal", "k", "wp_title").agg(F.array_sort(F.collect_list(F.struct("n", told.alias("text")))).alias("x"))
+    each = task.groupBy("o_orderkey", "proposal", "k", "wp_title").agg(F.sort_array(F.collect_list(F.struct("n", told.alias("text")))).alias("x"))
     text = _text(F.when(F.col("k") == F.min("k").over(W.partitionBy("proposal")), "Work package description ").otherwise(""), "WP", F.col("k"), " Priority ", F.col("wp_title"), " Objectives: to deliver. ", F.array_join(F.transform("x", lambda x: x["text"]), " "))
     return each.select("proposal", (F.col("k") - 1).cast("int").alias("page_idx"), text.alias("text"))
 
