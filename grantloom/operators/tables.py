@@ -241,22 +241,27 @@ def work_package_list(tables: DataFrame, strict: bool = False) -> DataFrame:
     rows = t.select("proposal", "c_wp", "c_title", "c_leader", "c_pm", "c_start", "c_end", "skip", _numbered("rows").alias("pos", "row")).filter((F.col("pos") >= F.col("skip")) & F.exists("row", lambda c: c != ""))
     at = lambda c: F.coalesce(F.get("row", F.col(c)), F.lit(""))
     number, row = r"[0-9]+[.,]?[0-9]*", F.col("row")
-    named = lambda text: F.regexp_extract(text, r"(?i)\bWP\s*([0-9]+)\b", 1)
+    named = lambda text: F.regexp_extract(text, r"(?i)W(?<=\bW)P *([0-9]+)\b", 1)
+    rows = rows.withColumn("text", F.concat(F.lit("\t"), F.array_join("row", "\t")))  # clean cells have no tabs
     rows = rows.withColumns({
-        "id": F.coalesce(F.nullif(named(at("c_wp")), F.lit("")), F.nullif(named(F.array_join("row", " | ")), F.lit("")), F.nullif(_first(row, _whole("[0-9]{1,2}")), F.lit(""))),
-        "numbers": F.filter("row", _whole(number)),
-        "tokens": S.month_tokens(row),
-        "title0": at("c_title"), "leader0": at("c_leader"), "pm0": at("c_pm"), "start0": S.month_token(at("c_start")), "end0": S.month_token(at("c_end")),
+        "id": F.coalesce(F.nullif(named(at("c_wp")), F.lit("")), F.nullif(named(F.col("text")), F.lit("")), F.nullif(F.regexp_extract("text", r"\t([0-9]{1,2})(?![^\t])", 1), F.lit(""))),
+        "title0": at("c_title"), "leader0": at("c_leader"), "pm0": at("c_pm"), "start0": S.clean_month_token(at("c_start")), "end0": S.clean_month_token(at("c_end")),
     })
     rows = S.only(rows, F.col("id").isNotNull())
+    # What only rows without a value in its column need is made for these alone.
+    sure = F.col("pm0").rlike(f"^{number}$")
+    rows = rows.withColumns({
+        "numbers": F.when(~sure, F.regexp_extract_all("text", F.lit(rf"\t({number})(?![^\t])"), F.lit(1))),
+        "tokens": F.when((F.col("start0") == "") | (F.col("end0") == ""), S.month_tokens(row)),
+    })
     long_text = _first(row, lambda c: (F.length(c) > 6) & ~_whole(rf"WP\s*[0-9]+|{number}|M?[0-9]+")(c) & ~c.rlike(r"^[A-Z][A-Z0-9&\-]{1,9}$"))
     word = _first(row, lambda c: _whole(r"[A-Z]+(?:[&\-][A-Z]+)*")(c) & ~_whole(r"WP\s*[0-9]+")(c))
     n = F.size("numbers")
     decimal = _first(F.col("numbers"), lambda c: c.rlike("[.,]"))
     guessed = F.when(decimal != "", decimal).when(n >= 3, F.get("numbers", n - 3)).when(n > 0, F.get("numbers", n - 1)).otherwise("")
-    pm = F.when(F.col("pm0").rlike(f"^{number}$"), F.col("pm0")).otherwise(guessed)
+    pm = F.when(F.col("numbers").isNull(), F.col("pm0")).otherwise(guessed)
     k = F.size("tokens")
-    lost = ((F.col("start0") == "") | (F.col("end0") == "")) & (k >= 2)
+    lost = F.coalesce(k >= 2, F.lit(False)) & F.col("tokens").isNotNull()
     typed = rows.select(
         "proposal", F.concat(F.lit("WP"), "id").alias("wp_id"), "pos",
         F.when((F.col("title0") == "") | _whole(r"WP\s*[0-9]+")(F.col("title0")), long_text).otherwise(F.col("title0")).alias("title"),

@@ -100,3 +100,11 @@ def test_a_rule_stays_within_a_cell(spark):
     cells = {1: [head, ["WP", "1", "2", "3"], ["x", "4", "5"]], 2: [head, ["1 2", "3", "x"], ["y", "2", "3"], ["z", "2", "3"]], 3: [["D", "1.1", "PU", "M3"], ["D", "1.2", "PU"]], 4: [["x" * 400, "y"]], 5: [["x" * 401]], 6: [["aMS1", "MS"]], 7: [["1", "M1", "M2"], ["WP 2", "M1 M2"]], 8: [["D1.1", "PU"], ["D1.2 and more", "SEN"]]}
     found = tables.classified(spark.createDataFrame([(k, 0, 0, v) for k, v in cells.items()], "proposal int, page_idx int, table_idx int, rows array<array<string>>"))
     assert {r.proposal: r.label for r in found.collect()} == {1: None, 2: "effort", 3: None, 4: None, 5: "other", 6: None, 7: "wp_list", 8: None}
+
+
+def test_tokens_and_numbers_of_a_row_are_made_where_its_columns_lack_them(spark):
+    found = plan(tables.work_package_list(spark.createDataFrame(_RAW, _SCHEMA)))
+    assert "THEN regexp_extract_all" in found and "lambdafunction(RLIKE(lambda c" not in found
+    rows = [["WP", "WP Title", "Leader", "PMs", "Start", "End"], ["3", "Long title", "AB", "x", "", "", "7", "2,5", "M4", "M12"], ["WP 4", "Other", "AB", "6", "M1", "M2"], ["x", "y"]]
+    got = tables.work_package_list(spark.createDataFrame([("p", 0, 0, rows)], _SCHEMA)).orderBy("wp_id").collect()
+    assert [(r.wp_id, r.pms, r.start, r.end) for r in got] == [("WP3", 2.5, "M04", "M12"), ("WP4", 6.0, "M01", "M02")]
