@@ -108,3 +108,8 @@ def test_tokens_and_numbers_of_a_row_are_made_where_its_columns_lack_them(spark)
     rows = [["WP", "WP Title", "Leader", "PMs", "Start", "End"], ["3", "Long title", "AB", "x", "", "", "7", "2,5", "M4", "M12"], ["WP 4", "Other", "AB", "6", "M1", "M2"], ["x", "y"]]
     got = tables.work_package_list(spark.createDataFrame([("p", 0, 0, rows)], _SCHEMA)).orderBy("wp_id").collect()
     assert [(r.wp_id, r.pms, r.start, r.end) for r in got] == [("WP3", 2.5, "M04", "M12"), ("WP4", 6.0, "M01", "M02")]
+
+
+def test_rows_of_deliverables_are_sorted_natively(spark):
+    found = plan(plans.queries()["deliverable_rows"](spark, SF))
+    assert "sort_array" in found and "array_sort" not in found and python_steps(plans.queries()["deliverable_rows"](spark, SF)) == 1
