@@ -413,6 +413,13 @@ def trained_scores(docs: DataFrame, learn: Column, mu: tuple[float, ...] = MU) -
     return numbers.mapInArrow(lambda batches: _score(batches, model), SCORED)
 
 
+def base_scores(docs: DataFrame, learn: Column) -> DataFrame:
+    """What trained_scores() gives besides score, which alone needs the levels from the second one on: the first is all
+    that is counted and written. Every text is split twice, to count its words and to look them up; no numbers are saved."""
+    texts = docs.filter(F.coalesce(learn, F.lit(False))).select(docs["text"].cast("string"))
+    return scored(docs, _words(texts, (), scratch(docs.sparkSession, "ngram"))).drop("score")
+
+
 def _trained(docs: DataFrame, learn: Column, mu: tuple[float, ...]) -> tuple[Model, DataFrame]:
     """The model, and the table of all documents' word numbers."""
     rows = docs.select(F.coalesce(learn, F.lit(False)).alias("learn"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

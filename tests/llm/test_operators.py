@@ -393,6 +393,21 @@ def test_ngram(docs, nothing, spark, order, monkeypatch):
     assert {r["score"] for r in ngram.scored(docs, blank).collect()} == {0.0}
 
 
+def test_base_scores_write_no_level_above_the_first(docs, nothing, spark, monkeypatch):
+    """They are those of the whole model, which would write and search levels for a score that nobody asked for."""
+    learn = F.col("doc_id") % 3 != 0
+    whole = sorted(map(repr, ngram.trained_scores(docs, learn).drop("score").collect()))
+
+    def level(*_):
+        raise AssertionError("a level above the first is written")
+
+    monkeypatch.setattr(ngram, "_level", level)
+    assert sorted(map(repr, ngram.base_scores(docs, learn).collect())) == whole
+    assert ngram.base_scores(nothing, learn).count() == 0
+    assert {r["base_score"] for r in ngram.base_scores(docs, F.lit(None).cast("boolean")).collect()} == {0.0}
+    assert queries.ngram_base_score(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 @pytest.mark.parametrize("n,top", [(1, 1), (1, 10**6), (700, 701), (700, 3000), (700, 10**6), (5000, 2**40), (64, 5000)])
 def test_elias_fano_against_a_sorted_array(n, top):
     """Places, neighbours and searches agree with numpy's, repeats and long gaps included."""
