@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import release, saved, texts_of
+from grantloom.llm.common import keeps, only, release, saved, texts_of
 
 #: Bytes of text that are aligned at a time, and those of a block.
 CHUNK, BLOCK = 1 << 20, 16 << 20
@@ -91,6 +91,7 @@ class Pair:
 
     @classmethod
     def at(cls, first: str, second: str) -> Pair:
+        only("pair")
         if (first, second) not in cls._made:
             cls._made[first, second] = cls(first, second)
         return cls._made[first, second]
@@ -161,6 +162,9 @@ class Pair:
         return [x[:3] for x in every]
 
 
+keeps("pair", Pair._made.clear)
+
+
 # ---------------------------------------------------------------- alignment of a chunk
 
 

@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -102,6 +102,30 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
+# ---------------------------------------------------------------- what workers keep
+
+#: How each kind of things that a worker keeps between tasks is let go of.
+_let_go: dict[str, Callable[[], None]] = {}
+_kept = {"kind": ""}
+
+
+def keeps(kind: str, let_go: Callable[[], None]) -> None:
+    """Names things that tasks leave in their worker for the next task. let_go: how they go."""
+    _let_go[kind] = let_go
+
+
+def only(kind: str) -> None:
+    """For the beginning of a task: its worker keeps one kind of things at a time. Spark uses a worker again in all of a run's
+    steps, and an executor's memory has to hold what its workers keep."""
+    if _kept["kind"] != kind:
+        _kept["kind"] = kind
+        for name, let_go in _let_go.items():
+            if name != kind:
+                let_go()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 
@@ -131,6 +155,7 @@ class _Digests(dict):
 
 _digests = _Digests()
 _powers = {}
+keeps("digests", lambda: (_digests.clear(), _powers.clear()))
 
 
 def powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, mix, release, saved, texts_of, word_hashes
+from grantloom.llm.common import drop_saved, mix, only, release, saved, texts_of, word_hashes
 
 BANDS, ROWS = 20, 4
 #: Members outside a family's largest component are compared in blocks of about BLOCK, with about CHUNK members at a time.
@@ -87,6 +87,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, node (a digest of the set; null without one), bands."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("digests")
         for batch in batches:
             sizes, nodes, bands = [], [], []
             for text in texts_of(batch.column(1)):
@@ -103,6 +104,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """node and items (the set) of each document that has one."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("digests")
         for batch in batches:
             nodes, sets = [], []
             for text in texts_of(batch.column(0)):
@@ -163,6 +165,7 @@ def _cross_links(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = members.unionByName(outer).join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
+        only("sets")
         outer, nodes, roots = table.column("outer").to_numpy(), table.column("node").to_pylist(), table.column("root").to_pylist()
         items = table.column("items").combine_chunks()
         ends, values = items.offsets.to_numpy(), items.values.to_numpy()

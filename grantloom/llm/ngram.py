@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.llm import files
-from grantloom.llm.common import release, saved, scratch, texts_of, word_hashes
+from grantloom.llm.common import only, release, saved, scratch, texts_of, word_hashes
 from grantloom.llm.elias_fano import EliasFano, read_arrays, write_arrays
 from grantloom.llm.tokens import in_groups
 
@@ -91,6 +91,7 @@ class _Counter:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     """Consecutive rows with about so many bytes: the batch, the first row and the hashes of each one's tokens."""
+    only("digests")
     for batch in batches:
         texts = texts_of(batch.column(column))
         for begin, to in in_groups(texts, most):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import drop_saved, hashes_of, list_folder, release, remove, run_hashes, saved, scratch, texts_of, words_of
+from grantloom.llm.common import drop_saved, hashes_of, list_folder, only, release, remove, run_hashes, saved, scratch, texts_of, words_of
 
 WINDOW, GRAM = 50, 25
 _GRAM_BASE = 0x9E3779B97F4A7C15
@@ -85,6 +85,7 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """One row per document: doc_id, n_words, whole_sha256 (of the words joined by a space), prints (distinct)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("digests")
         for batch in batches:
             counts, shas, found = [], [], []
             for text in texts_of(batch.column(1)):
@@ -101,6 +102,7 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """From doc_id, text, shared: the distinct digests (w1, w2) of each row's windows whose fingerprint is shared."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("digests")
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
@@ -127,6 +129,7 @@ def cut(texts: DataFrame, window: int, gram: int, with_text: bool = False) -> Da
     n_removed, kept_sha256 (and kept_text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("digests")
         for batch in batches:
             rows = []
             for text, shared, repeated in zip(texts_of(batch.column("text")), _lists(batch.column("shared")), _lists(batch.column("repeated")), strict=True):

@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from grantloom.llm.common import keeps, only
+
 #: Words kept by a worker; at about 200 bytes a word.
 CACHED_WORDS = 500_000
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -28,6 +30,7 @@ class WordTokenizer:
 
     @classmethod
     def at(cls, vocabulary: str) -> WordTokenizer:
+        only("tokens")
         if vocabulary not in cls._made:
             cls._made[vocabulary] = cls(vocabulary)
         return cls._made[vocabulary]
@@ -100,6 +103,9 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(get, x)), self.kind) for x in words]
 
 
+keeps("tokens", WordTokenizer._made.clear)
+
+
 def in_groups(texts: list[bytes], most: int = 2_000_000):
     """(from, to) of consecutive texts with about so many bytes, at least one text each."""
     begin, size = 0, 0

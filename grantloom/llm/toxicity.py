@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import texts_of
+from grantloom.llm.common import only, texts_of
 
 #: Labelled documents used for fitting, toxic ones and ordinary ones, and words of each.
 SAMPLE, SAMPLE_WORDS = (2000, 6000), 2000
@@ -213,6 +213,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("windows")
         distances = Distances(model) if model.weights else None
         weights = np.array(model.weights)
         for batch in batches:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -487,6 +488,31 @@ def test_word_cache_agrees_with_the_tokenizer(text):
     assert WordTokenizer.at(queries.vocabulary()).ids([text.encode()])[0].tolist() == encoded(text, 0)[:-1]
 
 
+def test_a_worker_keeps_one_kind_of_things(spark):
+    """A worker that has made tokens keeps neither its tokenizer nor their ids when it goes on to sets of shingles, and the other way round."""
+    from grantloom.llm import common, near_dup, packing
+    from grantloom.llm.tokens import WordTokenizer
+
+    vocabulary = queries.vocabulary()
+    docs = spark.createDataFrame([(k, f"some words {k} of text") for k in range(40)], "doc_id long, text string").coalesce(1)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"tokenizers": [len(WordTokenizer._made)], "digests": [len(common._digests)]})
+
+    # One task after the other, all in workers that have run one of the steps before.
+    look = lambda: spark.range(64).repartition(16).mapInArrow(seen, "tokenizers long, digests long").collect()
+    for step in (lambda: packing.pieces(docs, vocabulary, 2048, 0), lambda: near_dup.shingle_sets(docs, 3), lambda: packing.pieces(docs, vocabulary, 2048, 0)):
+        step().count()
+        assert not [r for r in look() if r["tokenizers"] and r["digests"]]
+    WordTokenizer.at(vocabulary)
+    common.only("digests")
+    assert not WordTokenizer._made
+    common.hashes_of([b"word"])
+    WordTokenizer.at(vocabulary)
+    assert not common._digests and WordTokenizer._made
+
+
 def test_packing(docs, nothing):
     rows = packing.pack(docs, queries.vocabulary(), capacity=256).collect()
     want = Counter()
