@@ -488,6 +488,29 @@ def test_word_cache_agrees_with_the_tokenizer(text):
     assert WordTokenizer.at(queries.vocabulary()).ids([text.encode()])[0].tolist() == encoded(text, 0)[:-1]
 
 
+def test_known_letters_with_other_punctuation_are_not_encoded_again():
+    from grantloom.llm.tokens import WordTokenizer
+
+    tokenizer = WordTokenizer(queries.vocabulary())
+    tokenizer.ids([b"unlikely &&& ($"])
+    met, encode = [], tokenizer._encode
+    tokenizer._encode = lambda texts: met.extend(texts) or encode(texts)
+    assert [x.tolist() for x in tokenizer.ids([b"Unlikely&&& UNLIKELY($", b""])] == [encoded("Unlikely&&& UNLIKELY($", 0)[:-1], []]
+    assert not met
+
+
+def test_words_are_right_after_the_cache_is_full(monkeypatch):
+    from grantloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 5)
+    tokenizer = tokens.WordTokenizer(queries.vocabulary())
+    texts = ["One two, three", "\t", "four; FIVE six one", "e\u0301t\u00e9 it's 12 <|endoftext|>", "", "two one " * 3]
+    for _ in range(2):
+        for text in texts:
+            assert tokenizer.ids([text.encode(), b"two"])[0].tolist() == encoded(text, 0)[:-1]
+    assert tokenizer.ids([b"a\xff, b"])[0].tolist() == encoded("a\ufffd, b", 0)[:-1]
+
+
 def test_a_worker_keeps_one_kind_of_things(spark):
     """A worker that has made tokens keeps neither its tokenizer nor their ids when it goes on to sets of shingles, and the other way round."""
     from grantloom.llm import common, near_dup, packing
