@@ -13,8 +13,10 @@ shuffled are a block's distinct pairs, of which there are far fewer than links,
 
 Both tokenizers are applied to space-led units of a text: a space that follows a character other than white space begins
 a new token for a byte-level BPE whose pattern takes only one leading space, and for a sentencepiece BPE none of whose
-pieces has a space behind another character (asserted when the model is opened). Units repeat, so each worker keeps the ids
-of those met lately. Texts are gone through in pieces that end at such a space; memory grows with a text's own ids only.
+pieces has a space behind another character (asserted when the model is opened). Units repeat, so those of a group of texts are
+numbered by Arrow, distinct ones are looked up, and each worker keeps the ids of those met lately. A unit of letters and then punctuation is put together from the ids of both, which repeat more often
+still, where no token of either vocabulary has a letter and punctuation behind it: no merge can then cross. Texts are gone
+through in pieces that end at such a space; memory grows with a text's own ids only.
 
 Texts that are null or empty, or whose tokens' bytes aren't a space and the text for one of the tokenizers, have no
 tokens: zeros and an empty hash. Rows that repeat an id are documents of their own. A text without any such space is one
@@ -25,12 +27,15 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,8 +45,10 @@ from grantloom.llm.common import keeps, only, release, saved, texts_of
 
 #: Bytes of text that are aligned at a time, and those of a block.
 CHUNK, BLOCK = 1 << 20, 16 << 20
+#: Bytes of text whose units are looked up at a time.
+GROUP = 8 << 20
 #: Units that a worker keeps, of up to so many bytes.
-KEPT_UNITS, KEPT_BYTES = 300_000, 64
+KEPT_UNITS, KEPT_BYTES = 500_000, 64
 #: Groups with more links than this are taken by their distinct ids.
 MANY = 4096
 
@@ -49,6 +56,11 @@ MANY = 4096
 _WHITE = rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 _ODD, _ODD_END = re.compile(_WHITE + b" "), re.compile(_WHITE + rb"\Z")
 _CUT = re.compile(rb"(?<=[!-~]) ")
+#: Letters of Latin-1, then ASCII punctuation; and what a token must not hold for these to be independent.
+_LETTER, _MARK = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-/:-@\[-`{-~]"
+_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+_SIMPLE = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]+$"
+_CROSSES = re.compile(_LETTER + _MARK + rb"|\A[\x80-\xbf]+" + _MARK)
 
 
 # ---------------------------------------------------------------- ids by units
@@ -84,6 +96,19 @@ def pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _in_groups(every: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive pieces, about GROUP bytes together."""
+    group, size = [], 0
+    for piece in every:
+        group.append(piece)
+        size += len(piece)
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Pair:
     """Two tokenizers: a byte-level BPE file for the tokenizers library, and a sentencepiece model that puts a space first."""
 
@@ -109,57 +134,109 @@ class Pair:
         self.bytes_a = [b""] * (max(named.values()) + 1)
         for name, k in named.items():
             self.bytes_a[k] = name.encode() if name in special else bytes(letters[x] for x in name)
+        #: Tokens that a text's own characters can become.
+        plain = [x for name, x in zip(named, map(self.bytes_a.__getitem__, named.values()), strict=True) if name not in special]
         self.bytes_b = []
         for k in range(self.b.get_piece_size()):
             name = self.b.id_to_piece(k)
             if "▁" in name.lstrip("▁"):
                 raise ValueError(f"the piece {name!r} has a space behind another character")
             self.bytes_b.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(k) else name.replace("▁", " ").encode())
+            if not (self.b.is_control(k) or self.b.is_unknown(k)):
+                plain.append(self.bytes_b[-1])
+        #: Whether a unit's letters and the punctuation behind them have ids of their own.
+        self.apart = not any(map(_CROSSES.search, plain))
         self.space = self.b.piece_to_id("▁")
         self.size_a, self.size_b = len(self.bytes_a), len(self.bytes_b)
         self.long_a, self.long_b = (np.array([len(x) for x in each], np.int64) for each in (self.bytes_a, self.bytes_b))
         #: Each id as text with what follows it in a group: A's ids with a comma, with a bar, then B's with a comma, with a semicolon.
         self.shown = [b"%d%c" % (k, mark) for size, marks in ((self.size_a, b",|"), (self.size_b, b",;")) for mark in marks for k in range(size)]
-        self.ids_a: dict[bytes, bytes] = {}
-        self.ids_b: dict[bytes, bytes] = {}
-        self.wrong: set[bytes] = set()
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [x.decode("utf-8", "replace") for x in new]
-        for unit, a, b in zip(new, self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            ids_a, ids_b = a.ids, b if unit else [self.space]
-            self.ids_a[unit], self.ids_b[unit] = np.array(ids_a, np.uint32).tobytes(), np.array(ids_b, np.uint32).tobytes()
-            if not b" " + unit == b"".join(self.bytes_a[k] for k in ids_a) == b"".join(self.bytes_b[k] for k in ids_b):
-                self.wrong.add(unit)
-
-    def ids(self, piece: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-        """A's and B's ids of a space and a piece, and whether their bytes are those of each unit."""
-        found = units(piece)
-        met = set(found)
-        new = [x for x in met if x not in self.ids_a]
-        if len(self.ids_a) + len(new) > KEPT_UNITS:
-            self.ids_a, self.ids_b, self.wrong = {}, {}, set()
-            new = list(met)
-        if new:
-            self._learn(new)
-        a, b = (np.frombuffer(b"".join(map(kept.__getitem__, found)), np.uint32) for kept in (self.ids_a, self.ids_b))
-        right = self.wrong.isdisjoint(met) if self.wrong else True
+        #: A's and B's ids of units that are in one part or of their letters, and of punctuation behind letters; and whether their bytes are right.
+        self.parts: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        self.marks: dict[bytes, tuple[bytes, bytes, bool]] = {b"": (b"", b"", True)}
+
+    def _encode(self, parts: list[bytes], lead: bytes) -> Iterator[tuple[bytes, tuple[bytes, bytes, bool]]]:
+        """Each part with its ids. lead: what stands before it, a space or (for punctuation) nothing."""
+        texts = [x.decode("utf-8", "replace") for x in parts]
+        lists_a = [x.ids for x in self.a.encode_batch_fast([lead.decode() + x for x in texts], add_special_tokens=False)]
+        if lead:
+            lists_b = [x or [self.space] for x in self.b.encode(texts, num_threads=1)]
+        else:  # B puts a space before a text, so a letter stands there and its ids are left out
+            first = len(self.b.encode("x"))
+            lists_b = [x[first:] for x in self.b.encode(["x" + x for x in texts], num_threads=1)]
+        want = [lead + x for x in parts]
+        sizes, right, raws = np.cumsum([len(x) for x in want]), True, []
+        for lists, named, long in ((lists_a, self.bytes_a, self.long_a), (lists_b, self.bytes_b, self.long_b)):
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+            upto = np.cumsum([0, *map(len, lists)])
+            ends = np.concatenate([[0], np.cumsum(long[ids])])[upto[1:]]
+            right = right and np.array_equal(ends, sizes) and b"".join(map(named.__getitem__, ids.tolist())) == b"".join(want)
+            raw, upto = ids.tobytes(), (4 * upto).tolist()
+            raws.append([raw[begin:end] for begin, end in zip(upto, upto[1:])])
+        for k, (part, a, b) in enumerate(zip(parts, *raws, strict=True)):
+            yield part, (a, b, right or want[k] == b"".join(self.bytes_a[i] for i in lists_a[k]) == b"".join(self.bytes_b[i] for i in lists_b[k]))
+
+    def _known(self, parts: pa.LargeBinaryArray, kept: dict[bytes, tuple[bytes, bytes, bool]], lead: bytes) -> tuple[pa.LargeListArray, pa.LargeListArray, np.ndarray]:
+        """A's and B's ids of distinct parts, and whether their bytes are right."""
+        names = parts.to_pylist()
+        if len(kept) + len(names) > KEPT_UNITS:
+            met = {x: kept[x] for x in [b"", *names] if x in kept}
+            kept.clear()
+            kept.update(met)
+        new = [x for x in names if x not in kept]
+        for at in range(0, len(new), 4000):
+            kept.update(self._encode(new[at : at + 4000], lead))
+        found = [kept[x] for x in names]
         for x in new:
             if len(x) > KEPT_BYTES:
-                del self.ids_a[x], self.ids_b[x]
-                self.wrong.discard(x)
-        return a, b, right
+                del kept[x]
+        lists = []
+        for k in (0, 1):
+            raws = [x[k] for x in found]
+            upto = np.cumsum(np.fromiter(chain([0], map(len, raws)), np.int64, len(raws) + 1)) // 4
+            lists.append(pa.LargeListArray.from_arrays(upto, np.frombuffer(b"".join(raws), np.uint32)))
+        return *lists, np.array([x[2] for x in found], bool)
+
+    def ids(self, every: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """For each piece, A's and B's ids of a space and the piece, and whether their bytes are those of each unit."""
+        found = [units(x) for x in every]
+        upto_units = np.cumsum([0, *map(len, found)])
+        each = pa.array(list(chain.from_iterable(found)), pa.large_binary()).dictionary_encode()
+        met = each.dictionary.view(pa.large_string())
+        simple = pc.match_substring_regex(met, _SIMPLE) if self.apart else pa.array(np.zeros(len(met), bool))
+        plain = pc.if_else(simple, met, pa.scalar(None, pa.large_string()))
+        parts = pc.coalesce(pc.utf8_rtrim(plain, string.punctuation), met).view(pa.large_binary()).dictionary_encode()
+        marks = pc.fill_null(pc.utf8_ltrim(plain, _LETTERS), "").view(pa.large_binary()).dictionary_encode()
+        *of_parts, right = self._known(parts.dictionary, self.parts, b" ")
+        *of_marks, also = self._known(marks.dictionary, self.marks, b"")
+        at_part, at_mark = parts.indices.to_numpy(), marks.indices.to_numpy()
+        both = pa.array(np.stack([at_part, at_mark + len(right)], 1).ravel())
+        sides = []
+        for one, two in zip(of_parts, of_marks, strict=True):
+            joined = pa.concat_arrays([one, two]).take(both)
+            dealt = pa.LargeListArray.from_arrays(joined.offsets.to_numpy()[::2], joined.values).take(each.indices)
+            sides.append((dealt.values.to_numpy(), dealt.offsets.to_numpy()[upto_units].tolist()))
+        rights = [True] * len(every)
+        if not (right.all() and also.all()):
+            wrong = _starts(~(right[at_part] & also[at_mark])[each.indices.to_numpy()])
+            rights = (np.diff(wrong[upto_units]) == 0).tolist()
+        (a, upto_a), (b, upto_b) = sides
+        return [(a[upto_a[k] : upto_a[k + 1]], b[upto_b[k] : upto_b[k + 1]], rights[k]) for k in range(len(every))]
+
+    def of_texts(self, texts: list[bytes]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each text, of each of its pieces the bytes with the leading space, A's ids and B's; nothing if it has no tokens."""
+        cut = [list(pieces(x)) if x else [] for x in texts]
+        ids = chain.from_iterable(map(self.ids, _in_groups(chain.from_iterable(cut))))
+        found = []
+        for text, own in zip(texts, cut, strict=True):
+            every = [(len(piece) + 1, *next(ids)) for piece in own]
+            if not all(right for *_, right in every) and any(b"".join(named[i] for x in every for i in x[k].tolist()) != b" " + text for k, named in ((1, self.bytes_a), (2, self.bytes_b))):
+                every = []
+            found.append([x[:3] for x in every])
+        return found
 
     def of_text(self, text: bytes) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each piece of a text, its bytes with the leading space, A's ids and B's; nothing if it has no tokens."""
-        if not text:
-            return []
-        every = [(len(piece) + 1, *self.ids(piece)) for piece in pieces(text)]
-        if not all(right for *_, right in every):
-            for k, named in ((1, self.bytes_a), (2, self.bytes_b)):
-                if b"".join(named[i] for x in every for i in x[k].tolist()) != b" " + text:
-                    return []
-        return [x[:3] for x in every]
+        return self.of_texts([text])[0]
 
 
 keeps("pair", Pair._made.clear)
@@ -227,18 +304,30 @@ class Block:
 
     def __init__(self, pair: Pair):
         self.pair, self.docs, self.size = pair, [], 0
+        self.texts: list[bytes] = []
+        self.bytes_of_texts = 0
         self.waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         self.bytes_waiting = 0
         self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, doc_id: int | None, text: bytes) -> None:
         self.docs.append(Sums(doc_id))
-        for size, a, b in self.pair.of_text(text):
-            self.waiting.append((len(self.docs) - 1, size, a, b))
-            self.bytes_waiting += size
-            if self.bytes_waiting >= CHUNK:
-                self._align()
+        self.texts.append(text)
+        self.bytes_of_texts += len(text)
         self.size += len(text)
+        if self.bytes_of_texts >= GROUP:
+            self._look_up()
+
+    def _look_up(self) -> None:
+        """Looks up the waiting texts' units, and aligns them chunk by chunk."""
+        first, texts = len(self.docs) - len(self.texts), self.texts
+        self.texts, self.bytes_of_texts = [], 0
+        for k, found in enumerate(self.pair.of_texts(texts), first):
+            for size, a, b in found:
+                self.waiting.append((k, size, a, b))
+                self.bytes_waiting += size
+                if self.bytes_waiting >= CHUNK:
+                    self._align()
 
     def _align(self) -> None:
         if not self.waiting:
@@ -278,6 +367,7 @@ class Block:
 
     def row(self) -> dict[str, object]:
         """The block as one row."""
+        self._look_up()
         self._align()
         span = self.pair.size_a * self.pair.size_b
         docs, codes, times = (np.concatenate(x) for x in zip(*self.entries, strict=True)) if self.entries else [np.zeros(0, np.int64)] * 3

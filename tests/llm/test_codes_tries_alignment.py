@@ -287,3 +287,27 @@ def test_documents_with_a_pair_are_counted_once(spark, files):
     table = spark.createDataFrame([(k, "and " * (k + 1)) for k in range(5)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_links"], r["count_sum"]) for r in alignment.alignment(table, *files).filter(F.col("n_links") > 0).collect()}
     assert all(5 * (k + 1) <= got[k][1] <= 5 * got[k][0] for k in range(5))
+
+
+def test_known_letters_with_other_punctuation_are_not_encoded_again(files):
+    pair = alignment.Pair(*files)
+    assert pair.apart
+    pair.of_texts([b"unlikely Fr\xc3\xbch a&&& a(."])
+    met, encode = [], pair._encode
+    pair._encode = lambda parts, lead: met.extend(parts) or encode(parts, lead)
+    pair.of_texts([b"unlikely&&& Fr\xc3\xbch(.", b"a", b""])
+    assert not met
+
+
+def test_units_of_a_group_have_the_tokenizers_ids(files, monkeypatch):
+    """Whatever is kept, in groups of any size, and for a text with bytes that are no character."""
+    texts = [t or "" for _, t in ALIGNED if t not in ("<s> <|endoftext|> <0x41> </s>",)] + ["Stra\u00dfe, \u00e9t\u00e9... \u00bb. \u00d7! ok?! 'tis a.b\n c's", "\u00ff, \u00ae, a\u0301. <="]
+    for kept, group in ((500_000, 8 << 20), (3, 1)):
+        monkeypatch.setattr(alignment, "KEPT_UNITS", kept)
+        monkeypatch.setattr(alignment, "GROUP", group)
+        pair = alignment.Pair(*files)
+        for text, found in zip(texts, pair.of_texts([x.encode() for x in texts]), strict=True):
+            if found:
+                ids_a, ids_b = (np.concatenate([x[k] for x in found]).tolist() for k in (1, 2))
+                assert ids_a == pair.a.encode(" " + text, add_special_tokens=False).ids and ids_b == pair.b.encode(text)
+        assert sum(map(bool, pair.of_texts([x.encode() for x in texts]))) > 9 and pair.of_texts([b"a\xff b"]) == [[]]
